@@ -25,6 +25,13 @@ def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ogg import media_features
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", media_features(F.col("text")).alias("m"))
+    return docs.select("doc_id", "m.*")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
