@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from .base import table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .base import held_out
+    from .language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify(F.col("text"), fit(docs), spark).alias("m"))
+    return found.select("doc_id", "held_out", "m.lang_pred", "m.score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .base import held_out
+    from .quality import fit, quality_score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality_score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .curriculum import curriculum
 
