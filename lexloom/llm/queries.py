@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from .base import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .base import held_out
+    from .toxicity import fit, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    chain = fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(F.col("text"), chain).alias("m"))
+    return scored.select("doc_id", "held_out", "m.insult", "m.contempt", F.col("m.toxic").alias("score"), (F.col("m.toxic") >= 0.4).cast("int").alias("predicted"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .base import held_out
     from .language_id import fit, identify
@@ -99,5 +115,49 @@ from p join t on p.source is not distinct from t.source
 """
 
 
+def _op2_sql() -> str:
+    """The licence scan with the same sentences and rules, the sequence folded by a recursive query."""
+    from .license_scan import ANCHORS, GAP, RUN, UNMATCHED, known_sentences, rules
+
+    def quoted(x):
+        return "'" + x.replace("'", "''") + "'"
+
+    known = ", ".join(f"({quoted(s)}, {quoted(c)})" for s, c in known_sentences())
+    chain, counts = [], []
+    for i, (licence, codes) in enumerate(rules()):
+        chain.append(f"s{i + 1} as (select *, replace(r{i}, {quoted(codes)}, '#') as r{i + 1} from s{i})")
+        counts.append(f"select doc_id, {quoted(licence)} as licence, ((length(r{i}) - length(r{i + 1})) / {len(codes) - 1})::bigint as n from s{len(rules())}")
+    last = len(rules())
+    counts.append(f"select doc_id, {quoted(UNMATCHED)} as licence, length(r{last}) - length(replace(r{last}, '<', '')) as n from s{last}")
+    return rf"""
+with recursive known(sentence, code) as (values {known}),
+cut as (
+  select distinct doc_id, text, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) as p
+  from documents where regexp_matches(lower(text), {quoted("|".join(ANCHORS))})
+), parts as (
+  select doc_id, text, list_filter(list_transform(p, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') as parts
+  from cut
+), starts as (
+  select doc_id, text, parts, unnest(range(1, len(parts) + 1)) as spot from parts
+), runs as (
+  select doc_id, text, spot, k - 1 as pos, array_to_string(list_slice(parts, spot, spot + k - 1), ' ') as run
+  from starts, range(1, {RUN + 1}) t(k)
+), hits as (
+  select doc_id, text, spot, max_by(code, pos) as code, max(pos) as pos from runs join known on run = sentence group by all
+), placed as (
+  select *, row_number() over (partition by doc_id, text order by spot) as i from hits
+), folded as (
+  select doc_id, text, i, spot + pos as fin, code as codes from placed where i = 1
+  union all
+  select p.doc_id, p.text, p.i, case when p.spot <= f.fin then f.fin else p.spot + p.pos end,
+         case when p.spot <= f.fin then f.codes else f.codes || case when p.spot - f.fin > {GAP + 1} then '_' else '' end || p.code end
+  from folded f join placed p on p.doc_id is not distinct from f.doc_id and p.text = f.text and p.i = f.i + 1
+), s0 as (
+  select doc_id, max_by(codes, i) as r0 from folded group by doc_id, text
+), {", ".join(chain)}
+select doc_id, licence, sum(n)::bigint as matches from ({" union all ".join(counts)}) group by doc_id, licence having sum(n) > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_curriculum": OP5_SQL}
+    return {"op2_license_scan": _op2_sql(), "op5_curriculum": OP5_SQL}
