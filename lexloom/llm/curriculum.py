@@ -83,9 +83,10 @@ def curriculum(
     max_epochs: int = 2,
     schedules=SCHEDULES,
     rows_per_bucket: int = 2048,
-    keep: tuple[str, ...] = (),
+    keep: bool = False,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, positions (one for each time the mix takes the document), and ``keep``.
+    """doc_id, size, source_size, target, positions (one for each time the mix takes the document), and, if ``keep``,
+    the whole row of the input as a struct ``document``.
 
     Documents of a source stand in the order of md5(doc_id). Pass ``e`` takes a document if the middle of its words
     lies before the source's target, so a source's words miss the target by half a document at most.
@@ -97,20 +98,21 @@ def curriculum(
         name.alias("__source"),
         word_count(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("__h"),
-        *[F.col(c).alias(f"__keep_{c}") for c in keep],
+        *([F.struct("*").alias("document")] if keep else []),
     )
-    slim = slim if keep else materialise(slim, "sizes")
-    n = slim.count()
+    sizes = materialise(slim.drop("document"), "sizes")
+    slim = slim if keep else sizes
+    n = sizes.count()
     digits = max(2, math.ceil(math.log(max(n, 1) / rows_per_bucket + 1, 16)))
     slim = slim.withColumn("__bucket", F.substring("__h", 1, digits))
-    sources = materialise(source_targets(slim, weights, share, max_epochs), "targets")
+    sources = materialise(source_targets(sizes, weights, share, max_epochs), "targets")
     placed = prefix_sum(slim, ["__null", "__source"], "__bucket", ["__h", "size"], "size", "__before")
     placed = placed.join(sources, ["__null", "__source"])
     middle = F.col("__before") + F.col("size") / 2.0
     passes = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: middle + e * F.col("source_size"))
     taken = F.filter(passes, lambda x: (x < F.col("target")) & (F.col("size") > 0))
     at = F.transform(taken, lambda x: invert_demand(x / F.col("target"), F.col("place"), schedules))
-    return placed.select("doc_id", "size", "source_size", "target", at.alias("positions"), *[F.col(f"__keep_{c}").alias(c) for c in keep])
+    return placed.select("doc_id", "size", "source_size", "target", at.alias("positions"), *(["document"] if keep else []))
 
 
 def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:

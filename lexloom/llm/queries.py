@@ -60,6 +60,12 @@ def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nn_descent import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ogg import media_features
 
