@@ -120,11 +120,11 @@ def key_phrases(text: Column, patterns=KEY_PHRASES) -> Column:
 def entities(text: Column, patterns: dict[str, str] = ENTITIES) -> Column:
     """Array of (entity_type, entity_value, confidence), by type in order."""
     t = F.coalesce(text, F.lit(""))
-    found = [
-        F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("entity_type"), v.alias("entity_value"), F.lit(0.8).alias("confidence")))
-        for k, p in patterns.items()
-    ]
-    return F.concat(*found)
+    def typed(kind: str, pattern: str) -> Column:
+        values = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("entity_value"), F.lit(0.8).alias("confidence")))
+
+    return F.concat(*[typed(k, p) for k, p in patterns.items()])
 
 
 def legal_elements(text: Column, keywords: dict = LEGAL_KEYWORDS) -> Column:
