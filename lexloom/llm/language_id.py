@@ -5,7 +5,7 @@ in the sample. A phrase of a sample of ``n`` symbols costs log2(n) bits, so the
 normalised by that cost, describes the document best. Ties go to the language with more labelled documents, then to the
 first by name.
 
-The automaton is laid out as a table (state, symbol) -> 2 * next + (1 where a phrase ends), so a batch of documents is
+The automaton is laid out as a table (state, symbol) -> 2 * next + (1 where a phrase begins), so a batch of documents is
 read by numpy, one step for all its blocks of ``BLOCK`` symbols at a time. Every symbol of a text is read; a phrase
 also ends where a block does.
 
@@ -72,7 +72,7 @@ def suffix_automaton(symbols: list[int]) -> tuple[list[dict[int, int]], list[int
 
 
 def parse_table(symbols: list[int], width: int = SYMBOLS) -> np.ndarray:
-    """2 * (next state * width) + (1 where a phrase ended before this symbol), flat by state * width + symbol."""
+    """2 * (next state * width) + (1 where a phrase begins with this symbol), flat by state * width + symbol."""
     move, _ = suffix_automaton(symbols)
     root = np.zeros(width, dtype=np.int64)
     for c, to in move[0].items():
@@ -81,9 +81,8 @@ def parse_table(symbols: list[int], width: int = SYMBOLS) -> np.ndarray:
     for s, edges in enumerate(move):
         for c, to in edges.items():
             flat[s, c] = to * width * 2
-    # from the root a symbol that the sample lacks is a phrase by itself; one that it has begins a phrase
-    missing = np.array([c not in move[0] for c in range(width)])
-    flat[0] = root * width * 2 + missing
+    # at the root a phrase begins; a symbol that the sample lacks is one by itself and leads back there
+    flat[0] = root * width * 2 + 1
     flat[:, _PAD] = np.arange(len(move)) * width * 2
     return flat.ravel().astype(np.int32 if flat.max(initial=0) < 2**31 else np.int64)
 
@@ -96,7 +95,6 @@ def train(samples: dict[str, tuple[str, int]]) -> LanguageModel:
     """``samples``: language to (text, number of labelled documents)."""
     languages = sorted(samples, key=lambda k: (-samples[k][1], k))
     letter = np.zeros(0x110000, bool)
-    letter[:] = False
     seen = np.zeros(0x110000, np.int64)
     texts = {k: _code_points(samples[k][0]) for k in languages}
     for k in languages:
@@ -132,7 +130,7 @@ def phrase_counts(model: LanguageModel, texts: list[str | None]) -> tuple[np.nda
     owner = np.repeat(np.arange(len(texts)), lanes)
     counts = np.zeros((len(texts), len(model.languages)))
     for k, flat in enumerate(model.tables):
-        state, phrases = np.zeros(len(block), flat.dtype), np.ones(len(block), np.int64)
+        state, phrases = np.zeros(len(block), flat.dtype), np.zeros(len(block), np.int64)
         for step in steps:
             found = flat.take(state + step)
             phrases += found & 1
