@@ -2,7 +2,7 @@
 
 Vectors are compared within a label only. The neighbour graph starts from the best of a few random-projection leaves.
 Each round joins neighbours of neighbours: every vector gathers its neighbours in both directions, the gathered ones
-are compared with each other, and each keeps its ``k`` nearest. Rounds end when hardly any list changes and the audit,
+are compared with each other, and each keeps its ``k`` nearest. Rounds end when hardly any link is new and the audit,
 exact neighbours of a fixed sample of vectors, finds enough of the links. A vector whose whole list lies above the
 threshold is saturated: its list is enlarged to all that its links connect it to, compared in blocks of ``BLOCK`` by
 ``BLOCK`` vectors, so that no list is cut short and no task holds a whole group. Links are pairs of cosine at least
@@ -185,7 +185,7 @@ def audit(graph: DataFrame, nodes: DataFrame, threshold: float, sample: int = 25
 
 
 def neighbour_graph(nodes: DataFrame, threshold: float, k: int = 12, trees: int = 3, rounds: int = 6, recall: float = 0.995, change: float = 0.002, seed: int = 11) -> DataFrame:
-    """(node, nbr, sim): approximate nearest neighbours, refined until they settle and the audit agrees."""
+    """(node, nbr, sim): approximate nearest neighbours, refined until hardly any new link comes up and the audit agrees."""
     edges = None
     for t in range(trees):
         leaf = _leaves(nodes, t, k, seed)
@@ -195,7 +195,8 @@ def neighbour_graph(nodes: DataFrame, threshold: float, k: int = 12, trees: int
         new = _joined(graph, nodes, k).withColumn("old", F.lit(False))
         known = graph.withColumn("old", F.lit(True))
         graph = materialise(_best(known.union(new), k).select("node", "nbr", "sim", "old"), "graph")
-        total, fresh = graph.agg(F.count("*"), F.count_if(~F.col("old"))).first()
+        near = graph.where(F.col("sim") >= threshold)
+        total, fresh = near.agg(F.count("*"), F.count_if(~F.col("old"))).first()
         if fresh <= change * total and audit(graph, nodes, threshold) >= recall:
             break
     return graph
