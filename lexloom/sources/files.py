@@ -26,7 +26,8 @@ def extension(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, size, modified, extension), recursively, without reading contents."""
+    """(path, size, modified, extension), recursively, without reading contents. Spark plans no split for an empty file, so
+    such files aren't listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), extension(F.col("path")).alias("extension"))
 
