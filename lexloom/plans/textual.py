@@ -384,17 +384,17 @@ def _bm25(s, d, top):
     return N.bm25(V.queries(s, d), V.texts(s, d), top, pattern="[a-zà-ÿ0-9]+")
 
 
-@query(f"with {_BM25} select query_id, doc_id as document_id, round(score, 4) as score from k where rank <= 10")
+@query(f"with {_BM25} select query_id, doc_id as document_id, score from k where rank <= 10")
 def v10_bm25(s, d):
-    return _bm25(s, d, 10).select("query_id", "document_id", F.round("score", 4).alias("score"))
+    return _bm25(s, d, 10).select("query_id", "document_id", "score")
 
 
 @query(f"""with {_TOP}, {_BM25}, kw as (select query_id, doc_id as id, 1 - (rank - 1) / count(*) over (partition by query_id) as keyword from k where rank <= 10), v as (select query_id, id, score from h where rank <= 10),
 f as (select coalesce(v.query_id, kw.query_id) as query_id, coalesce(v.id, kw.id) as id, round(0.7 * coalesce(score, 0) + 0.3 * coalesce(keyword, 0), 6) as score from v full join kw on v.query_id = kw.query_id and v.id = kw.id)
-select query_id, id, round(score, 5) as score from (select *, row_number() over (partition by query_id order by score desc, id) as r from f) where r <= 10""")
+select query_id, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as r from f) where r <= 10""")
 def v11_fuse(s, d):
     words = _bm25(s, d, 10).withColumnRenamed("document_id", "id")
-    return N.fuse(N.top_k(V.queries(s, d), V.items(s, d), 10), words, 10).select("query_id", "id", F.round("score", 5).alias("score"))
+    return N.fuse(N.top_k(V.queries(s, d), V.items(s, d), 10), words, 10).select("query_id", "id", "score")
 
 
 @query("select doc_id, round(0.5 * 0.9 + 0.2 * (doc_id % 10) / 10.0::double + 0.15 * (doc_id % 7) / 7.0::double + 0.05 * least(case when contains(lower(text), 'tion') then 0.3 else 0 end + case when contains(lower(text), 'heit') then 0.2 else 0 end, 1), 6) as score from documents")
@@ -480,9 +480,9 @@ def r9_distinct_queries(s, d):
     return R.distinct_queries(q, 5, 0.7)[1]
 
 
-@query(f"""with {_HITS} select query_id, string_agg('### 资料来源' || rank || chr(10) || '**文档标题**：' || document_title || chr(10) || '**相似度**：' || printf('%.2f%%', round(score, 6) * 100) || chr(10) || '**内容片段**：' || chr(10) || content, chr(10) || chr(10) order by rank) as context from hits group by 1""")
+@query(f"""with {_HITS} select query_id, string_agg('### 资料来源' || rank || chr(10) || '**文档标题**：' || document_title || chr(10) || '**相似度**：' || printf('%.2f%%', round(score, 4) * 100) || chr(10) || '**内容片段**：' || chr(10) || content, chr(10) || chr(10) order by rank) as context from hits group by 1""")
 def r10_context(s, d):
-    hits = _hits(s, d).withColumn("score", F.round("score", 6)).withColumn("document_title", F.coalesce("document_title", F.lit("")))
+    hits = _hits(s, d).withColumn("score", F.round("score", 4)).withColumn("document_title", F.coalesce("document_title", F.lit("")))
     return R.context(V.queries(s, d), hits)
 
 
