@@ -301,13 +301,13 @@ def c13_image_boxes(s, d):
     return C.image_boxes(images).select("document_id", "image_index", "x0", "y0", "x1", "y1")
 
 
-_NEXT = "with i as (select id, vector, lead(vector) over (partition by document_id % 10 order by id) as other from m_items)"
+_NEXT = "with i as (select a.id, a.vector, b.vector as other from m_items a join m_items b on b.id = a.id + 1)"
 
 
 def _pairs(s, d):
-    from pyspark.sql import Window as W
-
-    return V.items(s, d).select("id", "vector", F.lead("vector").over(W.partitionBy(F.col("document_id") % 10).orderBy("id")).alias("other")).where("other is not null")
+    """Each vector beside the next one by id."""
+    i = V.items(s, d)
+    return i.select("id", "vector").join(i.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other")), "id")
 
 
 @query(f"{_NEXT} select id, round(list_cosine_similarity(vector, other), 6) as cosine from i where other is not null")
@@ -362,14 +362,12 @@ def v8_similarities(s, d):
     return _pairs(s, d).select("id", F.round(N.euclidean_similarity(v, o), 6).alias("euclidean"), F.round(N.hybrid_similarity(v, o), 6).alias("hybrid"))
 
 
-@query("""with t as (select doc_id, list_filter(['tion','the','heit','que','ing'], lambda k: contains(text, k)) as terms from documents), p as (select doc_id, terms, lead(terms) over (partition by doc_id % 10 order by doc_id) as other from t)
+@query("""with t as (select doc_id, list_filter(['tion','the','heit','que','ing'], lambda k: contains(text, k)) as terms from documents), p as (select a.doc_id, a.terms, b.terms as other from t a join t b on b.doc_id = a.doc_id + 1)
 select doc_id, round(0.5 * (1 + 0.3 * case when len(terms) = 0 or len(other) = 0 then 0 else len(list_intersect(terms, other)) / len(list_distinct(list_concat(terms, other))) end), 6) as similarity from p where other is not null""")
 def v9_legal_similarity(s, d):
-    from pyspark.sql import Window as W
-
     terms = F.filter(F.array(*[F.lit(k) for k in ("tion", "the", "heit", "que", "ing")]), lambda k: F.contains("text", k))
     t = V.texts(s, d).select("doc_id", terms.alias("terms"))
-    p = t.withColumn("other", F.lead("terms").over(W.partitionBy(F.col("doc_id") % 10).orderBy("doc_id"))).where("other is not null")
+    p = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("terms").alias("other")), "doc_id")
     return p.select("doc_id", F.round(N.legal_similarity(F.lit(0.5), F.col("terms"), F.col("other")), 6).alias("similarity"))
 
 

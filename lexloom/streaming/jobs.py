@@ -83,14 +83,22 @@ def first_queries(queries: DataFrame, key: str, ttl: str = "30 minutes") -> Data
 
 
 def cache_hits(queries: DataFrame, key: str, ttl: int = 1800) -> DataFrame:
-    """``queries`` with ``hit``: whether the last miss of the key is less than ``ttl`` seconds old. A fold over the key's
-    queries in order, kept as two numbers; the sorted times of a key are one array."""
-    times = queries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_seconds("ts").alias("t"), "query_id"))).alias("q"))
-    start = F.struct(F.lit(None).cast("long").alias("miss"), F.array().cast("array<struct<query_id:bigint,hit:boolean>>").alias("out"))
+    """``queries`` (query_id, key, ts) with ``hit``: whether the last miss of the key is less than ``ttl`` seconds old.
+
+    A query that comes ``ttl`` seconds or more after the one before is a miss whatever came earlier, so the queries of a
+    key fall apart there. Each run between is folded by itself, in order, with the time of its last miss as state.
+    """
+    seconds = queries.select(key, "query_id", F.unix_seconds("ts").alias("t"))
+    w = W.partitionBy(key).orderBy("t", "query_id")
+    apart = F.col("t") - F.lag("t").over(w) >= ttl
+    runs = seconds.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(w))
+    times = runs.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("t", "query_id"))).alias("q"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("long").alias("miss"), F.array().cast(f"array<struct<query_id:{kind},hit:boolean>>").alias("out"))
 
     def step(acc, x):
         hit = acc["miss"].isNotNull() & (x["t"] - acc["miss"] < ttl)
-        row = F.struct(x["query_id"].cast("long").alias("query_id"), hit.alias("hit"))
+        row = F.struct(x["query_id"].alias("query_id"), hit.alias("hit"))
         return F.struct(F.when(hit, acc["miss"]).otherwise(x["t"]).alias("miss"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     return times.select(key, F.inline(F.aggregate("q", start, step, lambda acc: acc["out"])))
