@@ -339,6 +339,11 @@ def u5_retry(s, d):
     return good.select("id", F.col("attempts").cast("long").alias("attempts"))
 
 
+@query("select doc_id, 'utf-8' as encoding, text from documents")
+def s3_decode(s, d):
+    return V.texts(s, d).select("doc_id", files.decode(F.col("text").cast("binary")).alias("r")).select("doc_id", "r.encoding", "r.text")
+
+
 @query("""select id, filename, case when id % 5 = 4 then 'unsupported' when file_size > 3000 then 'invalid' else 'valid' end as outcome, case when id % 5 = 4 then 'unsupported format' when file_size > 3000 then 'too large' end as reason from m_docs""")
 def s4_validate(s, d):
     return files.validate(V.documents(s, d).withColumn("size", F.col("file_size")), largest=3000).select("id", "filename", "outcome", "reason")
