@@ -2,10 +2,11 @@
 
 Vectors are compared within a label only. The neighbour graph starts from the best of a few random-projection leaves.
 Each round joins neighbours of neighbours: every vector gathers its neighbours in both directions, the gathered ones
-are compared with each other, and each keeps its ``k`` nearest. Rounds end when hardly any link is new and the audit,
+are compared with each other, and each keeps its ``k`` nearest. Rounds end when hardly any link is added and the audit,
 exact neighbours of a fixed sample of vectors, finds enough of the links. A vector whose whole list lies above the
-threshold is saturated: its list is enlarged to all that its links connect it to, compared in blocks of ``BLOCK`` by
-``BLOCK`` vectors, so that no list is cut short and no task holds a whole group. Links are pairs of cosine at least
+threshold is saturated: its list is enlarged to all that its links connect it to, and to other such groups that lie
+near enough to hold a link, compared in blocks of ``BLOCK`` by ``BLOCK`` vectors, so that no list is cut short and no
+task holds a whole group. Links are pairs of cosine at least
 ``threshold``, computed in double precision.
 
 Identical vectors of a label are one node that counts each copy.
@@ -191,22 +192,48 @@ def neighbour_graph(nodes: DataFrame, threshold: float, k: int = 12, trees: int
         leaf = _leaves(nodes, t, k, seed)
         edges = leaf if edges is None else edges.union(leaf)
     graph = materialise(_best(edges.withColumn("old", F.lit(False)), k).select("node", "nbr", "sim", "old"), "graph")
+    count = lambda g: g.where(F.col("sim") >= threshold).count()
+    before = count(graph)
     for _ in range(rounds):
         new = _joined(graph, nodes, k).withColumn("old", F.lit(False))
         known = graph.withColumn("old", F.lit(True))
         graph = materialise(_best(known.union(new), k).select("node", "nbr", "sim", "old"), "graph")
-        near = graph.where(F.col("sim") >= threshold)
-        total, fresh = near.agg(F.count("*"), F.count_if(~F.col("old"))).first()
-        if fresh <= change * total and audit(graph, nodes, threshold) >= recall:
+        now = count(graph)
+        if now - before <= change * now and audit(graph, nodes, threshold) >= recall:
             break
+        before = now
     return graph
 
 
+def _neighbourhoods(member: DataFrame, nodes: DataFrame, threshold: float, k: int, trees: int = 3, seed: int = 23) -> DataFrame:
+    """(node, component, task_group): saturated groups with those that may hold a link to them.
+
+    A group's smallest node stands for it, with the largest angle to a member. Two groups can only be linked if their
+    representatives are no further apart than both angles and the threshold's; near ones are found in the same leaves.
+    """
+    own = member.join(nodes.select("node", "vector", "label", "width"), "node")
+    centre = nodes.select(F.col("node").alias("component"), F.col("vector").alias("centre"))
+    product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda t, z: t + z)
+    cosine = product("vector", "centre") / F.sqrt(product("vector", "vector") * product("centre", "centre"))
+    wide = own.join(centre, "component").groupBy("component").agg(F.acos(F.least(F.greatest(F.min(cosine), F.lit(-1.0)), F.lit(1.0))).alias("angle"))
+    wide = materialise(wide, "angles")
+    stand = nodes.join(wide.select(F.col("component").alias("node")), "node", "left_semi")
+    edges = None
+    for t in range(trees):
+        leaf = _leaves(stand, t, k, seed)
+        edges = leaf if edges is None else edges.union(leaf)
+    left, right = wide.select(F.col("component").alias("node"), F.col("angle").alias("a")), wide.select(F.col("component").alias("nbr"), F.col("angle").alias("b"))
+    apart = F.acos(F.least(F.greatest(F.col("sim"), F.lit(-1.0)), F.lit(1.0)))
+    near = edges.join(left, "node").join(right, "nbr").where(apart <= F.col("a") + F.col("b") + float(np.arccos(threshold)) + 1e-6)
+    joined = components(near, "node", "nbr").select(F.col("node").alias("component"), F.col("component").alias("task_group"))
+    return member.join(joined, "component", "left").select("node", "component", F.coalesce("task_group", "component").alias("task_group"))
+
+
 def _enlarged(member: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, n): links of each node of the groups in ``member`` (node, component), each pair of blocks compared once."""
-    placed = member.join(nodes.select("node", "label", "width", "vector", "copies"), "node")
-    sizes = member.groupBy("component").agg(F.count("*").alias("m"))
-    placed = placed.join(sizes, "component")
+    """For groups (node, component, task_group), each pair of blocks of a task group compared once: rows (node, n, null),
+    parts of a node's number of links, and rows (component, null, other) of components that a link joins."""
+    placed = member.join(nodes.select("node", "vector", "copies"), "node")
+    placed = placed.join(member.groupBy("task_group").agg(F.count("*").alias("m")), "task_group")
     # members are dealt to blocks by hash: about BLOCK in each, more blocks for larger groups
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
@@ -215,16 +242,16 @@ def _enlarged(member: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
         lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")),
     )
     dealt = placed.withColumn("p", F.explode(pair)).select(
-        F.xxhash64("component", "p.i", "p.j").alias("task"), "node", "copies", "vector", (F.col("block") == F.col("p.i")).alias("first"), (F.col("p.i") == F.col("p.j")).alias("same")
+        F.xxhash64("task_group", "p.i", "p.j").alias("task"), "node", "component", "copies", "vector", (F.col("block") == F.col("p.i")).alias("first"), (F.col("p.i") == F.col("p.j")).alias("same")
     )
 
-    def count(batches):
+    def compare(batches):
         for rows in _runs(batches, "task"):
-            task, node, copies = rows["task"].to_numpy(), rows["node"].to_numpy(), rows["copies"].to_numpy()
+            task, node, copies, component = (rows[c].to_numpy() for c in ("task", "node", "copies", "component"))
             first, same = rows["first"].to_numpy(zero_copy_only=False), rows["same"].to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
             m = _unit(_matrix(rows["vector"]))
-            out_node, out_n = [], []
+            names, counts, joins = [], [], []
             for a, b in zip(starts, np.append(starts[1:], len(task))):
                 x = np.arange(a, b)[first[a:b]] if not same[a] else np.arange(a, b)
                 y = x if same[a] else np.arange(a, b)[~first[a:b]]
@@ -233,16 +260,24 @@ def _enlarged(member: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
                 hit = m[x] @ m[y].T >= threshold
                 if same[a]:
                     np.fill_diagonal(hit, False)
-                    out_node.append(node[x])
-                    out_n.append(hit @ copies[y])
-                else:
-                    out_node += [node[x], node[y]]
-                    out_n += [hit @ copies[y], hit.T @ copies[x]]
-            if out_node:
-                yield pa.record_batch([pa.array(np.concatenate(out_node)), pa.array(np.concatenate(out_n).astype(np.int64))], names=["node", "n"])
+                names.append(node[x])
+                counts.append(hit @ copies[y])
+                if not same[a]:
+                    names.append(node[y])
+                    counts.append(hit.T @ copies[x])
+                if (component[a:b] != component[a]).any():
+                    i, j = np.nonzero(hit & (component[x][:, None] != component[y][None, :]))
+                    joins.append(np.unique(np.stack([component[x][i], component[y][j]]), axis=1))
+            u, n = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (names, counts))
+            pairs = np.hstack(joins) if joins else np.empty((2, 0), np.int64)
+            nothing = pa.nulls(pairs.shape[1], pa.int64())
+            yield pa.record_batch(
+                [pa.array(np.concatenate([u, pairs[0]])), pa.concat_arrays([pa.array(n.astype(np.int64)), nothing]), pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(pairs[1])])],
+                names=["node", "n", "other"],
+            )
 
     grouped = dealt.repartition("task").sortWithinPartitions("task", "node")
-    return grouped.mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return grouped.mapInArrow(compare, "node long, n long, other long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = 12) -> DataFrame:
@@ -256,9 +291,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = 12)
     full = graph.groupBy("node").agg(F.count_if(F.col("sim") >= threshold).alias("n")).where(F.col("n") >= k).select("node")
     wide = member.join(full, "node", "left_semi").select("component").distinct()
     narrow = member.join(wide, "component", "left_anti").select("node")
-    few = both.join(narrow, "node", "left_semi").join(nodes.select(F.col("node").alias("nbr"), "copies"), "nbr").groupBy("node").agg(F.sum("copies").alias("n"))
-    many = _enlarged(member.join(wide, "component", "left_semi"), nodes, threshold)
-    counts = few.union(many).groupBy("node").agg(F.sum("n").alias("n"))
+    counts = both.join(narrow, "node", "left_semi").join(nodes.select(F.col("node").alias("nbr"), "copies"), "nbr").groupBy("node").agg(F.sum("copies").alias("n"))
+    saturated = materialise(member.join(wide, "component", "left_semi"), "saturated")
+    if not saturated.isEmpty():
+        found = materialise(_enlarged(_neighbourhoods(saturated, nodes, threshold, k), nodes, threshold), "enlarged")
+        more = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
+        counts = counts.union(more).groupBy("node").agg(F.sum("n").alias("n"))
+        joins = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        if not joins.isEmpty():
+            merged = components(joins, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("merged"))
+            member = member.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
     linked = nodes.select("node", "copies").join(member, "node", "left").join(counts, "node", "left")
     linked = linked.select("node", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     first = rows.join(linked.select("node", "component"), "node").groupBy("component").agg(F.min("vec_id").alias("component_id"))

@@ -130,6 +130,9 @@ def test_vectors(spark):
     rows += [(100 + i, (centre + 0.02 * r.normal(size=8)).tolist(), 1) for i in range(45)]
     rows += [(200 + i, centre.tolist(), 2) for i in range(5)] + [(300, (2 * centre).tolist(), 2), (301, centre.tolist(), None)]
     rows += [(400, None, 1), (401, [], 1), (402, [0.0] * 8, 1), (403, [None] + [1.0] * 7, 1), (404, [float("nan")] + [1.0] * 7, 1), (405, [1.0, 2.0], 1), (406, [1.0, 2.0], 1), (7, rows[7][1], 7 % 3)]
+    turned = centre + 0.13 * np.linalg.norm(centre) * np.eye(8)[2]
+    for n, middle in enumerate((centre, turned)):  # two tight groups, whose lists fill with their own, linked across
+        rows += [(500 + 100 * n + i, (middle + 0.001 * r.normal(size=8)).tolist(), 0) for i in range(30)]
     df = spark.createDataFrame([(i, v, label) for i, v, label in rows], "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as node", "2 as copies", "3 as n")
     floats = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], label) for i, v, label in rows]
     found = sorted(str(tuple(x)) for x in nn.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect())
