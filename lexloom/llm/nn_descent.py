@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from .base import components, materialise
 
 BLOCK = 512
+SALTS = 64
 LEAF = 64
 
 
@@ -212,10 +213,13 @@ def _neighbourhoods(member: DataFrame, nodes: DataFrame, threshold: float, k: in
     representatives are no further apart than both angles and the threshold's; near ones are found in the same leaves.
     """
     own = member.join(nodes.select("node", "vector", "label", "width"), "node")
-    centre = nodes.select(F.col("node").alias("component"), F.col("vector").alias("centre"))
+    # a group's members are spread over SALTS tasks, each with a copy of the centre
+    own = own.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(SALTS)).cast("int"))
+    groups = member.select(F.col("component").alias("node")).distinct()
+    centre = nodes.join(groups, "node", "left_semi").select(F.col("node").alias("component"), F.col("vector").alias("centre"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda t, z: t + z)
     cosine = product("vector", "centre") / F.sqrt(product("vector", "vector") * product("centre", "centre"))
-    wide = own.join(centre, "component").groupBy("component").agg(F.acos(F.least(F.greatest(F.min(cosine), F.lit(-1.0)), F.lit(1.0))).alias("angle"))
+    wide = own.join(centre, ["component", "salt"]).groupBy("component").agg(F.acos(F.least(F.greatest(F.min(cosine), F.lit(-1.0)), F.lit(1.0))).alias("angle"))
     wide = materialise(wide, "angles")
     stand = nodes.join(wide.select(F.col("component").alias("node")), "node", "left_semi")
     edges = None
