@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: A word of the contracts: a run of bytes that are no ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..sources.scratch import materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lexloom-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["WORD", "components", "forest", "held_out", "materialise", "prefix_sum", "shared_dir", "table"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and reread it: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lexloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word of the contracts: a run of bytes that are no ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

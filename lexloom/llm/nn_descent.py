@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 
 from .base import components, materialise
 
-BLOCK = 512
+BLOCK = 2048
 SALTS = 64
 LEAF = 64
 
@@ -238,8 +238,9 @@ def _enlarged(member: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     parts of a node's number of links, and rows (component, null, other) of components that a link joins."""
     placed = member.join(nodes.select("node", "vector", "copies"), "node")
     placed = placed.join(member.groupBy("task_group").agg(F.count("*").alias("m")), "task_group")
-    # members are dealt to blocks by hash: about BLOCK in each, more blocks for larger groups
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
+    # members are dealt to blocks by hash; larger groups have more and, up to BLOCK, larger ones
+    block = F.least(F.greatest(F.col("m") / 16, F.lit(float(LEAF))), F.lit(float(BLOCK)))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
