@@ -50,7 +50,9 @@ def drop_special(c: Column, not_kept: str = NOT_KEPT) -> Column:
 def clean(c: Column, not_kept: str = NOT_KEPT) -> Column:
     """White space first, so a header mark eats the rest of the text; then noise, punctuation, special characters."""
     t = F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")
-    t = reduce(lambda x, p: F.regexp_replace(x, p, ""), NOISE, t)
+    # every pattern needs one of these, so most texts are spared the search
+    noisy = F.contains(c, F.lit("页")) | F.contains(c, F.lit("---")) | F.contains(c, F.lit("==="))
+    t = F.when(noisy, reduce(lambda x, p: F.regexp_replace(x, p, ""), NOISE, t)).otherwise(t)
     return strip(drop_special(normalise_punctuation(t), not_kept))
 
 
