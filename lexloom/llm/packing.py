@@ -58,16 +58,22 @@ def token_bytes(texts: list[str], path: str | None = None) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
     The file's byte-level vocabulary is run by the faster of the two libraries that read it; a text that spells out a
-    special token goes to the ``tokenizers`` library itself. Tests hold the two against each other.
+    special token, or on which the faster one gives up (it bounds backtracking, which a run of a million blanks
+    exceeds), goes to the ``tokenizers`` library itself. Tests hold the two against each other.
     """
     exact, quick, special = _tokenizer(path)
     out = []
     for text in texts:
         text = text or ""
-        if special.search(text):
-            out.append(np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-        else:
-            out.append(quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes())
+        ids = None
+        if not special.search(text):
+            try:
+                ids = quick.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        if ids is None:
+            ids = np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        out.append(ids.astype("<u4", copy=False).tobytes())
     return out
 
 

@@ -116,6 +116,12 @@ def test_tokens_agree_between_libraries():
         assert np.frombuffer(b, "<u4").tolist() == exact.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_100, "\n" * 1_000_100 + "a", "x " + "\u3000" * 1_000_100 + " y"])
+def test_tokens_of_long_runs_of_blanks(run):
+    exact = pk._tokenizer(None)[0]
+    assert np.frombuffer(pk.token_bytes([run])[0], "<u4").tolist() == exact.encode(run, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_plan(seed):
     random.seed(seed)
