@@ -21,9 +21,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that cross-parsing can tell: those without a letter go."""
-    found = language_id.identify(F.col("text"), language_id.fit(docs), spark)
-    return docs.where(found["lang_pred"] != language_id.UNDETERMINED)
+    """Documents that cross-parsing by a learned language describes; all of them if no language is learned."""
+    model = language_id.fit(docs)
+    return docs if model is None else docs.where(language_id.is_told(F.col("text"), model, spark))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,10 @@ also ends where a block does.
 Sample: ``docs_per_language`` labelled documents at most, one per hash bucket, of which ``chars_per_doc`` characters at
 most, ``chars_per_language`` in all.
 
+Whether the best language describes a text at all is told by its cost: a text is ``told`` unless the cost, with one more
+phrase for each letter that no sample has, is above that of writing its symbols one by one (log2 of the symbols in the
+language's sample) plus ``MARGIN`` bits a symbol and ``SPARE`` phrases, without which a text is too short to judge.
+
 Nulls: texts that are null, empty or without a letter are ``und`` with score 0. With no labelled text at all every text
 is ``und``. Repeated rows have equal results. Extra columns are ignored; rows with a null label teach nothing.
 """
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from .base import held_out
 
 BLOCK = 256
+MARGIN = 1.0
+SPARE = 2
 SYMBOLS = 48
 _PAD, _OTHER = 0, 1
 UNDETERMINED = "und"
@@ -40,6 +46,8 @@ class LanguageModel:
     symbol: np.ndarray  # of each code point
     letter: np.ndarray  # whether a code point is a letter
     tables: list[np.ndarray]
+    plain: np.ndarray  # bits of a symbol written by itself, by language
+    strange: np.ndarray  # whether a code point is a letter that no sample has
 
 
 def suffix_automaton(symbols: list[int]) -> tuple[list[dict[int, int]], list[int]]:
@@ -106,12 +114,13 @@ def train(samples: dict[str, tuple[str, int]]) -> LanguageModel:
     order = order[seen[order] > 0]
     symbol = np.full(0x110000, _OTHER, np.uint8)
     symbol[order[letter[order]]] = np.arange(2, 2 + int(letter[order].sum()))
-    tables, bits = [], []
+    tables, bits, plain = [], [], []
     for k in languages:
         own = symbol[texts[k]].tolist()
         tables.append(parse_table(own))
         bits.append(np.log2(len(own) + 2))
-    return LanguageModel(languages, np.array(bits), symbol, letter, tables)
+        plain.append(np.log2(len(set(own)) + 1))
+    return LanguageModel(languages, np.array(bits), symbol, letter, tables, np.array(plain), letter & (seen == 0))
 
 
 def phrase_counts(model: LanguageModel, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,17 +148,37 @@ def phrase_counts(model: LanguageModel, texts: list[str | None]) -> tuple[np.nda
     return counts, has_letter
 
 
-def decide(model: LanguageModel, texts: list[str | None], chunk_chars: int = 8_000_000) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text. The score is 1 - (cost of the best)/(cost of the next), by the normalised
-    phrases, pushed towards 1 as the difference in bits grows."""
-    names, scores = [], []
+def _chunks(texts: list[str | None], chunk_chars: int):
     start = 0
     while start < len(texts):
         end, chars = start, 0
         while end < len(texts) and (end == start or chars + len(texts[end] or "") <= chunk_chars):
             chars += len(texts[end] or "")
             end += 1
-        counts, has_letter = phrase_counts(model, texts[start:end])
+        yield texts[start:end]
+        start = end
+
+
+def told(model: LanguageModel, texts: list[str | None], chunk_chars: int = 2_000_000) -> np.ndarray:
+    """Whether each text has a letter and is described by its best language."""
+    out = []
+    for chunk in _chunks(texts, chunk_chars):
+        counts, has_letter = phrase_counts(model, chunk)
+        strange = np.array([model.strange[_code_points(t or "")].sum() for t in chunk])
+        size = np.array([len((t or "").lower()) for t in chunk])
+        cost = (counts + strange[:, None]) * model.bits
+        best, row = cost.argmin(axis=1), np.arange(len(chunk))
+        most = size * (model.plain[best] + MARGIN) + SPARE * model.bits[best]
+        out.append(has_letter & (cost[row, best] <= most))
+    return np.concatenate(out) if out else np.empty(0, bool)
+
+
+def decide(model: LanguageModel, texts: list[str | None], chunk_chars: int = 8_000_000) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text. The score is 1 - (cost of the best)/(cost of the next), by the normalised
+    phrases, pushed towards 1 as the difference in bits grows."""
+    names, scores = [], []
+    for chunk in _chunks(texts, chunk_chars):
+        counts, has_letter = phrase_counts(model, chunk)
         cost = counts * model.bits
         best = cost.argmin(axis=1)
         least = cost[np.arange(len(cost)), best]
@@ -159,14 +188,13 @@ def decide(model: LanguageModel, texts: list[str | None], chunk_chars: int = 8_0
         score = 1 - 0.5 * np.exp2(-gap / 8) if len(model.languages) > 1 else np.ones(len(cost))
         names += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, has_letter)]
         scores.append(np.where(has_letter, score, 0.0))
-        start = end
     return names, np.concatenate(scores) if scores else np.empty(0)
 
 
-def fit(
+def samples(
     docs: DataFrame, docs_per_language: int = 128, chars_per_doc: int = 400, chars_per_language: int = 40_000, max_languages: int = 100
-) -> LanguageModel | None:
-    """Learn from the labelled documents that aren't held out. The driver gets at most
+) -> dict[str, tuple[str, int]]:
+    """Language to (sample, number of labelled documents), of those that aren't held out. The driver gets at most
     ``max_languages * docs_per_language`` pieces of ``chars_per_doc`` characters."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(docs_per_language))
@@ -177,7 +205,7 @@ def fit(
         labelled[r["lang"]] = labelled.get(r["lang"], 0) + r["n"]
     languages = sorted(labelled, key=lambda k: (-labelled[k], k))[:max_languages]
     if not languages:
-        return None
+        return {}
     ids = docs.sparkSession.createDataFrame(
         [(r["doc_id"], r["lang"]) for r in chosen if r["lang"] in languages], docs.select("doc_id", "lang").schema
     )
@@ -190,7 +218,13 @@ def fit(
     pieces: dict[str, list[str]] = {k: [] for k in languages}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         pieces[r["lang"]].append(r["piece"])
-    return train({k: ("\n".join(p)[:chars_per_language], labelled[k]) for k, p in pieces.items() if p})
+    return {k: ("\n".join(p)[:chars_per_language], labelled[k]) for k, p in pieces.items() if p}
+
+
+def fit(docs: DataFrame, **bounds) -> LanguageModel | None:
+    """Learn from ``samples``; None without any."""
+    found = samples(docs, **bounds)
+    return train(found) if found else None
 
 
 def identify(text: Column, model: LanguageModel | None, spark) -> Column:
@@ -205,3 +239,14 @@ def identify(text: Column, model: LanguageModel | None, spark) -> Column:
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return language(text)
+
+
+def is_told(text: Column, model: LanguageModel, spark) -> Column:
+    """Boolean column: ``told`` of each text."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def described(texts: pd.Series) -> pd.Series:
+        return pd.Series(told(shared.value, texts.tolist()))
+
+    return described(text)

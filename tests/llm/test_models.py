@@ -69,6 +69,33 @@ def test_language_accuracy(spark):
     assert len(held) > 100 and (held.lang_pred == held.lang).mean() > 0.97
 
 
+def test_language_stage_rejects_what_no_language_describes(spark, small):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    strange = ["Kot siedzi na macie i patrzy przez okno, podczas gdy na zewnątrz pada deszcz. " * 4, "Кот сидит на коврике и смотрит в окно. " * 4, "qzxj vkwq jxzq " * 20, "1 2 3"]
+    first = docs.first().asDict()
+    odd = spark.createDataFrame([tuple({**first, "doc_id": -1 - i, "text": t, "lang": None}.values()) for i, t in enumerate(strange)], docs.schema)
+    both = docs.union(odd)
+    kept = {r["doc_id"] for r in cp.keep_language(spark, both, small).collect()}
+    model = li.fit(both)
+    samples = li.samples(both)
+    symbols = lambda t: "".join(c if ord(c) < 0x110000 and model.symbol[ord(c)] != li._OTHER else " " for c in t.lower())
+    for r in [*docs.limit(12).collect(), *odd.collect()]:
+        t, costs = r["text"].lower(), []
+        for k, (text, _) in samples.items():
+            sample = symbols(text)
+            unit = np.log2(len(sample) + 2)
+            strangers = sum(c.isalpha() and not any(c in s.lower() for s, _ in samples.values()) for c in t)
+            cost = (naive_phrases(sample, symbols(t)) + strangers) * unit
+            costs.append((cost, len(t) * (np.log2(len(set(sample)) + 1) + li.MARGIN) + li.SPARE * unit))
+        cost, most = min(costs)
+        assert (r["doc_id"] in kept) == (any(c.isalpha() for c in t) and cost <= most)
+    assert not kept & {-1, -2, -3, -4} and {r["doc_id"] for r in docs.collect()} <= kept
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert cp.keep_language(spark, unlabelled, small).count() == docs.count()
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int").selectExpr("*", "1 as n", "'t' as text", "2 as feature")
 
