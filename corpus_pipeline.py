@@ -1,13 +1,11 @@
 """From raw documents to packed token sequences, in five stages that are written as Parquet one after another.
 
-Rows without a doc_id leave at the near-duplicate stage, which tells documents apart by it; nulls elsewhere are handled
-as the operators say. Every stage reads all that the one before it kept.
+Nulls are handled as the operators say. Every stage reads all that the one before it kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm import curriculum, language_id, packing, quality, simhash
@@ -27,12 +25,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))
-    chosen = docs.join(kept, "doc_id", "left_semi").select(F.struct("*").alias("document"), "doc_id")
-    return chosen.select("document", once.alias("n")).where("n = 1").select("document.*")
+    """Of each group of near-duplicates one row, that of the smallest id; rows without an id come last."""
+    return simhash.survivors(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .base import components, forest, materialise
 
@@ -191,16 +192,36 @@ def links(fps: DataFrame, distance: int = 4, hot: int = 4096) -> DataFrame:
     return found
 
 
+def groups(fps: DataFrame, hot: int = 4096) -> DataFrame:
+    """(fp, component) of distinct fingerprints ``fp``: the smallest one reachable by links of at most 4 bits."""
+    joined = components(links(fps, hot=hot), "a", "b").withColumnRenamed("node", "fp")
+    return fps.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, hot: int = 4096) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the smallest id reachable by links of at most 4 bits, of every row."""
     printed = materialise(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
     classes = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    joined = components(links(classes.select("fp"), hot=hot), "a", "b").withColumnRenamed("node", "fp")
-    node = classes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    node = classes.join(groups(classes.select("fp"), hot), "fp")
     smallest = node.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = node.select("fp", "component").join(smallest, "component").select("fp", "component_id")
     return printed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def survivors(docs: DataFrame, hot: int = 4096) -> DataFrame:
+    """One row of each group: of the smallest id (null ids come last), then of the smallest hash of the whole row."""
+    # hashes pass over nulls, so what is null is hashed too; two seeds make 128 bits
+    every = [c for name in docs.columns for c in (F.col(name).isNull(), F.col(name))]
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(F.lit(1), *every).alias("h"), F.xxhash64(F.lit(2), *every).alias("g"))
+    printed = materialise(docs.select(key.alias("key"), fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    first = materialise(printed.groupBy("fp").agg(F.min("key").alias("key")), "classes")
+    found = first.join(groups(first.select("fp"), hot), "fp").groupBy("component").agg(F.min("key").alias("key"))
+    chosen = found.select("key.h", "key.g")
+    keyed = docs.select(F.struct("*").alias("document"), key.alias("key")).select("document", "key.h", "key.g").join(chosen, ["h", "g"], "left_semi")
+    # rows that are equal in all columns are in one group
+    once = F.row_number().over(W.partitionBy("h", "g").orderBy("h"))
+    return keyed.select("document", once.alias("n")).where("n = 1").select("document.*")
+
+
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -100,6 +100,21 @@ def test_simhash_rows(spark):
     assert sm.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline as cp
+
+    same, other, third = "the same words in a row here", "all other words are found there", "nothing like the rest of them"
+    rows = [(None, same, "a"), (None, same, "b"), (4, other, "a"), (4, third, "a"), (4, third, "a"), (2, third, None), (None, None, "x"), (None, "", "y"), (None, other, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as h", "2 as key", "3 as document")
+    for parts in (1, 5):
+        found = [tuple(r)[:3] for r in cp.drop_near_duplicates(spark, docs.repartition(parts), "").collect()]
+        assert {r for r in found if r[0]} == {(4, other, "a"), (2, third, None)} and len(found) == 4
+        assert sorted(r[1] or "" for r in found if r[0] is None) == ["", same]
+        before = sorted(map(str, found)) if parts == 1 else before
+        assert sorted(map(str, found)) == before
+    assert cp.drop_near_duplicates(spark, docs.where("false"), "").columns == docs.columns
+
+
 def test_simhash_query(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     prints = {r["doc_id"]: naive_fingerprint(r["text"]) for r in docs}
