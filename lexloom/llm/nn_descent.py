@@ -6,7 +6,8 @@ are compared with each other, and each keeps its ``k`` nearest. Rounds end when
 exact neighbours of a fixed sample of vectors, finds enough of the links. A vector whose whole list lies above the
 threshold is saturated: its list is enlarged to all that its links connect it to, and to other such groups that lie
 near enough to hold a link, compared in blocks of ``BLOCK`` by ``BLOCK`` vectors, so that no list is cut short and no
-task holds a whole group. Links are pairs of cosine at least
+task holds a whole group. The final links of another fixed sample are held against its true ones; if one vector of it
+lacks any, all vectors of each label are compared, block by block, whatever that takes. Links are pairs of cosine at least
 ``threshold``, computed in double precision.
 
 Identical vectors of a label are one node that counts each copy.
@@ -158,12 +159,9 @@ def _joined(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return grouped.mapInArrow(compare, "node long, nbr long, sim double")
 
 
-def audit(graph: DataFrame, nodes: DataFrame, threshold: float, sample: int = 256) -> float:
-    """Share of the links of a sample that the graph holds or could not hold for its lists are full of links. The sample,
-    the smallest hashes, is broadcast and compared with every vector."""
-    chosen = nodes.orderBy(F.xxhash64("node")).limit(sample).select("node", "label", "width", "vector").collect()
-    if not chosen:
-        return 1.0
+def _true_links(nodes: DataFrame, threshold: float, sample: int, seed: int) -> tuple[list[int], DataFrame]:
+    """(sample, its links (node, nbr)). The sample, the smallest hashes, is broadcast and compared with every vector."""
+    chosen = nodes.orderBy(F.xxhash64("node", F.lit(seed))).limit(sample).select("node", "label", "width", "vector").collect()
 
     def links(batches):
         for batch in batches:
@@ -180,12 +178,45 @@ def audit(graph: DataFrame, nodes: DataFrame, threshold: float, sample: int = 25
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["node", "nbr"])
 
     true = nodes.select("node", "label", "width", "vector").mapInArrow(links, "node long, nbr long")
+    return [q["node"] for q in chosen], true
+
+
+def audit(graph: DataFrame, nodes: DataFrame, threshold: float, sample: int = 256) -> float:
+    """Share of the links of a sample that the graph holds or could not hold for its lists are full of links; what full
+    lists lack is for the enlargement to find and for ``misses`` to hold against the sample's true links."""
+    true = _true_links(nodes, threshold, sample, 1)[1]
     full = graph.groupBy("node").agg((F.min("sim") >= threshold).alias("full"))
     held = true.join(graph.select("node", "nbr", F.lit(True).alias("held")), ["node", "nbr"], "left").join(full, "node", "left")
     found, every = held.agg(F.count_if(F.coalesce("held", F.lit(False)) | F.coalesce("full", F.lit(False))), F.count("*")).first()
     return found / every if every else 1.0
 
 
+def misses(linked: DataFrame, nodes: DataFrame, threshold: float, sample: int = 256) -> int:
+    """How many vectors of a sample lack a link in the final result, by their number of links, all counted, or by the
+    component of a vector that they link with."""
+    chosen, true = _true_links(nodes, threshold, sample, 2)
+    if not chosen:
+        return 0
+    own = linked.select("node", "component", (F.col("n_links") - F.col("copies") + 1).alias("n"))
+    other = linked.select(F.col("node").alias("nbr"), F.col("component").alias("other"), F.col("copies").alias("weight"))
+    seen = true.join(other, "nbr").groupBy("node").agg(F.sum("weight").alias("true"), F.collect_set("other").alias("others"))
+    wrong = own.join(seen, "node").where((F.col("n") != F.col("true")) | (F.size("others") > 1) | (F.col("others")[0] != F.col("component")))
+    return wrong.count()
+
+
+def _exact(linked: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``linked`` by comparing all vectors of each label and length with each other, block by block."""
+    task_group = F.xxhash64("label", "width", F.lit(7)).alias("task_group")
+    member = materialise(linked.select("node", "component").join(nodes.select("node", task_group), "node"), "all")
+    found = materialise(_enlarged(member, nodes, threshold), "exact")
+    counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
+    joins = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    merged = components(joins, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    member = member.select("node", "component").join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    every = nodes.select("node", "copies").join(member, "node").join(counts, "node", "left")
+    return every.select("node", "component", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+
+
 def neighbour_graph(nodes: DataFrame, threshold: float, k: int = 12, trees: int = 3, rounds: int = 6, recall: float = 0.995, change: float = 0.002, seed: int = 11) -> DataFrame:
     """(node, nbr, sim): approximate nearest neighbours, refined until hardly any new link comes up and the audit agrees."""
     edges = None
@@ -307,7 +338,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = 12)
             merged = components(joins, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("merged"))
             member = member.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
     linked = nodes.select("node", "copies").join(member, "node", "left").join(counts, "node", "left")
-    linked = linked.select("node", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    linked = linked.select("node", F.coalesce("component", "node").alias("component"), "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    linked = materialise(linked, "linked")
+    if misses(linked, nodes, threshold):
+        linked = materialise(_exact(linked, nodes, threshold), "linked")
     first = rows.join(linked.select("node", "component"), "node").groupBy("component").agg(F.min("vec_id").alias("component_id"))
     by_node = linked.join(first, "component").select("node", "n_links", "component_id")
     joined = rows.join(by_node, "node", "left")
