@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.scratch import materialise, shared_dir
+from ..sources.scratch import discard, materialise, shared_dir
 
-__all__ = ["WORD", "components", "forest", "held_out", "materialise", "prefix_sum", "shared_dir", "table"]
+__all__ = ["WORD", "components", "discard", "forest", "held_out", "materialise", "prefix_sum", "shared_dir", "table"]
 
 #: A word of the contracts: a run of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,7 +74,8 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(low, "u")
         small = kept.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(kept.select("u", F.col("m").alias("v")))
-        pairs = materialise(small.where("u <> v").distinct(), "links")
+        before, pairs = pairs, materialise(small.where("u <> v").distinct(), "links")
+        discard(before)
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(

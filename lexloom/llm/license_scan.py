@@ -1,12 +1,15 @@
 """Licence scan by sentence rules.
 
-A text is cut into fragments at line ends and after ``. ! ?``; fragments, and runs of up to ``RUN`` consecutive ones
-(for sentences wrapped over lines), are normalised to lower-case letters and digits and looked up among known licence
-sentences. The identifiers found, in order, form the document's sequence, in which more than ``GAP`` fragments without
-a known sentence make a break. Ordered rules, longest sequences first, are matched against it; what a rule has matched
-is no longer there for the next. Known sentences that no rule takes are reported as ``UNMATCHED``.
+A text is normalised to lower-case words of letters and digits, one blank between. Known licence sentences, normalised
+alike, are found in that stream of words wherever they begin, whether or not a line or sentence ends there; where one is
+the beginning of another the longer counts, and sentences don't overlap. Each is mapped to its identifier, and the
+identifiers, in order, form the document's sequence, in which more than ``GAP`` words between two known sentences make a
+break. Ordered rules, longest sequences first, are matched against it; what a rule has matched is no longer there for
+the next. Known sentences that no rule takes are reported as ``UNMATCHED``.
 
-Only DataFrame functions are used. The tables of sentences and rules are fixed and small, so they are broadcast.
+Only DataFrame functions are used. Sentences are found by one pattern, a tree of their common beginnings, so a text is
+read once, in memory of a few times its size, however long its lines or sentences are. The tables of sentences and
+rules are fixed and small and are part of the plan.
 
 Nulls: null and empty texts hold no sentence and give no row; a null id is kept. Of rows with equal id and text one
 counts. An empty table gives an empty result. Extra columns are ignored. Very long texts are read whole.
@@ -14,11 +17,13 @@ counts. An empty table gives an empty result. Extra columns are ignored. Very lo
 
 from __future__ import annotations
 
+import itertools
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RUN = 12
-GAP = 5
+GAP = 16
 UNMATCHED = "UNMATCHED"
 
 #: Licences by identifier and the names under which notices cite them.
@@ -67,9 +72,19 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "isc-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "mpl-grant": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-copy-https": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "unlicense-grant": "This is free and unencumbered software released into the public domain.",
+    "unlicense-free": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "reserved": "All rights reserved.",
 }
 #: Ordered rules over sentences.
@@ -78,8 +93,15 @@ RULES = (
     ("Apache-2.0", ("apache-grant", "apache-copy", "apache-warranty", "apache-limits")),
     ("GPL-3.0-or-later", ("gpl3-grant", "gpl-warranty", "gpl-details", "gpl-copy")),
     ("GPL-2.0-or-later", ("gpl2-grant", "gpl-warranty", "gpl-details", "gpl-copy")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty", "bsd-liability")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("Zlib", ("zlib-warranty", "zlib-liability", "zlib-grant")),
+    ("ISC", ("isc-grant", "isc-warranty", "isc-liability")),
+    ("MPL-2.0", ("mpl-grant", "mpl-copy")),
+    ("MPL-2.0", ("mpl-grant", "mpl-copy-https")),
+    ("Unlicense", ("unlicense-grant", "unlicense-free")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("GPL-3.0-or-later", ("gpl3-grant",)),
     ("GPL-2.0-or-later", ("gpl2-grant",)),
@@ -90,7 +112,7 @@ RULES = (
     ("All-Rights-Reserved", ("reserved",)),
 )
 #: Every known sentence holds one of these words, so texts without any need no closer look.
-ANCHORS = ("licens", "copyright", "public", "warrant", "redistribut", "reserved", "permission", "liable", "released", "distributed", "unlicense")
+ANCHORS = ("licens", "copyright", "public", "warrant", "redistribut", "reserved", "permission", "liable", "released", "distributed", "unlicense", "compile")
 
 
 def normalise(sentence: str) -> str:
@@ -114,31 +136,38 @@ def rules() -> list[tuple[str, str]]:
     return [*listed, *[(spdx, f"<cites {spdx}>") for spdx in NAMES]]
 
 
+def sentence_pattern(sentences: list[str]) -> str:
+    """A regular expression that finds any of the sentences, the longest that begins at a place: their common beginnings
+    are written once, and of two that begin alike the longer comes first."""
+
+    def tree(rest: list[str]) -> str:
+        out, ends = [], "" in rest
+        for _, group in itertools.groupby(sorted(x for x in rest if x), key=lambda x: x[0]):
+            same = list(group)
+            shared = os.path.commonprefix(same)
+            out.append(shared + tree([x[len(shared) :] for x in same]))
+        if not out:
+            return ""
+        return out[0] if len(out) == 1 and not ends else "(?:" + "|".join([*out, *([""] if ends else [])]) + ")"
+
+    # words are of letters and digits, so a bound stands at both ends of each
+    return r"\b" + tree(sentences) + r"\b"
+
+
 def _sequences(docs: DataFrame) -> DataFrame:
     """doc_id and the sequence of each text that holds a known sentence."""
+    known = dict(known_sentences())
+    pattern = sentence_pattern(sorted(known))
     text = F.col("text")
     near = docs.select("doc_id", "text").where(F.lower(text).rlike("|".join(ANCHORS)))
-    cut = F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n")
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    parts = near.select("doc_id", F.md5(text.cast("binary")).alias("h"), F.filter(plain, lambda s: s != "").alias("parts"))
-    at = parts.select("doc_id", "h", "parts", F.explode(F.sequence(F.lit(1), F.greatest(F.size("parts"), F.lit(1)))).alias("at"))
-    runs = at.select("doc_id", "h", "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(RUN)), lambda k: F.array_join(F.slice("parts", F.col("at"), k), " "))))
-    known = docs.sparkSession.createDataFrame(known_sentences(), "col string, code string")
-    hits = runs.join(F.broadcast(known), "col")
-    longest = hits.groupBy("doc_id", "h", "at").agg(F.max_by("code", "pos").alias("code"), F.max("pos").alias("pos"))
-    ordered = longest.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "code"))).alias("found"))
-    # a sentence begins after the end of the one before; far ones have a break between
-    folded = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("end"), F.lit("").alias("codes")),
-        lambda acc, x: F.when(x["at"] <= acc["end"], acc).otherwise(
-            F.struct(
-                (x["at"] + x["pos"]).alias("end"),
-                F.concat(acc["codes"], F.when((acc["end"] > 0) & (x["at"] - acc["end"] > GAP + 1), F.lit("_")).otherwise(F.lit("")), x["code"]).alias("codes"),
-            )
-        ),
-    )
-    return ordered.select("doc_id", folded["codes"].alias("codes"))
+    words = near.select("doc_id", F.md5(text.cast("binary")).alias("h"), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")).alias("words"))
+    hits = words.where(F.col("words").rlike(pattern)).dropDuplicates(["doc_id", "h"])
+    # what stands before each sentence found, and the sentences: one more of the former than of the latter
+    cut = hits.select("doc_id", F.split("words", pattern).alias("between"), F.regexp_extract_all("words", F.lit(pattern), F.lit(0)).alias("found"))
+    code = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    before = lambda i: F.size(F.filter(F.split(F.element_at("between", i + 1), " "), lambda w: w != ""))
+    part = lambda s, i: F.concat(F.when((i > 0) & (before(i) > GAP), F.lit("_")).otherwise(F.lit("")), F.element_at(code, s))
+    return cut.select("doc_id", F.array_join(F.transform("found", part), "").alias("codes"))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,12 @@
 ``write_ogg`` and ``read_ogg`` are the two sides of the container for one value. ``packets`` is the operator on a table
 with a binary column; ``text_media`` stores texts as 8-bit PCM in Ogg, and ``media_features`` reads them back.
 
+What a stream holds is told by its first packet: PCM, Opus, Vorbis and FLAC give their rate, channels and how many
+header packets come first. Granule positions, which count samples since the stream began, tell when the last packet
+that ends on a page ends. PCM and Opus packets tell their own length, so the others are placed by counting back from
+there, and forward behind the last page that tells; packets of other codecs have a start only where the packet before
+them ends at a known position.
+
 Nulls: a null medium has no packets; a null text is an empty one, whose payload is one block of padding. Broken pages
 (wrong checksum, cut short) are left out and counted; a packet that lost a part is left out. Repeated rows are treated
 alike, since nothing but the bytes counts. An empty table gives an empty result. Extra columns are ignored.
@@ -44,9 +50,10 @@ class Stream:
     granules: list[int] = field(default_factory=list)
     pages: int = 0
     ended: bool = False
-    pending: bytes | None = None
+    pending: list[bytes] | None = None  # parts of a packet that goes on
     sequence: int = -1
     lost: int = 0
+    gaps: set[int] = field(default_factory=set)  # packets before which something was lost
 
 
 def _pages(serial: int, packets: list[tuple[bytes, int]], segments: int) -> Iterator[tuple[int, bytes]]:
@@ -114,20 +121,28 @@ def read_ogg(data: bytes) -> tuple[dict[int, Stream], int]:
         s = streams.setdefault(serial, Stream(serial))
         if number != s.sequence + 1:  # pages lost between
             s.lost += 1
+            s.gaps.add(len(s.packets))
             s.pending = None
         s.sequence, s.pages, s.ended = number, s.pages + 1, bool(flags & LAST)
-        part, skip = s.pending, bool(flags & CONTINUED) and s.pending is None
-        if part is not None and not flags & CONTINUED:
-            s.lost, part = s.lost + 1, None
+        parts, skip = s.pending, bool(flags & CONTINUED) and s.pending is None
+        if parts is not None and not flags & CONTINUED:
+            s.lost, parts = s.lost + 1, None
+            s.gaps.add(len(s.packets))
         at, here, size = at + 27 + count, len(s.packets), 0
         for value in lacing:
             size += value
             if value < 255:
                 if not skip:
-                    s.packets.append((part or b"") + data[at : at + size])
+                    s.packets.append(b"".join([*(parts or ()), data[at : at + size]]))
                     s.granules.append(-1)
-                at, size, part, skip = at + size, 0, None, False
-        s.pending = None if skip else ((part or b"") + data[at : at + size] if lacing and lacing[-1] == 255 else None)
+                at, size, parts, skip = at + size, 0, None, False
+        if skip:
+            s.pending = None
+        elif lacing and lacing[-1] == 255:
+            s.pending = parts if parts is not None else []
+            s.pending.append(data[at : at + size])
+        else:  # a page without segments leaves an open packet open
+            s.pending = parts if not lacing else None
         if len(s.packets) > here and granule >= 0:
             s.granules[-1] = granule
         at = end
@@ -139,16 +154,90 @@ def pcm_header(rate: int = RATE, channels: int = 1, per_packet: int = BLOCK) ->
     return b"PCM     " + struct.pack(">HHIIBBHI", 0, 0, 1, rate, 8, channels, per_packet, 0)
 
 
-def pcm_packets(stream: Stream) -> list[tuple[int, bytes]]:
-    """(first sample, samples) of each data packet: positions that pages tell, counted back from there."""
-    kept, end = [], None
-    for data, granule in reversed(list(zip(stream.packets, stream.granules))[1:]):
-        end = granule if granule >= 0 else end
-        if end is None:  # after the last page that tells a position
-            continue
-        end -= len(data)
-        kept.append((end, data))
-    return kept[::-1]
+def comment_packet(vendor: bytes = b"lexloom") -> bytes:
+    """A comment header without comments."""
+    return struct.pack("<I", len(vendor)) + vendor + struct.pack("<I", 0)
+
+
+@dataclass
+class Codec:
+    """What the first packet of a stream tells. ``frame`` is the bytes of a sample of all channels, 0 unless PCM."""
+
+    name: str
+    rate: int
+    channels: int
+    headers: int
+    frame: int = 0
+    skip: int = 0  # samples before time 0
+
+
+#: Samples at 48 kHz of a frame of Opus, by the configuration in its first byte.
+_OPUS_FRAMES = (480, 960, 1920, 2880) * 3 + (480, 960) * 2 + (120, 240, 480, 960) * 4
+
+
+def codec_of(first: bytes) -> Codec | None:
+    """The codec of a stream by its first packet; None if it is no known one or cut short."""
+    try:
+        if first[:8] == b"PCM     ":
+            _, _, _, rate, bits, channels, _, extra = struct.unpack_from(">HHIIBBHI", first, 8)
+            return Codec("pcm", rate, channels, 2 + extra, max(1, -(-bits // 8) * channels))
+        if first[:8] == b"OpusHead":
+            channels, skip = struct.unpack_from("<BH", first, 9)
+            return Codec("opus", 48_000, channels, 2, 0, skip)
+        if first[:7] == b"\x01vorbis":
+            _, channels, rate = struct.unpack_from("<IBI", first, 7)
+            return Codec("vorbis", rate, channels, 3)
+        if first[:5] == b"\x7fFLAC":
+            (extra,) = struct.unpack_from(">H", first, 7)
+            bits = int.from_bytes(first[27:31], "big")  # 20 bits of rate, 3 of channels less one
+            return Codec("flac", bits >> 12, (bits >> 9 & 7) + 1, 1 + extra)
+    except struct.error:
+        pass
+    return None
+
+
+def duration(codec: Codec, packet: bytes) -> int | None:
+    """Samples of a data packet; None where the packet alone doesn't tell."""
+    if codec.name == "pcm":
+        return len(packet) // codec.frame
+    if codec.name != "opus":
+        return None
+    if not packet:
+        return 0
+    kind = packet[0] & 3
+    frames = 1 if kind == 0 else 2 if kind < 3 else packet[1] & 63 if len(packet) > 1 else 0
+    return frames * _OPUS_FRAMES[packet[0] >> 3]
+
+
+def timeline(stream: Stream, codec: Codec | None) -> list[tuple[int | None, bytes]]:
+    """(first sample or None, data) of each packet behind the headers."""
+    if codec is None:
+        return [(None, p) for p in stream.packets]
+    data, granules = stream.packets[codec.headers :], stream.granules[codec.headers :]
+    length = [duration(codec, p) for p in data]
+    starts: list[int | None] = [None] * len(data)
+    end: int | None = None
+    for i in range(len(data) - 1, -1, -1):
+        end = granules[i] if granules[i] >= 0 else end
+        end = starts[i] = end - length[i] if end is not None and length[i] is not None else None
+        end = None if i + codec.headers in stream.gaps else end
+    for i in range(len(data)):  # behind the last page that tells, and where packets don't tell their length
+        if starts[i] is None:
+            before = None
+            if i + codec.headers in stream.gaps:
+                pass
+            elif i == 0:
+                before = 0
+            elif granules[i - 1] >= 0:
+                before = granules[i - 1]
+            elif starts[i - 1] is not None and length[i - 1] is not None:
+                before = starts[i - 1] + length[i - 1]
+            starts[i] = before
+    return list(zip(starts, data))
+
+
+def seconds(codec: Codec | None, sample: int | None) -> float | None:
+    return None if codec is None or sample is None or not codec.rate else (sample - codec.skip) / codec.rate
 
 
 def payload_of(text: str | None) -> bytes:
@@ -165,14 +254,18 @@ def media_of(text: str | None, tracks: int = 2) -> bytes:
     streams = {}
     for t in range(min(tracks, len(blocks))):
         own = blocks[t::tracks]
-        streams[base + t] = [(pcm_header(), 0), *[(b, (i + 1) * BLOCK) for i, b in enumerate(own)]]
+        streams[base + t] = [(pcm_header(), 0), (comment_packet(), 0), *[(b, (i + 1) * BLOCK) for i, b in enumerate(own)]]
     return write_ogg(streams)
 
 
 def samples_of(media: bytes) -> tuple[bytes, dict[int, Stream], int]:
-    """The payload read back: data packets of all streams in order of their timestamps."""
+    """The payload read back: data packets of all PCM streams in order of their timestamps."""
     streams, broken = read_ogg(media)
-    timed = [(start, serial, data) for serial, s in streams.items() for start, data in pcm_packets(s)]
+    timed = []
+    for serial, s in streams.items():
+        codec = codec_of(s.packets[0]) if s.packets else None
+        if codec and codec.name == "pcm":
+            timed += [(start, serial, data) for start, data in timeline(s, codec) if start is not None]
     return b"".join(d for *_, d in sorted(timed, key=lambda x: x[:2])), streams, broken
 
 
@@ -217,22 +310,25 @@ def media_features(text: Column) -> Column:
     return features(text)
 
 
-def packets(media: DataFrame, id_col: str, media_col: str, rate: int = RATE) -> DataFrame:
-    """One row for each data packet: id, serial, packet (from 0), start_seconds, data; streams demultiplexed."""
+def packets(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
+    """One row for each data packet, streams demultiplexed: id, serial, codec, rate, channels, packet (from 0, headers not
+    counted), start_seconds (null where no position tells it), data. A stream of no known codec has null codec and rate
+    and all its packets."""
+    names = ["id", "serial", "codec", "rate", "channels", "packet", "start_seconds", "data"]
+    types = [None, pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
 
     def rows(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
             for i, value in enumerate(batch["media"].to_pylist()):
+                out: list[tuple] = []
                 for serial, s in read_ogg(value or b"")[0].items():
-                    for n, (start, data) in enumerate(pcm_packets(s)):
-                        for column, x in zip(out, (i, serial, n, start / rate, data)):
-                            column.append(x)
-            yield pa.record_batch(
-                [batch["id"].take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.binary())],
-                names=["id", "serial", "packet", "start_seconds", "data"],
-            )
+                    codec = codec_of(s.packets[0]) if s.packets else None
+                    told = (codec.name, codec.rate, codec.channels) if codec else (None, None, None)
+                    out += [(serial, *told, n, seconds(codec, start), data) for n, (start, data) in enumerate(timeline(s, codec))]
+                if out:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out), types[1:])]
+                    yield pa.record_batch([batch["id"].take(pa.array([i] * len(out), pa.int64())), *columns], names=names)
 
     kind = media.schema[id_col].dataType.simpleString()
     chosen = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return chosen.mapInArrow(rows, f"id {kind}, serial long, packet int, start_seconds double, data binary")
+    return chosen.mapInArrow(rows, f"id {kind}, serial long, codec string, rate int, channels int, packet int, start_seconds double, data binary")

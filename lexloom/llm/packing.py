@@ -22,8 +22,11 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import re
+import warnings
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,26 @@ from pyspark.sql import Window as W
 from .base import materialise, prefix_sum
 
 
+def _plain_byte_pairs(path: str) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE: no normaliser, the byte-level split as it comes, no dropout, no
+    affixes, and pairs merged in the order of their ids. Only such a file can be run by ranks."""
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    single = {w: i for w, i in model["vocab"].items() if len(w) == 1}
+    every = len(single) + len(made) == len(model["vocab"].keys() - added)
+    return None not in made and every and len(single) == 256 and made == sorted(made) and max(single.values()) < min(made, default=1 << 30)
+
+
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str | None):
-    """The tokenizer of a file; the same vocabulary as byte-pair ranks; a pattern of its special tokens."""
+    """The tokenizer of a file; the same vocabulary as byte-pair ranks, or None if its file asks for more than these; a
+    pattern of its special tokens."""
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -46,6 +66,8 @@ def _tokenizer(path: str | None):
         path = public_tokenizers.path("byte_bpe_50k.json")
     exact = Tokenizer.from_file(path)
     special = {t.content for t in exact.get_added_tokens_decoder().values()}
+    if not _plain_byte_pairs(path):
+        return exact, None, re.compile(r"(?!)")
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
     ranks = {bytes(letters[c] for c in w): i for w, i in exact.get_vocab().items() if w not in special}
@@ -57,16 +79,17 @@ def _tokenizer(path: str | None):
 def token_bytes(texts: list[str], path: str | None = None) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
-    The file's byte-level vocabulary is run by the faster of the two libraries that read it; a text that spells out a
-    special token, or on which the faster one gives up (it bounds backtracking, which a run of a million blanks
-    exceeds), goes to the ``tokenizers`` library itself. Tests hold the two against each other.
+    A plain byte-level file, which ``_plain_byte_pairs`` makes sure of, is run by the faster of the two libraries that
+    read it; a text that spells out a special token, or on which the faster one gives up (it bounds backtracking, which a
+    run of a million blanks exceeds), and every text of any other file goes to the ``tokenizers`` library itself. Tests
+    hold the two against each other.
     """
     exact, quick, special = _tokenizer(path)
     out = []
     for text in texts:
         text = text or ""
         ids = None
-        if not special.search(text):
+        if quick is not None and not special.search(text):
             try:
                 ids = quick.encode_to_numpy(text, disallowed_special=())
             except ValueError:
@@ -104,7 +127,10 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> Da
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, max_rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
-    """(counts by size, number of sequences): few-size cutting by column generation, numbers rounded down."""
+    """(counts by size, number of sequences): few-size cutting by column generation, numbers rounded down.
+
+    Every round improves a valid plan, so ending after ``max_rounds`` costs sequences, never pieces; a warning tells.
+    """
     k, size = len(sizes), np.array(sizes)
     basis = np.diag(capacity // size).astype(float)
     x = np.array(demand) / np.diag(basis)
@@ -134,6 +160,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, max_round
         x = np.maximum(x - ratio[out] * step, 0)
         x[out] = ratio[out]
         basis[:, out] = column
+    else:
+        warnings.warn(f"configurations: still improving after {max_rounds} rounds", stacklevel=2)
     return [(basis[:, j].round().astype(int), int(x[j] + 1e-6)) for j in range(k) if x[j] + 1e-6 >= 1]
 
 

@@ -10,7 +10,9 @@ each; scoring reads all passages of whole texts.
 
 Nulls: a null text is an empty one; empty texts have one passage without features and get its score. Rows of ``labels``
 with a null id or label teach nothing; of repeated labels of an id the smallest counts. Without labels of both kinds
-every score is the share of label 1 (0.5 without labels). Repeated rows have equal results. Extra columns are ignored.
+every score is the share of label 1 (0.5 without labels). A score depends on nothing but the text and the learned
+weights, so repeated rows have equal results, in whatever batch they stand. Extra columns are ignored. Ids may be of any
+type.
 """
 
 from __future__ import annotations
@@ -48,23 +50,31 @@ _CLASS_OF = _byte_classes()
 
 
 def passage_features(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(passages, WIDTH): features of consecutive passages of ``sizes`` bytes of ``data``."""
+    """(passages, WIDTH): features of consecutive passages of ``sizes`` bytes of ``data``.
+
+    Each passage's features depend on its own bytes alone: trigrams and lags never reach over a passage's border.
+    """
     n = len(sizes)
-    owner = np.repeat(np.arange(n), sizes)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     length = np.maximum(sizes, 1)[:, None]
     share = np.bincount(owner * _CLASSES + _CLASS_OF[data], minlength=n * _CLASSES).reshape(n, _CLASSES) / length
     parts = [share]
-    wide = data.astype(np.int64)
-    trigram = np.zeros(len(data), np.int64)
-    if len(data) > 2:
-        trigram[:-2] = (wide[:-2] * 31 * 31 + wide[1:-1] * 31 + wide[2:]) % _TRIGRAMS
-    table = np.bincount(owner * _TRIGRAMS + trigram, minlength=n * _TRIGRAMS).reshape(n, _TRIGRAMS)
+    whole = np.ones(len(data), bool)  # whether a trigram of the passage begins here
+    for back in (1, 2):
+        whole[np.maximum(ends - back, 0)[sizes > 0]] = False
+    at = np.flatnonzero(whole)
+    wide = data.astype(np.int32)
+    trigram = (wide[at] * 31 * 31 + wide[at + 1] * 31 + wide[at + 2]) % _TRIGRAMS
+    table = np.bincount(owner[at] * _TRIGRAMS + trigram, minlength=n * _TRIGRAMS).reshape(n, _TRIGRAMS)
     most = np.minimum(length[:, 0], _TRIGRAMS)
     parts += [((table > 0).sum(axis=1) / most)[:, None], ((table * table).sum(axis=1) / (length[:, 0] ** 2))[:, None]]
     for lag in LAGS:
-        same = np.zeros(len(data), bool)
-        same[lag:] = data[lag:] == data[:-lag]
-        parts.append(np.bincount(owner, same, minlength=n)[:, None] / length)
+        same = np.zeros(len(data) + 1, np.int32)  # how many bytes before this one equal the byte ``lag`` before them
+        same[lag + 1 :] = data[lag:] == data[:-lag]
+        np.cumsum(same, out=same)
+        parts.append((same[ends] - same[np.minimum(starts + lag, ends)])[:, None] / length)
     return np.hstack(parts).astype(np.float32)
 
 
@@ -147,16 +157,25 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gates: i
     return AttentionModel(mean, scale, w, prior)
 
 
-def score_texts(model: AttentionModel, texts: list[str | None], chunk: int = 20_000) -> np.ndarray:
+def score_texts(model: AttentionModel, texts: list[str | None], chunk: int = 2_000, chars: int = 1_000_000) -> np.ndarray:
+    """Scores of whole texts, read by about ``chars`` characters and encoded by ``chunk`` passages at a time."""
     if model.weights is None or not len(texts):
         return np.full(len(texts), model.prior)
-    data, sizes, counts = passages(texts)
-    ends, hidden = np.cumsum(sizes), []
-    for a in range(0, len(sizes), chunk):
-        b = min(a + chunk, len(sizes))
-        part = data[ends[a] - sizes[a] : ends[b - 1]]
-        hidden.append(model.encode(passage_features(part, sizes[a:b])).astype(np.float32))
-    return model.score(np.vstack(hidden).astype(np.float64), counts)
+    out, start = [], 0
+    while start < len(texts):
+        end, held = start + 1, len(texts[start] or "")
+        while end < len(texts) and held + len(texts[end] or "") <= chars:
+            held += len(texts[end] or "")
+            end += 1
+        data, sizes, counts = passages(texts[start:end])
+        ends, hidden = np.cumsum(sizes), []
+        for a in range(0, len(sizes), chunk):
+            b = min(a + chunk, len(sizes))
+            part = data[ends[a] - sizes[a] : ends[b - 1]]
+            hidden.append(model.encode(passage_features(part, sizes[a:b])))
+        out.append(model.score(np.vstack(hidden), counts))
+        start = end
+    return np.concatenate(out)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 2500, max_passages: int = 48, label: str = "quality") -> AttentionModel:
@@ -178,8 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 2500, max_passa
             yield pd.DataFrame(rows, columns=["doc_id", "y", "bag"])
 
     # max_documents rows of two numbers are broadcast
-    bags = docs.select("doc_id", "text").join(F.broadcast(marked.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id")
-    encoded = bags.mapInPandas(encode, "doc_id long, y int, bag binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("bag").alias("bag")).collect()
+    wanted = marked.select(F.col("doc_id").cast("string").alias("__id"), F.col("y").cast("int").alias("y"))
+    bags = docs.select("doc_id", "text", F.col("doc_id").cast("string").alias("__id")).join(F.broadcast(wanted), "__id").drop("__id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    encoded = bags.mapInPandas(encode, f"doc_id {kind}, y int, bag binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("bag").alias("bag")).collect()
     encoded.sort(key=lambda r: r["doc_id"])
     arrays = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in encoded]
     return train(arrays, np.array([r["y"] for r in encoded], dtype=float))

@@ -15,7 +15,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(F.col("text"), chain).alias("m"))
-    return scored.select("doc_id", "held_out", "m.insult", "m.contempt", F.col("m.toxic").alias("score"), (F.col("m.toxic") >= 0.4).cast("int").alias("predicted"))
+    return scored.select("doc_id", "held_out", "m.kind_1", "m.kind_2", F.col("m.toxic").alias("score"), (F.col("m.toxic") >= 0.4).cast("int").alias("predicted"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum(table(spark, sf_dir, "documents"))
     ranged = mixed.withColumn("position", F.try_element_at("positions", F.lit(1)))
     ordered = ranged.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
-    return ordered.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"))
+    time = lambda n: F.round(F.try_element_at("positions", F.lit(n)), 6)
+    return ordered.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), time(1).alias("first_position"), time(2).alias("second_position"))
 
 
 def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,26 +110,35 @@ with d as (
             / sum(w) over (order by cap / w, place rows between current row and unbounded following) as level
   from w
 ), t as (
-  select source, source_size, least(cap, max(level) over () * w) as target from l
+  select source, source_size, place, least(cap, max(level) over () * w) as target from l
 ), p as (
   select d.*, coalesce(sum(size) over (partition by source order by h, size rows between unbounded preceding and 1 preceding), 0) as before
   from d
+), q as (
+  select p.doc_id, p.size, t.source_size, t.target, t.place % 3 as kind, (p.before + p.size / 2.0::double) / t.target as y1,
+         (p.before + p.size / 2.0::double + t.source_size) / t.target as y2
+  from p join t on p.source is not distinct from t.source
+), x as (
+  -- the share y of a source's words is asked for at the time at which its schedule's integral is y
+  select *, case when size > 0 and y1 < 1 then case kind when 0 then sqrt(0.25 + 2 * y1) - 0.5 when 1 then y1 else (1.4 - sqrt(1.96 - 1.6 * y1)) / 0.8 end end as t1,
+         case when size > 0 and y2 < 1 then case kind when 0 then sqrt(0.25 + 2 * y2) - 0.5 when 1 then y2 else (1.4 - sqrt(1.96 - 1.6 * y2)) / 0.8 end end as t2
+  from q
 )
-select p.doc_id, p.size, t.source_size, t.target,
-       p.size * (case when p.size > 0 and p.before + p.size / 2.0::double < t.target then 1 else 0 end
-               + case when p.size > 0 and p.before + p.size / 2.0::double + t.source_size < t.target then 1 else 0 end) as taken
-from p join t on p.source is not distinct from t.source
+select doc_id, size, source_size, target, size * (case when t1 is null then 0 else 1 end + case when t2 is null then 0 else 1 end) as taken,
+       round(t1, 6) as first_position, round(t2, 6) as second_position
+from x
 """
 
 
 def _op2_sql() -> str:
-    """The licence scan with the same sentences and rules, the sequence folded by a recursive query."""
-    from .license_scan import ANCHORS, GAP, RUN, UNMATCHED, known_sentences, rules
+    """The licence scan with the same sentences and rules."""
+    from .license_scan import ANCHORS, GAP, UNMATCHED, known_sentences, rules, sentence_pattern
 
     def quoted(x):
         return "'" + x.replace("'", "''") + "'"
 
     known = ", ".join(f"({quoted(s)}, {quoted(c)})" for s, c in known_sentences())
+    pattern = quoted(sentence_pattern(sorted(s for s, _ in known_sentences())))
     chain, counts = [], []
     for i, (licence, codes) in enumerate(rules()):
         chain.append(f"s{i + 1} as (select *, replace(r{i}, {quoted(codes)}, '#') as r{i + 1} from s{i})")
@@ -136,30 +146,18 @@ def _op2_sql() -> str:
     last = len(rules())
     counts.append(f"select doc_id, {quoted(UNMATCHED)} as licence, length(r{last}) - length(replace(r{last}, '<', '')) as n from s{last}")
     return rf"""
-with recursive known(sentence, code) as (values {known}),
-cut as (
-  select distinct doc_id, text, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) as p
+with known(sentence, code) as (values {known}),
+plain as (
+  select distinct doc_id, text, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as words
   from documents where regexp_matches(lower(text), {quoted("|".join(ANCHORS))})
-), parts as (
-  select doc_id, text, list_filter(list_transform(p, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') as parts
-  from cut
-), starts as (
-  select doc_id, text, parts, unnest(range(1, len(parts) + 1)) as spot from parts
-), runs as (
-  select doc_id, text, spot, k - 1 as pos, array_to_string(list_slice(parts, spot, spot + k - 1), ' ') as run
-  from starts, range(1, {RUN + 1}) t(k)
+), cut as (
+  select doc_id, text, regexp_extract_all(words, {pattern}) as found, string_split_regex(words, {pattern}) as parts from plain where regexp_matches(words, {pattern})
 ), hits as (
-  select doc_id, text, spot, max_by(code, pos) as code, max(pos) as pos from runs join known on run = sentence group by all
-), placed as (
-  select *, row_number() over (partition by doc_id, text order by spot) as i from hits
-), folded as (
-  select doc_id, text, i, spot + pos as fin, code as codes from placed where i = 1
-  union all
-  select p.doc_id, p.text, p.i, case when p.spot <= f.fin then f.fin else p.spot + p.pos end,
-         case when p.spot <= f.fin then f.codes else f.codes || case when p.spot - f.fin > {GAP + 1} then '_' else '' end || p.code end
-  from folded f join placed p on p.doc_id is not distinct from f.doc_id and p.text = f.text and p.i = f.i + 1
+  select doc_id, text, unnest(found) as sentence, unnest(range(1, len(found) + 1)) as i, parts from cut
+), coded as (
+  select doc_id, text, i, code, len(list_filter(string_split(parts[i], ' '), lambda w: w <> '')) as gap from hits join known using (sentence)
 ), s0 as (
-  select doc_id, max_by(codes, i) as r0 from folded group by doc_id, text
+  select doc_id, string_agg(case when i > 1 and gap > {GAP} then '_' else '' end || code, '' order by i) as r0 from coded group by doc_id, text
 ), {", ".join(chain)}
 select doc_id, licence, sum(n)::bigint as matches from ({" union all ".join(counts)}) group by doc_id, licence having sum(n) > 0
 """

@@ -2,21 +2,24 @@
 
 Categories are predicted one after another by logistic models over word and word-beginning features; every model also
 sees the probabilities of the categories before it. In training these are out-of-fold predictions, so that a later
-model learns from the kind of probabilities that it will get.
+model learns from the kind of probabilities that it will get. Rows with equal features are in one fold.
 
-``labels`` mark only ``toxic``. The chain is insult, contempt, toxic: the first two are weakly labelled, a toxic
-document that holds one of the category's terms; the last is the label itself.
+``categories`` names the columns of ``labels`` in the order of the chain. Where there is one only, the chain is given
+earlier categories that the data suggest: toxic documents of the sample are parted into ``kinds`` clusters by their
+features (spherical k-means), and ``kind_1``, ``kind_2``, ... are membership of each. No list of words is used.
 
 Learning takes ``max_documents`` labelled documents at most (smallest hashes first) and keeps the ``max_features``
-features that separate the label best; features are counted by Spark. Scoring reads whole texts.
+features that speak most clearly for any category; features are counted by Spark. Scoring reads whole texts.
 
-Nulls: a null text is an empty one and gets the score of a text without features. Rows of ``labels`` with a null id or
-label teach nothing; of repeated labels of an id the largest counts. A category without both kinds has its share as
-probability (0 without labels). Repeated rows have equal results. Extra columns are ignored.
+Nulls: a null text is an empty one and gets the score of a text without features. Rows of ``labels`` with a null id
+teach nothing, a null label counts as 0 unless all labels of the row are null; of repeated labels of an id the largest
+counts. A category without both kinds has its share as probability (0 without labels). Repeated rows have equal results.
+Extra columns are ignored. Ids may be of any type.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,13 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import held_out
+from .base import held_out, materialise
 
-#: Terms of the weakly labelled categories.
-CATEGORY_TERMS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting"),
-}
 _BEGINNINGS = (4, 5, 6, 7)  # bytes
 _BLANK = bytes(32 if i < 48 or 57 < i < 97 or 122 < i < 128 else i for i in range(256))
 
@@ -94,8 +92,8 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 3
 
 
 def train_chain(x: np.ndarray, labels: dict[str, np.ndarray], place: dict[bytes, int], folds: int = 5) -> Chain:
-    """Fit the categories in order; fold of a row is its place modulo ``folds``."""
-    fold = np.arange(len(x)) % folds
+    """Fit the categories in order; a row's fold is told by its features, so equal rows never teach about each other."""
+    fold = np.array([zlib.crc32(row.tobytes()) % folds for row in x], dtype=np.int64)
     earlier, weights = np.empty((len(x), 0)), []
     for y in labels.values():
         wide = np.hstack([x, earlier])
@@ -117,39 +115,65 @@ def vectors(counts: list[Counter], place: dict[bytes, int]) -> np.ndarray:
     return x
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 4000, max_features: int = 256, least: int = 4, label: str = "toxic") -> Chain:
+def kinds_of(x: np.ndarray, kinds: int, rounds: int = 20) -> np.ndarray:
+    """Cluster of each row by spherical k-means; the first centre is the row nearest to the mean, each further one the
+    row farthest from all centres so far, so reruns agree."""
+    m = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    if len(m) <= kinds:
+        return np.arange(len(m))
+    centres = [m[(m @ m.mean(axis=0)).argmax()]]
+    while len(centres) < kinds:
+        centres.append(m[(m @ np.array(centres).T).max(axis=1).argmin()])
+    c = np.array(centres)
+    for _ in range(rounds):
+        near = (m @ c.T).argmax(axis=1)
+        sums = np.array([m[near == k].sum(axis=0) for k in range(kinds)])
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
+    return near
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("toxic",), kinds: int = 2, max_documents: int = 4000, max_features: int = 256, least: int = 4) -> Chain:
     """Learn from labelled documents that aren't held out. The driver gets ``max_features`` features and their counts in
     ``max_documents`` documents at most."""
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-    marked = marked.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
+    some = F.coalesce(*[F.col(c) for c in categories]).isNotNull()
+    marked = labels.where(F.col("doc_id").isNotNull() & some & ~held_out(F.col("doc_id")))
+    marks = F.array(*[F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)) for c in categories])
+    marked = marked.groupBy("doc_id").agg(marks.alias("marks")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
 
     def count(frames):
         for frame in frames:
-            rows = [(i, y, f, n) for i, y, t in zip(frame["doc_id"], frame["y"], frame["text"]) for f, n in feature_counts(words_of(t)).items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "y", "feature", "n"])
-
-    chosen = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # max_documents rows of two numbers
-    # persisted, since it is read three times; lost blocks are computed again
-    counted = chosen.mapInPandas(count, "doc_id long, y int, feature binary, n long").groupBy("doc_id", "feature").agg(F.max("y").alias("y"), F.max("n").alias("n")).persist()
-    kinds = {r[0]: r[1] for r in counted.groupBy("y").agg(F.count_distinct("doc_id")).collect()}
-    total, toxic = sum(kinds.values()), sum(n for y, n in kinds.items() if y)
-    by_feature = counted.groupBy("feature").agg(F.sum(F.col("y").cast("boolean").cast("int")).alias("a"), F.count("*").alias("b")).where(F.col("b") >= least)
+            rows = [(i, m, f, n) for i, m, t in zip(frame["doc_id"], frame["marks"], frame["text"]) for f, n in [(b"", 1), *feature_counts(words_of(t)).items()]]
+            yield pd.DataFrame(rows, columns=["doc_id", "marks", "feature", "n"])
+
+    wanted = marked.select(F.col("doc_id").cast("string").alias("__id"), "marks")  # max_documents rows of a few numbers
+    chosen = docs.select("doc_id", "text", F.col("doc_id").cast("string").alias("__id")).join(F.broadcast(wanted), "__id").drop("__id")
+    # every document has the empty feature; written, since it is read three times
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counted = chosen.mapInPandas(count, f"doc_id {kind}, marks array<int>, feature binary, n long").groupBy("doc_id", "feature").agg(F.max("marks").alias("marks"), F.max("n").alias("n"))
+    counted = materialise(counted, "counted")
+    toxic = F.exists("marks", lambda m: m > 0)
+    by_feature = counted.groupBy("feature").agg(F.count_if(toxic).alias("a"), F.count("*").alias("b"))
+    whole = by_feature.where("feature = X''").select(F.col("a").alias("every_a"), F.col("b").alias("every_b"))  # one row
     a, b = F.col("a") + 0.5, F.col("b") - F.col("a") + 0.5
-    ratio = F.log((a / (toxic + 1)) / (b / (total - toxic + 1)))
-    picked = by_feature.select("feature", (F.abs(ratio) * F.when(ratio > 0, F.col("a")).otherwise(F.col("b") - F.col("a"))).alias("gain"), ratio.alias("ratio"))
-    top = picked.where("ratio > 0").orderBy(F.desc("gain"), "feature").limit(max_features)
+    ratio = F.log((a / (F.col("every_a") + 1)) / (b / (F.col("every_b") - F.col("every_a") + 1)))
+    rated = by_feature.where((F.col("b") >= least) & (F.length("feature") > 0)).crossJoin(F.broadcast(whole)).select("feature", (ratio * F.col("a")).alias("gain"), ratio.alias("ratio"))
+    top = rated.where("ratio > 0").orderBy(F.desc("gain"), "feature").limit(max_features)
     place = {bytes(r["feature"]): i for i, r in enumerate(top.collect())}
-    terms = {t.encode() for group in CATEGORY_TERMS.values() for t in group}
     # max_features rows of one word each
-    wanted = docs.sparkSession.createDataFrame([(bytearray(f),) for f in sorted({*place, *terms})], "feature binary")
-    rows = counted.join(F.broadcast(wanted), "feature", "left_semi").groupBy("doc_id").agg(F.max("y").alias("y"), F.collect_list(F.struct("feature", "n")).alias("f"))
-    rows = counted.groupBy("doc_id").agg(F.max("y").alias("y")).join(rows.drop("y"), "doc_id", "left").collect()
-    counted.unpersist()
+    kept = docs.sparkSession.createDataFrame([(bytearray(f),) for f in sorted({*place, b""})], "feature binary")
+    rows = counted.join(F.broadcast(kept), "feature", "left_semi").groupBy("doc_id").agg(F.max("marks").alias("marks"), F.collect_list(F.struct("feature", "n")).alias("f")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    counts = [Counter({bytes(x["feature"]): x["n"] for x in r["f"] or []}) for r in rows]
-    y = np.array([float(bool(r["y"])) for r in rows])
-    marks = {k: np.array([v and any(t.encode() in c for t in group) for v, c in zip(y, counts)], dtype=float) for k, group in CATEGORY_TERMS.items()}
-    return train_chain(vectors(counts, place), {**marks, "toxic": y}, place)
+    x = vectors([Counter({bytes(f["feature"]): f["n"] for f in r["f"]}) for r in rows], place)
+    y = {c: np.array([float(r["marks"][i] > 0) for r in rows]) for i, c in enumerate(categories)}
+    if len(categories) == 1:
+        positive = np.flatnonzero(y[categories[0]])
+        near = kinds_of(x[positive], kinds)
+        derived = {f"kind_{k + 1}": np.zeros(len(rows)) for k in range(kinds)}
+        for k, marks_of in enumerate(derived.values()):
+            marks_of[positive[near == k]] = 1.0
+        y = {**derived, **y}
+    return train_chain(x, y, place)
 
 
 def score_texts(chain: Chain, texts: list[str | None], known: dict | None = None) -> np.ndarray:

@@ -163,11 +163,64 @@ def test_vectors_whose_links_the_search_lost(spark, monkeypatch):
     floats = [(i, [float(np.float32(x)) for x in v], label) for i, v, label in rows]
     whole = nn.neighbour_graph
     # every third vector is in no list, as on the rim of a group, and its own is empty
-    monkeypatch.setattr(nn, "neighbour_graph", lambda *a: whole(*a).where("pmod(node, 3) <> 0 and pmod(nbr, 3) <> 0"))
-    found = sorted(str(tuple(x)) for x in nn.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect())
+    monkeypatch.setattr(nn, "neighbour_graph", lambda *a, **b: whole(*a, **b).where("pmod(node, 3) <> 0 and pmod(nbr, 3) <> 0"))
+    rows = nn.near_duplicates(df).collect()
+    assert sorted(str(tuple(x)[:4]) for x in rows) == naive_vectors(floats) and {x["audited_recall"] for x in rows} == {1.0}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_of_several_widths(spark, kind):
+    r = np.random.default_rng(8)
+    rows = []
+    for width in (4, 5, 8, 64):
+        centre = r.normal(size=width)
+        rows += [(width * 1000 + i, (centre + 0.02 * i * r.normal(size=width)).tolist(), i % 2) for i in range(40)]
+    rows += [(1, [1e-200] * 4, 0), (2, [1e200] * 4, 0)] if kind == "double" else []
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+    exact = (lambda x: float(np.float32(x))) if kind == "float" else float
+    floats = [(i, [exact(x) for x in v], label) for i, v, label in rows if i > 2]
+    found = sorted(str(tuple(x)) for x in nn.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").where("vec_id > 2").collect())
     assert found == naive_vectors(floats)
 
 
+def test_numbers_shared_by_vectors_are_given_anew(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(20)], "vec_id long, embedding array<double>, label int")
+    hashed, seeds = F.xxhash64, []
+
+    def clashing(*columns):
+        seeds.append(columns)
+        return hashed(F.lit(0)) if len(seeds) == 1 else hashed(*columns)
+
+    monkeypatch.setattr(nn.F, "xxhash64", clashing)
+    rows, nodes = nn.prepared(df)
+    assert len(seeds) == 2 and nodes.count() == rows.select("node").distinct().count() == 20
+
+
+def test_vectors_query(spark, small):
+    import pandas as pd
+
+    frame: pd.DataFrame = spark.read.parquet(f"{small}/embeddings.parquet").toPandas()
+    near = frame.head(300).copy()  # the smallest table has no links, so some are made from its vectors
+    near["vec_id"] += 1_000_000
+    near["embedding"] = [np.asarray(v) + np.float32(0.01 * np.abs(v).max()) for v in near["embedding"]]
+    every = pd.concat([frame.head(700), near])
+    rows = [(int(r.vec_id), [float(x) for x in r.embedding], r.label) for r in every.itertuples()]
+    df = spark.createDataFrame(rows, spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding", "label").schema)
+    found = sorted(str(tuple(x)) for x in nn.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect())
+    m = np.array([v for _, v, _ in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    label = np.array([x for _, _, x in rows])
+    linked = (m @ m.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    groups = classes(range(len(rows)), list(zip(*np.nonzero(linked))))
+    ids = [i for i, _, _ in rows]
+    smallest: dict = {}
+    for n, g in groups.items():
+        smallest[g] = min(ids[n], smallest.get(g, ids[n]))
+    assert linked.sum() > 100
+    assert found == sorted(str((i, int(linked[n].sum()), smallest[groups[n]], smallest[groups[n]] == i)) for n, i in enumerate(ids))
+
+
 def bitwise(data):
     c = 0
     for x in data:
@@ -222,6 +275,59 @@ def test_ogg_texts(spark):
     assert struct.unpack(">8sHHI", ogg.pcm_header()[:16])[0] == b"PCM     "
 
 
+def test_ogg_codecs(spark):
+    """Rates, header packets and times as the first packet tells them."""
+    opus = [(b"OpusHead\x01\x02" + struct.pack("<HIhB", 312, 44100, 0, 0), 0), (b"OpusTags" + ogg.comment_packet(), 0)]
+    opus += [(bytes([0x78 + n % 2]) + b"x" * 40, 960 * sum(1 + k % 2 for k in range(n + 1))) for n in range(6)]  # 20 ms, one frame or two
+    vorbis = [(b"\x01vorbis" + struct.pack("<IBI", 0, 2, 44100) + b"\0" * 14, 0), (b"\x03vorbis", 0), (b"\x05vorbis", 0)] + [(b"v" * 500, 4410 * (n + 1)) for n in range(4)]
+    rate = (48000 << 12 | 1 << 9).to_bytes(4, "big")
+    flac = [(b"\x7fFLAC\x01\x00\x00\x01fLaC" + b"\0" * 14 + rate + b"\0" * 20, 0), (b"comment", 0), (b"\xff\xf8" + b"f" * 30, 4096)]
+    pcm = [(ogg.pcm_header(16000, 2), 0), (ogg.comment_packet(), 0), (b"p" * 64, 32), (b"q" * 32, 48)]
+    unknown = [(b"what is this", 0), (b"more", 7)]
+    media = [(1, bytearray(ogg.write_ogg({7: opus, 8: vorbis, 9: flac, 10: pcm, 11: unknown}, 1))), (2, None), (3, bytearray(b"no ogg"))]
+    df = spark.createDataFrame(media, "id long, media binary")
+    by = defaultdict(list)
+    for r in sorted(ogg.packets(df, "id", "media").collect(), key=lambda r: (r["serial"], r["packet"])):
+        assert r["id"] == 1
+        by[r["serial"]].append((r["codec"], r["rate"], r["channels"], r["start_seconds"]))
+    starts = [960 * sum(1 + k % 2 for k in range(n)) for n in range(6)]
+    assert by[7] == [("opus", 48000, 2, pytest.approx((s - 312) / 48000)) for s in starts]
+    assert by[8] == [("vorbis", 44100, 2, pytest.approx(n / 10)) for n in range(4)]
+    assert by[9] == [("flac", 48000, 2, 0.0)] and by[10] == [("pcm", 16000, 2, 0.0), ("pcm", 16000, 2, 0.002)]
+    assert by[11] == [(None, None, None, None)] * 2
+    for cut in (b"OpusHead", b"PCM     \0", b"\x01vorbis", b"\x7fFLAC"):
+        assert ogg.codec_of(cut) is None
+
+
+def test_ogg_positions_after_a_loss():
+    data = ogg.write_ogg({1: [(ogg.pcm_header(), 0), (ogg.comment_packet(), 0), *[(bytes([i]) * 100, 100 * (i + 1)) for i in range(9)]]}, 1)
+    at = [m for m in range(len(data)) if data.startswith(b"OggS", m)][5]
+    bad = data[: at + 40] + bytes([data[at + 40] ^ 1]) + data[at + 41 :]
+    stream = ogg.read_ogg(bad)[0][1]
+    assert [(start, d[0]) for start, d in ogg.timeline(stream, ogg.codec_of(stream.packets[0]))] == [(100 * i, i) for i in range(9) if i != 3]
+
+
+def test_pipeline_odd_rows(spark, small):
+    """Nulls, repeated ids with other texts, string ids, clashing columns, and empty tables, through all stages."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    first = docs.where("lang = 'en'").orderBy("doc_id").first().asDict()
+    rows = [{**first, "doc_id": None}, {**first, "text": None, "doc_id": 10**6}, {**first, "text": "", "doc_id": 10**6}, {**first, "text": first["text"] + " and so it ends", "source": None}, {**first, "lang": None}]
+    odd = docs.union(spark.createDataFrame([tuple(r.values()) for r in rows], docs.schema)).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    odd = odd.withColumn("h", F.lit(1)).withColumn("size", F.lit(2)).withColumn("length", F.lit(3))
+
+    def through(docs):
+        for name, stage in cp.STAGES[:-1]:
+            columns, docs = docs.columns, base.materialise(stage(spark, docs, small), "stage")
+            assert docs.columns == columns
+        return cp.STAGES[-1][1](spark, docs, small)
+
+    # labels have whole numbers as ids; as text they match none of these, so the first stage keeps by the prior alone
+    assert through(odd).count() > 0
+    assert through(docs.where("false")).count() == 0
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline as cp
 

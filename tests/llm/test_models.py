@@ -15,33 +15,58 @@ LARGER = "/root/testdata/sf0.01"
 
 
 def naive_phrases(sample: str, text: str) -> int:
-    """Longest phrases that occur in the sample, one after another, restarted every BLOCK symbols."""
-    n = 0
-    for a in range(0, len(text), li.BLOCK):
-        block, at = text[a : a + li.BLOCK], 0
-        while at < len(block):
-            k = 1
-            while at + k < len(block) and block[at : at + k + 1] in sample:
-                k += 1
-            n, at = n + 1, at + k
+    """Longest phrases that occur in the sample, one after another, from the first symbol to the last."""
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in sample:
+            k += 1
+        n, at = n + 1, at + k
     return n
 
 
+def symbols_of(sample: str, text: str) -> str:
+    """The text as the sample's language reads it: its letters, a blank for what is no letter, a stranger for the rest."""
+    return "".join((c if c in sample else "\0") if c.isalpha() else " " for c in text.lower())
+
+
+@pytest.mark.parametrize("dense", [li.DENSE, 0])
 @pytest.mark.parametrize("seed", range(4))
-def test_cross_parsing(seed):
+def test_cross_parsing(seed, dense, monkeypatch):
     random.seed(seed)
     word = lambda letters: "".join(random.choice(letters) for _ in range(random.randrange(1, 7)))
     samples = {"one": " ".join(word("abcd") for _ in range(200)), "two": " ".join(word("cdef") for _ in range(200))}
-    model = li.train({k: (v, 1) for k, v in samples.items()})
     texts = [" ".join(word("abcdefx") for _ in range(n)) for n in (1, 5, 100, 400)]
-    counts, letters = li.phrase_counts(model, texts)
-    seen = "".join(sorted({c for s in samples.values() for c in s} - {" "}))
-    plain = lambda t: "".join(c if c in seen else " " for c in t)
-    for i, t in enumerate(texts):
-        # a symbol that no sample has is a phrase of its own wherever it stands, like a blank that the sample has
-        for k, name in enumerate(model.languages):
-            assert counts[i, k] == naive_phrases(plain(samples[name]), plain(t))
-    assert letters.all()
+    # copies of the sample, whose phrases run over many blocks, and texts whose phrases never fall into step
+    texts += [samples["one"] * 3, "ab" * 2000, "abcab d" * 700, "x" * 600]
+    for rounds in (li.ROUNDS, 1):
+        monkeypatch.setattr(li, "ROUNDS", rounds)
+        model = li.train({k: (v, 1) for k, v in samples.items()}, dense)
+        counts, letters = li.phrase_counts(model, texts)
+        for i, t in enumerate(texts):
+            for k, name in enumerate(model.languages):
+                assert counts[i, k] == naive_phrases(samples[name], symbols_of(samples[name], t))
+        assert letters.all()
+
+
+def test_large_alphabets(spark):
+    """Languages of hundreds of letters, most of them rare, and many of them shared."""
+    r = random.Random(6)
+    alphabets = {"latin": "abcdefghijklmnop", "one": [chr(0x4E00 + i) for i in range(700)], "two": [chr(0x4E00 + 500 + i) for i in range(700)], "three": [chr(0xAC00 + i) for i in range(900)]}
+    words = {k: ["".join(r.choice(v) for _ in range(r.randrange(1, 4))) for _ in range(900)] for k, v in alphabets.items()}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(60)), k) for i, k in enumerate(list(alphabets) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = docs.select("lang", "doc_id", li.identify(F.col("text"), li.fit(docs), spark)["lang_pred"].alias("p")).toPandas()
+    assert (found.lang == found.p).mean() > 0.97
+    many = docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 41).cast("string")))
+    assert len(li.fit(many).languages) > 100  # every language that labels name is learned
+
+
+def test_samples_are_whole_texts(spark):
+    rows = [(i, f"word{i} " * n, "x" if i % 2 else "y") for i, n in enumerate([3, 400, 5, 700, 20, 10, 9, 8])] + [(90, "solo " * 5000, "z"), (91, "solo " * 4000, "z")]
+    found = li.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars_per_language=6000)
+    texts = {t for _, t, _ in rows}
+    assert set("\n".join(t for t, _ in found.values()).split("\n")) <= texts and all(len(t) <= 6000 or t in texts for t, _ in found.values())
 
 
 def odd(spark, n=0):
@@ -78,17 +103,13 @@ def test_language_stage_rejects_what_no_language_describes(spark, small):
     odd = spark.createDataFrame([tuple({**first, "doc_id": -1 - i, "text": t, "lang": None}.values()) for i, t in enumerate(strange)], docs.schema)
     both = docs.union(odd)
     kept = {r["doc_id"] for r in cp.keep_language(spark, both, small).collect()}
-    model = li.fit(both)
     samples = li.samples(both)
-    symbols = lambda t: "".join(c if ord(c) < 0x110000 and model.symbol[ord(c)] != li._OTHER else " " for c in t.lower())
     for r in [*docs.limit(12).collect(), *odd.collect()]:
         t, costs = r["text"].lower(), []
-        for k, (text, _) in samples.items():
-            sample = symbols(text)
+        for text, _ in samples.values():
+            sample = "".join(c if c.isalpha() else " " for c in text.lower())
             unit = np.log2(len(sample) + 2)
-            strangers = sum(c.isalpha() and not any(c in s.lower() for s, _ in samples.values()) for c in t)
-            cost = (naive_phrases(sample, symbols(t)) + strangers) * unit
-            costs.append((cost, len(t) * (np.log2(len(set(sample)) + 1) + li.MARGIN) + li.SPARE * unit))
+            costs.append((naive_phrases(sample, symbols_of(sample, t)) * unit, len(t) * (np.log2(len(set(sample)) + 1) + li.MARGIN) + li.SPARE * unit))
         cost, most = min(costs)
         assert (r["doc_id"] in kept) == (any(c.isalpha() for c in t) and cost <= most)
     assert not kept & {-1, -2, -3, -4} and {r["doc_id"] for r in docs.collect()} <= kept
@@ -128,10 +149,47 @@ def test_quality_accuracy(spark):
     assert (held.predicted == held.quality).mean() > 0.95
 
 
-def test_chunks_of_passages_agree():
-    model = qu.train([np.ones((2, qu.WIDTH), np.float32), np.zeros((1, qu.WIDTH), np.float32)], np.array([1.0, 0.0]))
-    texts = ["a b c " * 500, "", None, "| x |" * 900]
-    assert qu.score_texts(model, texts, chunk=3) == pytest.approx(np.concatenate([qu.score_texts(model, [t]) for t in texts]), abs=0.2)
+def naive_score(model, text):
+    """The same score by plain loops."""
+    data = (text or "").encode()
+    k = max(1, -(-len(data) // qu.PASSAGE))
+    hidden = []
+    for i in range(k):
+        p = data[i * len(data) // k : (i + 1) * len(data) // k]
+        n = max(1, len(p))
+        classes = [0] * qu._CLASSES
+        for c in p:
+            ch = chr(c)
+            at = qu._ALONE.find(ch) if ch in qu._ALONE else next((len(qu._ALONE) + g for g, group in enumerate(qu._GROUPS) if ch in group), None)
+            classes[at if at is not None else qu._CLASSES - 2 if c < 32 else qu._CLASSES - 1 if c > 127 else qu._CLASSES - 3] += 1
+        trigrams = [0] * 128
+        for a, b, c in zip(p, p[1:], p[2:]):
+            trigrams[(a * 961 + b * 31 + c) % 128] += 1
+        x = [c / n for c in classes] + [sum(t > 0 for t in trigrams) / min(n, 128), sum(t * t for t in trigrams) / n**2]
+        x += [sum(a == b for a, b in zip(p, p[lag:])) / n for lag in qu.LAGS]
+        hidden.append(np.tanh((np.array(x, np.float32) - model.mean) / model.scale @ model.weights["W"] + model.weights["b"]))
+    w = model.weights
+    e = np.array([w["w"] @ (np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) for h in hidden])
+    a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return 1 / (1 + np.exp(-(sum(x * h for x, h in zip(a, hidden)) @ w["c"] + w["c0"])))
+
+
+def test_a_score_depends_on_its_text_alone(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = qu.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + ["", None, "x", "ab", "é" * 300, "| x |" * 900, "a b c " * 5000]
+    alone = [qu.score_texts(model, [t])[0] for t in texts]
+    assert qu.score_texts(model, texts) == pytest.approx(alone, abs=1e-9)
+    assert qu.score_texts(model, texts[::-1], chunk=3, chars=5000)[::-1] == pytest.approx(alone, abs=1e-9)
+    assert [naive_score(model, t) for t in texts] == pytest.approx(alone, abs=1e-6)
+    by_batch = {r["doc_id"]: r["s"] for r in docs.repartition(7).select("doc_id", qu.quality_score(F.col("text"), model).alias("s")).collect()}
+    assert [by_batch[r["doc_id"]] for r in docs.orderBy("doc_id").limit(60).collect()] == pytest.approx(alone[:60], abs=1e-9)
+
+
+def test_ids_of_any_type(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    marks = spark.read.parquet(f"{small}/labels.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert qu.fit(docs, marks).weights is not None and tx.fit(docs, marks).place and li.fit(docs) is not None
 
 
 def test_logistic():
@@ -147,11 +205,43 @@ def test_chain_uses_out_of_fold_predictions():
     random = np.random.default_rng(2)
     x = random.normal(size=(300, 4))
     first = (x[:, 0] > 0).astype(float)
-    chain = tx.train_chain(x, {"a": first, "b": first}, {bytes([i]): i for i in range(4)})
+    chain = tx.train_chain(np.vstack([x, x[:50]]), {"a": np.append(first, first[:50]), "b": np.append(first, first[:50])}, {bytes([i]): i for i in range(4)})
     assert [len(w) for w in chain.weights] == [5, 6] and chain.weights[1][4] > 0
     assert chain.predict(x).shape == (300, 2)
 
 
+def test_kinds_are_clusters():
+    r = np.random.default_rng(4)
+    x = np.vstack([np.abs(r.normal(size=(40, 3))) @ np.eye(3, 6), np.abs(r.normal(size=(25, 3))) @ np.eye(3, 6, 3)])
+    near = tx.kinds_of(x, 2)
+    assert len(set(near[:40])) == len(set(near[40:])) == 1 and near[0] != near[-1]
+    assert (tx.kinds_of(x, 2) == near).all() and tx.kinds_of(x[:1], 2).tolist() == [0] and len(tx.kinds_of(x[:0], 2)) == 0
+
+
+def test_toxicity_against_plain_loops(spark, small):
+    """Scores by the model's weights, feature by feature; given categories stand in the chain in order."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    marks = spark.read.parquet(f"{small}/labels.parquet")
+    chain = tx.fit(docs, marks)
+    texts = [r["text"] for r in docs.limit(40).collect()] + [None, "", "IDIOT idiotic\tidiots! " * 300]
+    want = []
+    for t in texts:
+        words = "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in (t or "").lower()).split()
+        x = np.zeros(len(chain.place))
+        for w in (w.encode() for w in words):
+            for f in [w, *[w[:n] + b"*" for n in (4, 5, 6, 7) if len(w) > n]]:
+                if f in chain.place:
+                    x[chain.place[f]] += 1
+        p: list[float] = []
+        for w in chain.weights:
+            p.append(1 / (1 + np.exp(-np.clip(np.log1p(x) @ w[: len(x)] + np.array(p) @ w[len(x) : -1] + w[-1], -40, 40))))
+        want.append(p)
+    assert tx.score_texts(chain, texts) == pytest.approx(np.array(want), abs=1e-9)
+    found = docs.limit(40).select(tx.toxicity(F.col("text"), chain).alias("m")).collect()
+    assert [list(r["m"]) for r in found] == [pytest.approx(w, abs=1e-9) for w in want[:40]]
+    assert tx.fit(docs, marks, categories=("quality", "toxic")).categories == ["quality", "toxic"]
+
+
 def test_toxicity_odd_rows(spark):
     docs = odd(spark)
     for rows in ([], [(4, 1, 0), (5, 1, 1), (6, None, None), (None, 1, 1), (2, 0, 0), (1, 0, 1), (8, 1, 0), (8, 1, 1)]):
