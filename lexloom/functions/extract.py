@@ -82,10 +82,21 @@ def citations(text: Column, compat: bool = False) -> Column:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, term, n): overlapping terms all count. ``terms`` (term, definition) is a dictionary to broadcast."""
-    pairs = docs.select("doc_id", "text").crossJoin(F.broadcast(terms.select("term")))
-    n = F.floor((F.length("text") - F.length(F.replace(F.col("text"), F.col("term"), F.lit("")))) / F.length("term"))
-    return pairs.select("doc_id", "term", n.cast("int").alias("n")).where("n > 0")
+    """(doc_id, term, n): overlapping terms all count. ``terms`` (term, definition) is a dictionary, whose terms become
+    part of the plan; each text is read once."""
+    listed = F.array(*[F.lit(r["term"]) for r in terms.select("term").distinct().orderBy("term").collect()])
+    n = lambda t: F.floor((F.length("text") - F.length(F.replace(F.col("text"), t, F.lit("")))) / F.length(t)).cast("int")
+    counted = F.transform(listed, lambda t: F.struct(t.alias("term"), n(t).alias("n")))
+    return docs.select("doc_id", F.inline(counted)).where("n > 0")
+
+
+def term_occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, term, definition, begin, finish) of every occurrence of a dictionary's terms (term, definition); terms
+    that overlap are all found."""
+    listed = {r["term"]: r["definition"] for r in terms.select("term", "definition").orderBy("term", "definition").collect()}
+    defined = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])
+    found = docs.select("doc_id", F.explode(spans(F.col("text"), [re.escape(t) for t in listed], distinct=False)).alias("s"))
+    return found.select("doc_id", F.col("s.text").alias("term"), F.element_at(defined, F.col("s.text")).alias("definition"), "s.begin", "s.finish")
 
 
 def structure(docs: DataFrame, chapters=CHAPTER_TITLES, articles=ARTICLE_TITLES) -> DataFrame:
@@ -146,8 +157,8 @@ def _json_part(reply: Column) -> Column:
 
 
 def parse_intent(reply: Column) -> Column:
-    """Struct (is_legal_related, legal_category, confidence, suggested_topics) of a model's reply; a reply that is no JSON
-    gives (true, "other", 0.5, [])."""
+    """Struct (is_legal_related, legal_category, confidence, suggested_topics, reasoning) of a model's reply; a reply that
+    is no JSON gives (true, "other", 0.5, [], "")."""
     text = _json_part(reply)
     ok = F.try_parse_json(text).isNotNull() & text.startswith("{")
     j = F.from_json(F.when(ok, text), INTENT_SCHEMA)
@@ -157,8 +168,10 @@ def parse_intent(reply: Column) -> Column:
         F.try_element_at(names, F.coalesce(j["legal_category"], F.lit(""))).alias("legal_category"),
         F.least(F.greatest(F.coalesce(j["confidence"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"),
         F.slice(F.coalesce(j["suggested_topics"], F.array().cast("array<string>")), 1, 5).alias("suggested_topics"),
+        F.coalesce(j["reasoning"], F.lit("")).alias("reasoning"),
     )
-    default = F.struct(F.lit(True).alias("is_legal_related"), F.lit("other").alias("legal_category"), F.lit(0.5).alias("confidence"), F.array().cast("array<string>").alias("suggested_topics"))
+    none = F.array().cast("array<string>")
+    default = F.struct(F.lit(True).alias("is_legal_related"), F.lit("other").alias("legal_category"), F.lit(0.5).alias("confidence"), none.alias("suggested_topics"), F.lit("").alias("reasoning"))
     return F.when(ok, good).otherwise(default)
 
 

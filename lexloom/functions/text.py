@@ -85,22 +85,20 @@ def is_markdown(c: Column) -> Column:
 
 def flatten_markdown(c: Column) -> Column:
     """Headings, quotes and list items marked by words; fences go, what they enclose stays as it is."""
-    lines = F.transform(F.split(c, "\n"), strip)
-    start = F.struct(F.lit(False).alias("code"), F.array().cast("array<string>").alias("out"))
+    # split at fence lines, of which every other one opens: parts 1, 3, ... are code
+    fences = F.split(F.concat(F.lit("\n"), F.array_join(F.transform(F.split(c, "\n"), strip), "\n"), F.lit("\n")), "(?<=\n)```[^\n]*\n")
 
-    def step(acc, line):
-        plain = (
+    def plain(line):
+        return (
             F.when(line.startswith("#"), F.concat(F.lit("标题: "), strip(F.regexp_replace(line, "^#+", ""))))
             .when(line.startswith("> "), F.concat(F.lit("引用: "), strip(F.regexp_replace(line, "^>+", ""))))
             .when(line.startswith("- ") | line.startswith("* "), F.concat(F.lit("• "), strip(F.regexp_replace(line, "^[-*]+", ""))))
             .otherwise(line)
         )
-        text = F.when(acc["code"], line).otherwise(plain)
-        return F.when(line.startswith("```"), F.struct((~acc["code"]).alias("code"), acc["out"].alias("out"))).otherwise(
-            F.struct(acc["code"].alias("code"), F.concat(acc["out"], F.array(text)).alias("out"))
-        )
 
-    return F.aggregate(lines, start, step, lambda acc: F.array_join(acc["out"], "\n"))
+    lines = F.transform(fences, lambda part, i: F.when(i % 2 == 1, part).otherwise(F.array_join(F.transform(F.split(part, "\n"), plain), "\n")))
+    # the line ends put around the text go again
+    return F.regexp_replace(F.array_join(lines, ""), "\\A\n|\n\\z", "")
 
 
 def mark_code(c: Column) -> Column:
@@ -158,6 +156,11 @@ def preview(c: Column, n: int = 200) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
+def vector_head(vector: Column, n: int = 10) -> Column:
+    """The first ``n`` components, for previews."""
+    return F.slice(vector, 1, n)
+
+
 def duration_label(minutes: Column) -> Column:
     m = F.floor(minutes)
     hours, days = F.floor(m / 60), F.floor(m / 1440)

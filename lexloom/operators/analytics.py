@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import preview, vector_head
+
 DEFAULT_TITLE = "新对话"
 
 
@@ -133,10 +135,24 @@ def dashboard(conversations: DataFrame, documents: DataFrame, messages: DataFram
     return live_conversations(conversations).withColumnRenamed("total", "conversations").crossJoin(documents.agg(F.count("*").alias("documents"))).crossJoin(hours)
 
 
-def document_list(documents: DataFrame, categories: DataFrame, owner: int | None = None) -> DataFrame:
+def document_list(documents: DataFrame, categories: DataFrame, owner: int | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of documents with the names of their categories, newest first, and ``total``, how many there are in all."""
     own = documents if owner is None else documents.where(F.col("user_id") == owner)
     names = categories.select(F.col("category_code").alias("file_category"), "category_name")
-    return own.join(F.broadcast(names), "file_category", "left").select("id", "title", "file_category", "category_name", "status", "created_at")
+    page = own.orderBy(F.desc("created_at"), "id")
+    page = page.offset(offset) if offset else page
+    page = page if limit is None else page.limit(limit)
+    named = page.join(names, "file_category", "left").crossJoin(F.broadcast(own.agg(F.count("*").alias("total"))))
+    return named.select("id", "title", "file_category", "category_name", "status", "created_at", "total").orderBy(F.desc("created_at"), "id")
+
+
+def chunk_pages(items: DataFrame, limit: int, offset: int = 0, head: int = 10, document_id: int | None = None) -> DataFrame:
+    """(document_id, chunk_index, preview, vector_head, total): a page of the chunks of each document, or of one, in order."""
+    own = items if document_id is None else items.where(F.col("document_id") == document_id)
+    w = W.partitionBy("document_id")
+    placed = own.select("document_id", "chunk_index", preview(F.col("content")).alias("preview"), vector_head(F.col("vector"), head).alias("vector_head"))
+    placed = placed.withColumn("__n", F.row_number().over(w.orderBy("chunk_index"))).withColumn("total", F.count("*").over(w))
+    return placed.where((F.col("__n") > offset) & (F.col("__n") <= offset + limit)).drop("__n")
 
 
 def documents_per_category(documents: DataFrame, categories: DataFrame) -> DataFrame:

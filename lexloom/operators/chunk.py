@@ -6,6 +6,7 @@ Documents that are null or empty give no chunk. Chunk indices are 0, 1, ... with
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import is_heading, is_legal, strip
+from ..sources.scratch import shared_dir
 
 # Patterns and titles.
 CLAUSE_STARTS = (r"^第[一二三四五六七八九十]+条", r"^第[0-9]+条", r"^[一二三四五六七八九十]、", r"^[0-9]+\.", r"^[一二三四五六七八九十](?U:\s)")
@@ -285,9 +287,13 @@ def dispatch(docs: DataFrame, chunkers: dict[str, Callable[[DataFrame], DataFram
         raise ValueError(f"unknown chunk strategy {strategy!r}")
     if strategy is not None:
         return known[strategy](docs).withColumn("strategy", F.lit(strategy))
-    out = None
-    for name in ("legal", "langchain", "semantic", "markdown", "pages", "paragraphs", *(chunkers or {})):
-        part = known[name](docs.where(F.col("strategy") == name)).withColumn("strategy", F.lit(name))
+    names = ("legal", "langchain", "semantic", "markdown", "pages", "paragraphs", *(chunkers or {}))
+    # written once by strategy, so that each branch reads its own documents and no others
+    path = f"{shared_dir(docs.sparkSession)}/lexloom/dispatch-{uuid.uuid4().hex}"
+    docs.where(F.col("strategy").isin(*names)).write.partitionBy("strategy").parquet(path)
+    dealt, out = docs.sparkSession.read.schema(docs.schema).parquet(path), None
+    for name in names:
+        part = known[name](dealt.where(F.col("strategy") == name)).withColumn("strategy", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

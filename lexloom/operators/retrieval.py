@@ -19,6 +19,7 @@ from .vectors import candidates, typed_hits
 NO_CONTEXT = "未检索到相关法律资料。"
 SENSITIVE = ("具体投资建议", "医疗诊断", "政治敏感话题", "具体个案判决", "未经证实的法律解释")
 ABSOLUTE = ("我建议你", "你应该", "必须", "绝对", "肯定", "百分之百", "毫无疑问")
+MOST_HITS = 1000
 DISCLAIMERS = ("仅供参考", "不构成法律建议", "具体案件请咨询专业律师", "以官方文件为准", "建议咨询专业人士")
 
 
@@ -41,9 +42,15 @@ def similar_texts(a: str, b: str, threshold: float) -> bool:
 
 
 def dedup_greedy(hits: DataFrame, threshold: float = 0.85, text: bool = True, semantic: bool = False) -> DataFrame:
-    """Greedy in order of rank: a hit goes if it is like one already kept, by text and/or by vector. A query has at most
-    twice ``k`` hits, so a group is small. Hits without a vector are kept and compared with nothing."""
+    """Greedy in order of rank: a hit goes if it is like one already kept, by text and/or by vector. Hits without a vector
+    are kept and compared with nothing.
+
+    A query has at most twice ``k`` hits; one with more than ``MOST_HITS`` is refused, since comparing all of them in one
+    task would not end. Near-duplicates of a whole corpus are ``dedup.near_duplicates``'s work.
+    """
     schema = hits.schema
+    n = F.count("*").over(W.partitionBy("query_id"))
+    hits = hits.withColumn("__n", n).where(F.when(F.col("__n") <= MOST_HITS, F.lit(True)).otherwise(F.raise_error(F.lit("dedup_greedy: too many hits of a query")).cast("boolean"))).drop("__n")
 
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rank")
@@ -81,7 +88,7 @@ def rerank(hits: DataFrame) -> DataFrame:
     score = F.col("score") + length + F.least(found * F.lit(0.03), F.lit(0.15))
     scored = hits.withColumn("rerank_score", F.round(score, 9))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank"))
-    return scored.withColumn("place", place).drop("rank").withColumnRenamed("place", "rank")
+    return scored.withColumn("rank", place)
 
 
 def quality(queries: DataFrame, hits: DataFrame) -> DataFrame:

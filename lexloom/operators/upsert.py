@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import materialise
+
 
 def accept_unique(new: DataFrame, existing: DataFrame, keys: list[str], order: str) -> DataFrame:
     """``new`` with a column ``reason``: null if accepted, else ``exists: key`` or ``repeated: key``. A null key is free."""
@@ -64,12 +66,17 @@ def apply_results(documents: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def retry(rows: DataFrame, attempt: Callable[[DataFrame], DataFrame], key: str, most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(succeeded, dead letters): ``attempt`` adds ``error`` to each row, null for success; failures are tried again."""
+    """(succeeded, dead letters): ``attempt`` adds ``error`` to each row, null for success; failures are tried again.
+
+    Every attempt is written before it is looked at, so each row is tried once in it and both results tell the same.
+    """
     done, todo = None, rows
     for n in range(1, most + 1):
-        tried = attempt(todo).withColumn("attempts", F.lit(n))
+        tried = materialise(attempt(todo).withColumn("attempts", F.lit(n)), "attempt")
         good = tried.where("error is null")
         done = good if done is None else done.unionByName(good)
         failed = tried.where("error is not null")
+        if n < most and failed.isEmpty():
+            break
         todo = rows.join(failed.select(key), key, "left_semi")
     return done.drop("error"), failed

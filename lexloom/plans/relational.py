@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
-from ..operators import rbac, upsert
-from ..sources import files, sinks
+from ..operators import chunk, rbac, upsert
+from ..sources import files, sinks, tables
+from ..sources.scratch import shared_dir
 from ..streaming import jobs
 from . import views as V
 
@@ -119,9 +122,21 @@ def a14_dashboard(s, d):
     return A.dashboard(V.conversations(s, d), V.documents(s, d), V.messages(s, d))
 
 
-@query("select d.id, d.title, d.file_category, c.category_name, d.status, d.created_s from m_docs d left join m_cat c on c.category_code = d.file_category")
+_LISTED = "select d.id, d.title, d.file_category, c.category_name, d.status, d.created_s, (select count(*) from m_docs) as total from {} d left join m_cat c on c.category_code = d.file_category"
+
+
+def _listed(s, d, **page):
+    return A.document_list(V.documents(s, d), V.categories(s, d), **page).withColumn("created_s", S("created_at")).drop("created_at")
+
+
+@query(_LISTED.format("m_docs"))
 def a15_document_list(s, d):
-    return A.document_list(V.documents(s, d), V.categories(s, d)).select("id", "title", "file_category", "category_name", "status", S("created_at").alias("created_s"))
+    return _listed(s, d)
+
+
+@query(_LISTED.format("(select * from m_docs order by created_s desc, id limit 50 offset 100)"))
+def a15_document_page(s, d):
+    return _listed(s, d, limit=50, offset=100)
 
 
 @query("select c.category_code, c.category_name, count(d.id) as n from m_cat c left join m_docs d on c.category_code = d.file_category group by 1, 2")
@@ -134,12 +149,23 @@ def a16_unmatched_categories(s, d):
     return A.unmatched_categories(V.documents(s, d), V.categories(s, d))
 
 
-@query("""select document_id, chunk_index, case when length(content) > 200 then substring(content, 1, 200) || '...' else content end as preview, list_aggregate(list_transform(vector[1:10], lambda x: round(x, 4)::varchar), 'string_agg', ',') is not null as has_head from m_items""")
+_PREVIEW = "case when length(content) > 200 then substring(content, 1, 200) || '...' else content end as preview, len(vector[1:10])::int as head, round(list_sum(list_transform(vector[1:10], lambda x: x)), 6) as head_sum"
+
+
+def _chunk_pages(s, d, limit, offset=0):
+    total = F.aggregate(F.transform("vector_head", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    out = A.chunk_pages(V.items(s, d), limit, offset)
+    return out.select("document_id", "chunk_index", "preview", F.size("vector_head").alias("head"), F.round(total, 6).alias("head_sum"), "total")
+
+
+@query(f"select document_id, chunk_index, {_PREVIEW}, count(*) over (partition by document_id) as total from m_items")
 def a17_chunk_previews(s, d):
-    from ..functions.text import preview
+    return _chunk_pages(s, d, 1 << 30)
 
-    i = V.items(s, d)
-    return i.select("document_id", "chunk_index", preview(F.col("content")).alias("preview"), (F.size(F.slice("vector", 1, 10)) > 0).alias("has_head"))
+
+@query(f"select * from (select document_id, chunk_index, {_PREVIEW}, count(*) over (partition by document_id) as total from m_items) where chunk_index >= 2 and chunk_index < 7")
+def a17_chunk_page(s, d):
+    return _chunk_pages(s, d, 5, 2)
 
 
 @query("select id, title, status from m_docs where contains(lower(title), 'src1') and status = 'completed'")
@@ -178,7 +204,7 @@ def a20_has_all_permissions(s, d):
 @query("""select v.id as viewer_id, count(*) as visible from m_users v join m_conv c on v.is_superuser or v.id = c.user_id group by 1""")
 def a21_visible_conversations(s, d):
     viewers = V.users(s, d).withColumn("can_view_all", F.col("is_superuser"))
-    return rbac.visible_rows(viewers, V.conversations(s, d)).groupBy("viewer_id").agg(F.count("*").alias("visible"))
+    return rbac.visible_counts(viewers, V.conversations(s, d))
 
 
 @query(f"with {_G} select user_id, code, module from g union select u.id, code, module from m_users u, m_perms where is_superuser")
@@ -196,6 +222,12 @@ def a24_role_user_counts(s, d):
     return rbac.role_user_counts(V.roles(s, d), V.user_roles(s, d))
 
 
+@query("""select r.id, r.code, count(distinct user_id) as user_count, coalesce(max(codes), '') as permissions from m_roles r left join m_ur on r.id = role_id left join (select role_id as k, string_agg(code, ',' order by code) as codes from m_rp join m_perms p on p.id = permission_id group by 1) on k = r.id group by 1, 2""")
+def a24_role_details(s, d):
+    out = rbac.role_details(V.roles(s, d), V.user_roles(s, d), V.role_permissions(s, d), V.permissions(s, d))
+    return out.withColumn("permissions", F.array_join("permissions", ","))
+
+
 @query("select id, code from m_roles where id in (select role_id from m_ur)")
 def a24_roles_in_use(s, d):
     return rbac.roles_in_use(V.roles(s, d), V.user_roles(s, d)).select("id", "code")
@@ -215,6 +247,33 @@ def a26_permission_stats(s, d):
     return p.groupBy("module").agg(F.count_distinct("code").alias("permissions"), F.count_distinct("role_id").alias("roles"), F.sum("users").alias("grants"))
 
 
+# links as they are in use: the grants of roles that active users hold
+_USED = "(select distinct role_id, permission_id from m_rp join m_ur using (role_id) join m_users u on u.id = user_id where is_active)"
+
+
+def _used(s, d):
+    active = V.user_roles(s, d).join(V.users(s, d).where("is_active").select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    return V.role_permissions(s, d).join(active, "role_id", "left_semi")
+
+
+@query(f"""select p.module, p.code, coalesce(string_agg(r.code, ',' order by r.code), '') as roles, count(r.code)::int as role_count from m_perms p left join {_USED} g on g.permission_id = p.id left join m_roles r on r.id = g.role_id group by 1, 2""")
+def a25_permission_roles(s, d):
+    return rbac.permission_roles(V.permissions(s, d), _used(s, d), V.roles(s, d)).withColumn("roles", F.array_join("roles", ","))
+
+
+@query(f"""select p.module, p.code, coalesce(string_agg(r.code, ',' order by r.code), '') as roles, count(r.code)::int as role_count from m_perms p left join {_USED} g on g.permission_id = p.id left join m_roles r on r.id = g.role_id where p.module = 'chat' group by 1, 2""")
+def a25_permission_roles_of_module(s, d):
+    return rbac.permission_roles(V.permissions(s, d), _used(s, d), V.roles(s, d), "chat").withColumn("roles", F.array_join("roles", ","))
+
+
+@query(f"""with p as (select * from m_perms where id in (select permission_id from {_USED} where role_id = 2))
+select count(*) as permissions, count(distinct module) as modules, string_agg(distinct module, ',' order by module) as module_list, (select count(*) from m_roles where id in (select role_id from m_ur)) as roles from p""")
+def a26_permission_totals(s, d):
+    held = V.permissions(s, d).join(_used(s, d).where("role_id = 2").select(F.col("permission_id").alias("id")), "id", "left_semi")
+    out = rbac.permission_stats(held, rbac.roles_in_use(V.roles(s, d), V.user_roles(s, d)))
+    return out.withColumn("module_list", F.array_join("module_list", ","))
+
+
 @query("select user_id, permission_id from m_ur, (select id as permission_id from m_perms where code in ('document:view', 'chat:view')) where role_id = 3")
 def a27_expand_grants(s, d):
     grants = rbac.expand_grants(V.roles(s, d), V.permissions(s, d), "guest", list(V.GUEST_GRANTS))
@@ -339,6 +398,19 @@ def u5_retry(s, d):
     return good.select("id", F.col("attempts").cast("long").alias("attempts"))
 
 
+@query("select id::varchar as id, conversation_id::varchar as conversation_id, role, content, tokens_used, created_s from m_msg")
+def s1_load(s, d):
+    path = f"{shared_dir(s)}/lexloom/table-{uuid.uuid4().hex}"
+    V.messages(s, d).select(F.col("id").cast("string"), F.col("conversation_id").cast("string"), "role", "content", F.col("tokens_used").cast("int"), "created_at").write.parquet(path)
+    return tables.load(s, path, "messages").select("id", "conversation_id", "role", "content", "tokens_used", S("created_at").alias("created_s"))
+
+
+@query()
+def s2_list_files(s, d):
+    out = files.list_files(s, d, "*.parquet")
+    return out.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "size", "extension")
+
+
 @query("select doc_id, 'utf-8' as encoding, text from documents")
 def s3_decode(s, d):
     return V.texts(s, d).select("doc_id", files.decode(F.col("text").cast("binary")).alias("r")).select("doc_id", "r.encoding", "r.text")
@@ -365,6 +437,13 @@ def s6_nested_results(s, d):
     return out.select("document_id", F.array_join(line, ",").alias("chunks"))
 
 
+@query("select event_id, floor(epoch(ts))::bigint as ts_s, user_id, event_type, value from events")
+def s7_export_events(s, d):
+    path, e = f"{shared_dir(s)}/lexloom/events-{uuid.uuid4().hex}", V.events(s, d)
+    sinks.export_events(e, path, "json")
+    return s.read.schema(e.schema).json(path).select("event_id", S("ts").alias("ts_s"), "user_id", "event_type", "value")
+
+
 @query("select document_id || '_' || chunk_index as id, document_id, chunk_index, length(content) as n from m_items")
 def s8_vector_rows(s, d):
     i = V.items(s, d)
@@ -422,6 +501,15 @@ def w4_cache_hits(s, d):
     return jobs.cache_hits(q, "query_key").select("query_key", "query_id", "hit")
 
 
+@query("select doc_id as document_id, greatest(1, ceil((length(text) - 100) / 900.0))::bigint as chunks from documents where length(text) > 0")
+def w5_ingest(s, d):
+    home = f"{shared_dir(s)}/lexloom/ingest-{uuid.uuid4().hex}"
+    V.texts(s, d).select("document_id", "text").write.parquet(f"{home}/in")
+    arriving = s.readStream.schema("document_id long, text string").parquet(f"{home}/in")
+    jobs.ingest(arriving, chunk.fixed_size, f"{home}/out", f"{home}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{home}/out").groupBy("document_id").agg(F.count("*").alias("chunks"))
+
+
 @query("select strftime(ts, '%Y-%m-%d') as day, event_type as type, 'done' as status, count(*) as n, round(avg(value), 6) as avg_seconds from events group by 1, 2")
 def w6_task_counters(s, d):
     t = V.events(s, d).select("ts", F.col("event_type").alias("type"), F.lit("done").alias("status"), F.col("value").alias("seconds"))

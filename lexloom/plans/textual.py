@@ -10,6 +10,7 @@ from ..functions import extract as E
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import chunk as C
+from ..operators import dedup as D
 from ..operators import extension as X
 from ..operators import retrieval as R
 from ..operators import vectors as N
@@ -61,7 +62,10 @@ def t3_half_width(s, d):
     return _texts(s, d, clean=T.half_width(F.col("text")))
 
 
-@query()
+_NOISE_SQL = [("(?m)^[^\\n]*[0-9]{1,2}/[0-9]{1,2}[^\\n]*$", ""), ("©[^\\n]*", ""), ("版权[^\\n]*", ""), ("https?://\\S+", ""), ("\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b", "")]
+
+
+@query(f"select doc_id, {_nested(_NOISE_SQL[::-1])} as clean from documents")
 def t4_remove_noise(s, d):
     return _texts(s, d, clean=T.remove_noise(F.col("text")))
 
@@ -86,9 +90,14 @@ def t8_clean_for_analysis(s, d):
     return V.table(s, d, "pages").select("page_id", T.clean_for_analysis(F.col("html"), r"[^a-zA-Z0-9\sÀ-ÿ]").alias("clean"))
 
 
-@query()
+@query(r"""with m as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\n([A-F])', chr(10) || '# \1', 'g'), '\n([G-M])', chr(10) || '- \1', 'g'), '\n([N-P])', chr(10) || '```' || chr(10) || '\1', 'g') as t from documents),
+l as (select doc_id, trim(line, ' ' || chr(9) || chr(13)) as line, i from (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from m)),
+f as (select *, starts_with(line, '```') as fence, sum(starts_with(line, '```')::int) over (partition by doc_id order by i) as n from l),
+g as (select doc_id, string_agg(case when n % 2 = 1 then line when starts_with(line, '#') then '标题: ' || trim(regexp_replace(line, '^#+', '')) when starts_with(line, '> ') then '引用: ' || trim(regexp_replace(line, '^>+', '')) when starts_with(line, '- ') or starts_with(line, '* ') then '• ' || trim(regexp_replace(line, '^[-*]+', '')) else line end, chr(10) order by i) filter (where not fence) as flat from f group by 1)
+select doc_id, list_bool_or(list_transform(['# ','## ','```','> ','- ','* '], lambda k: contains(t[1:1000], k))) as is_markdown, coalesce(flat, '') as flat from m join g using (doc_id)""")
 def t9_flatten_markdown(s, d):
     marked = F.regexp_replace(F.regexp_replace("text", "\n(?=[A-F])", "\n# "), "\n(?=[G-M])", "\n- ")
+    marked = F.regexp_replace(marked, "\n(?=[N-P])", "\n```\n")
     return V.texts(s, d).select("doc_id", T.is_markdown(marked).alias("is_markdown"), T.flatten_markdown(marked).alias("flat"))
 
 
@@ -122,7 +131,16 @@ def t14_file_names(s, d):
 LATIN_CITATIONS = (r"([A-Z]\w+) (\w+)\.", r"([A-Z]\w+) ([a-z]+)\.")
 
 
-@query()
+def _spans_sql(patterns) -> str:
+    """Matches and the places between them, pattern by pattern; of equal places the first pattern's."""
+    every = []
+    for k, p in enumerate(patterns):
+        p = p.replace("\\w", "[\\wÀ-ÿ]")
+        every.append(f"select doc_id, {k} as k, m[i] as text, g1[i] as law_name, g2[i] as article_number, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::int as begin from (select *, unnest(range(1, len(m) + 1)) as i from (select doc_id, regexp_extract_all(text, '{p}') as m, regexp_extract_all(text, '{p}', 1) as g1, regexp_extract_all(text, '{p}', 2) as g2, string_split_regex(text, '{p}') as parts from documents))")
+    return f"with s as ({' union all '.join(every)}) select doc_id, text, begin, (begin + length(text))::int as finish, law_name, article_number from (select *, row_number() over (partition by doc_id, begin, length(text) order by k) as n from s) where n = 1"
+
+
+@query(_spans_sql(LATIN_CITATIONS))
 def e1_citations(s, d):
     found = V.texts(s, d).select("doc_id", F.explode(E.spans(F.col("text"), LATIN_CITATIONS)).alias("c"))
     return found.select("doc_id", "c.text", "c.begin", "c.finish", F.col("c.group1").alias("law_name"), F.col("c.group2").alias("article_number"))
@@ -134,6 +152,15 @@ def e2_term_counts(s, d):
     return E.term_counts(V.texts(s, d), terms)
 
 
+_TERMS = (("tion", "ending"), ("the", "article"), ("heit", "ending"), ("que", "word"), ("ción", "ending"), ("ti", "letters"))
+
+
+@query(f"""with t(term, definition) as (values {", ".join(f"('{a}', '{b}')" for a, b in _TERMS)}), p as (select doc_id, term, definition, string_split(text, term) as parts from documents, t where contains(text, term))
+select doc_id, term, definition, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(term))::int as begin, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + i * length(term))::int as finish from (select *, unnest(range(1, len(parts))) as i from p)""")
+def e2_term_occurrences(s, d):
+    return E.term_occurrences(V.texts(s, d), s.createDataFrame(_TERMS, "term string, definition string"))
+
+
 _LINES = "l as (select doc_id, trim(line, ' ' || chr(9) || chr(13)) as line, i - 1 as line_no from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where trim(line, ' ' || chr(9) || chr(13)) <> '')"
 
 
@@ -179,14 +206,14 @@ def _replies(s, d):
     i, m = F.col("id"), V.messages(s, d)
     json = F.concat(
         F.lit('{"is_legal_related": '), F.when(i % 3 == 0, "false").otherwise("true"), F.lit(', "legal_category": "'), V._pick(i % 4, "labor", "tort", "civil", "nonsense"),
-        F.lit('", "confidence": '), F.format_string("%.2f", (i % 150) / 100.0), F.lit(', "suggested_topics": ["a", "b", "c", "d", "e", "f"], "core_issue": "issue '), i.cast("string"), F.lit('"}'),
+        F.lit('", "confidence": '), F.format_string("%.2f", (i % 150) / 100.0), F.lit(', "reasoning": "because", "suggested_topics": ["a", "b", "c", "d", "e", "f"], "core_issue": "issue '), i.cast("string"), F.lit('"}'),
     )
     reply = F.when(i % 7 == 0, F.lit("{broken")).when(i % 5 == 0, F.concat(F.lit("Sure: "), json, F.lit(" Done."))).otherwise(json)
     return m.withColumn("reply", reply)
 
 
 _INTENT = """select id, case when id % 7 = 0 then true else id % 3 <> 0 end as is_legal_related, case when id % 7 = 0 then 'other' else case id % 4 when 0 then '劳动' when 1 then '侵权' when 2 then '民事' end end as legal_category,
-case when id % 7 = 0 then 0.5 else least(round((id % 150) / 100.0::double, 2), 1) end::double as confidence, case when id % 7 = 0 then '' else 'a,b,c,d,e' end as suggested_topics from m_msg"""
+case when id % 7 = 0 then 0.5 else least(round((id % 150) / 100.0::double, 2), 1) end::double as confidence, case when id % 7 = 0 then '' else 'a,b,c,d,e' end as suggested_topics, case when id % 7 = 0 then '' else 'because' end as reasoning from m_msg"""
 
 
 @query(_INTENT)
@@ -215,12 +242,29 @@ def c1_fixed_size(s, d):
     return C.fixed_size(V.texts(s, d))
 
 
-@query()
+_TRIM = "trim(p, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def _packed(pieces: str, least: int = 0, keys: str = "doc_id") -> str:
+    """Sentences ``s`` (keys, i, p) of the unnested ``pieces`` packed up to 1000 characters: f (keys, i, now, chunk)."""
+    on = " and ".join(f"s.{k} = f.{k}" for k in keys.split(", "))
+    fits = f"f.now + length(s.p) + 1 <= 1000 or f.now < {least}"
+    own = ", ".join(f"s.{k}" for k in keys.split(", "))
+    return f"""with recursive u as ({pieces}), s as (select {keys}, {_TRIM} as p, row_number() over (partition by {keys} order by i) as i from u where {_TRIM} <> ''),
+f as (select {keys}, i, length(p) as now, 0 as chunk from s where i = 1 union all select {own}, s.i, case when {fits} then f.now + 1 + length(s.p) else length(s.p) end, case when {fits} then f.chunk else f.chunk + 1 end from f join s on {on} and s.i = f.i + 1)"""
+
+
+@query(_packed(r"select doc_id, unnest(string_split_regex(text, '[.!?\n]')) as p, generate_subscripts(string_split_regex(text, '[.!?\n]'), 1) as i from documents", 200) + """, e as (select doc_id, max(chunk) as chunk, max_by(now, i) as now from f group by 1)
+select s.doc_id as document_id, f.chunk::int as chunk_index, string_agg(p, ' ' order by s.i) as content, null::varchar as section_title from s join f using (doc_id, i) left join e on e.doc_id = s.doc_id and e.chunk = f.chunk and e.now < 200 where e.chunk is null group by 1, 2""")
 def c2_semantic(s, d):
     return C.semantic(V.texts(s, d), ends=".!?\n")
 
 
-@query()
+_SENTENCES = r"regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+')"
+
+
+@query(_packed(f"select doc_id, unnest({_SENTENCES}) as p, generate_subscripts({_SENTENCES}, 1) as i from documents") + """
+select s.doc_id as document_id, f.chunk::int as chunk_index, string_agg(p, ' ' order by s.i) as content, null::varchar as section_title from s join f using (doc_id, i) group by 1, 2""")
 def c3_plain_semantic(s, d):
     return C.plain_semantic(V.texts(s, d), ends=".!?\n")
 
@@ -255,13 +299,21 @@ def c7_markdown(s, d):
     return C.markdown(V.texts(s, d).withColumn("text", F.replace(F.col("text"), F.lit("\nT"), F.lit("\n# T"))))
 
 
-@query()
+_PAGES = "(select doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) as line, generate_subscripts(string_split(text, chr(10)), 1) as page from documents)"
+_PIECES = "case when length(line) <= 1000 then [line] else regexp_extract_all(line, '[^。！？!?.]*[。！？!?.]|[^。！？!?.]+') end"
+
+
+@query(_packed(f"select doc_id, page, unnest({_PIECES}) as p, generate_subscripts({_PIECES}, 1) as i from {_PAGES}", keys="doc_id, page") + """
+select doc_id as document_id, (row_number() over (partition by doc_id order by page, chunk) - 1)::int as chunk_index, content, page::int as page_number from (select s.doc_id, s.page, f.chunk, string_agg(p, ' ' order by s.i) as content from s join f using (doc_id, page, i) group by 1, 2, 3)""")
 def c8_pages(s, d):
     paged = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.lit("--- 第"), (i + 1).cast("string"), F.lit("页 ---\n"), line)), "\n")
     return C.pages(V.texts(s, d).withColumn("text", paged))
 
 
-@query()
+@query(f"""with {_LINES}, h as (select *, length(line) < 50 and (regexp_matches(line, '^(第|章|节|条|款|项|一、|二、|三、|四、|五、|[1-5A-E]\\.|I\\.|II\\.|III\\.|IV\\.|V\\.)') or (upper(line) = line and lower(line) <> line and length(line) > 3)) as heading from l),
+k as (select *, last_value(case when heading then line end ignore nulls) over w as title, sum((heading or starts_with(line, '[表格]'))::int) over w as island from h window w as (partition by doc_id order by line_no)),
+g as (select doc_id, island, string_agg(line, chr(10) order by line_no) as t, max(title) as section_title from k group by 1, 2), n as (select *, greatest(1, ceil(length(t) / 1000.0))::int as n from g)
+select doc_id as document_id, (row_number() over (partition by doc_id order by island, i) - 1)::int as chunk_index, substring(t, i * 1000 + 1, 1000) as content, section_title, n > 1 as is_truncated from (select *, unnest(range(0, n))::int as i from n)""")
 def c9_paragraphs(s, d):
     return C.paragraphs(V.texts(s, d))
 
@@ -315,7 +367,7 @@ def v1_cosine(s, d):
     return _pairs(s, d).select("id", F.round(N.cosine(F.col("vector"), F.col("other")), 6).alias("cosine"))
 
 
-_TOP = "h as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from (select query_id, i.id, list_dot_product(q.vector, i.vector) as score from m_q q, m_items i))"
+_TOP = "h as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from (select query_id, i.id, round(list_dot_product(q.vector, i.vector), 9) as score from m_q q, m_items i))"
 
 
 @query(f"with {_TOP} select query_id, id, round(score, 6) as score, rank::int as rank from h where rank <= 5")
@@ -323,7 +375,7 @@ def v2_top_k(s, d):
     return N.top_k(V.queries(s, d), V.items(s, d), 5).withColumn("score", F.round("score", 6))
 
 
-@query("""with h as (select query_id, i.id, list_cosine_similarity(q.vector, i.vector) as score, title, row_number() over (partition by query_id order by list_cosine_similarity(q.vector, i.vector) desc, i.id) as rank from m_q q, m_items i join m_docs d on d.id = i.document_id where d.user_id = 3)
+@query("""with h as (select query_id, i.id, round(list_cosine_similarity(q.vector, i.vector), 9) as score, title, row_number() over (partition by query_id order by round(list_cosine_similarity(q.vector, i.vector), 9) desc, i.id) as rank from m_q q, m_items i join m_docs d on d.id = i.document_id where d.user_id = 3)
 select query_id, id, round(score, 6) as score, title as document_title from h where rank <= 5 and score >= 0.1""")
 def v3_filtered_top_k(s, d):
     out = N.filtered_top_k(V.queries(s, d), V.items(s, d), V.documents(s, d).select("id", "title", "user_id"), 5, user_id=3, min_similarity=0.1)
@@ -353,7 +405,7 @@ def v7_ivf_recall(s, d):
     """Recall of the approximate search against the exact one, all items indexed."""
     q, i = V.queries(s, d), V.items(s, d)
     centres = N.ivf_fit(i)
-    return N.recall(N.ivf_top_k(q, i, 10, centres, probes=12), N.top_k(q, i, 10, "cosine"))
+    return N.recall(N.ivf_top_k(q, i, 10, centres), N.top_k(q, i, 10, "cosine"))
 
 
 @query(f"{_NEXT} select id, round(1 / (1 + list_distance(vector, other)), 6) as euclidean, round(0.7 * list_cosine_similarity(vector, other) + 0.3 / (1 + list_distance(vector, other)), 6) as hybrid from i where other is not null")
@@ -402,7 +454,7 @@ def v12_ranking(s, d):
     return _texts(s, d, score=F.round(N.ranking_score(factors), 6))
 
 
-@query()
+@query("select id, 64 as width, true as ok from m_items")
 def v13_embed(s, d):
     out = N.embed(V.items(s, d).select("id", "content"), N.hashing_embedder())
     return out.select("id", F.size("embedding").alias("width"), F.col("error").isNull().alias("ok"))
@@ -433,7 +485,9 @@ def r2_dedup_text(s, d):
     return R.dedup_greedy(_hits(s, d)).select("query_id", "id", "rank")
 
 
-@query()
+@query(f"""with recursive {_HITS}, x as (select query_id, hits.id, rank, vector from hits join m_items using (id)),
+f as (select query_id, id, rank, true as keep, [vector] as kept from x where rank = 1 union all select x.query_id, x.id, x.rank, not list_bool_or(list_transform(kept, lambda k: list_cosine_similarity(k, x.vector) >= 0.9)), case when list_bool_or(list_transform(kept, lambda k: list_cosine_similarity(k, x.vector) >= 0.9)) then kept else list_append(kept, x.vector) end from f join x on x.query_id = f.query_id and x.rank = f.rank + 1)
+select query_id, id, rank::int as rank from f where keep""")
 def r3_dedup_semantic(s, d):
     hits = _hits(s, d).join(V.items(s, d).select("id", "vector"), "id")
     return R.dedup_greedy(hits, 0.9, text=False, semantic=True).select("query_id", "id", "rank")
@@ -472,9 +526,9 @@ def r8_threshold_sweep(s, d):
     return R.threshold_sweep(N.top_k(V.queries(s, d), V.items(s, d), 10), [0.0, 0.2, 0.3, 0.5, 0.7])
 
 
-@query("select id as query_id, min(id) over (partition by lower(trim(content[1:3]))) as first_id from m_msg")
+@query("select id as query_id, min(id) over (partition by lower(trim(content))) as first_id from m_msg")
 def r9_distinct_queries(s, d):
-    q = V.messages(s, d).select(F.col("id").alias("query_id"), F.substring("content", 1, 3).alias("text"))
+    q = V.messages(s, d).select(F.col("id").alias("query_id"), F.col("content").alias("text"))
     return R.distinct_queries(q, 5, 0.7)[1]
 
 
@@ -523,6 +577,16 @@ def r15_safety(s, d):
     return V.messages(s, d).select("id", F.size(flags).cast("long").alias("warnings"))
 
 
+@query(r"""with recursive w as (select id, list_sort(list_distinct(list_filter(string_split_regex(content, '\s+'), lambda w: w <> ''))) as words from m_items),
+g as (select words, min(id) as node, len(words) as n from w group by words),
+x as (select node, n, unnest(words) as word from g),
+e as (select a.node as a, b.node as b from x a join x b on a.word = b.word and a.node < b.node and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) - 1e-6 group by a.node, b.node, a.n, b.n having count(*) >= 0.85 * (a.n + b.n - count(*)) - 1e-6),
+t as (select a, b from e union select b, a from e), r as (select node as a, node as b from g union select r.a, t.b from r join t on t.a = r.b), c as (select a as node, min(b) as component_id from r group by 1)
+select w.id, component_id, w.id = component_id as kept from w join g using (words) join c using (node)""")
+def r16_near_duplicate_chunks(s, d):
+    return D.near_duplicates(V.items(s, d).select("id", "content"))
+
+
 @query()
 def r17_retrieve(s, d):
     q = V.queries(s, d)
@@ -542,6 +606,15 @@ def r20_key_information(s, d):
     return R.key_information(V.conversations(s, d), V.messages(s, d), F.regexp_extract_all("content", F.lit("[A-Z][a-z]+"), F.lit(0)))
 
 
+@query("""select doc_id as document_id, i::int as chunk_index, substring(text, i * 500 + 1, 500) as content from (select doc_id, text, unnest(range(0, ceil(length(text) / 500.0)::int)) as i from documents where length(text) > 0)""")
+def x1_registered_chunker(s, d):
+    X.register_chunker("short", lambda docs: C.fixed_size(docs, 500, 0).select("document_id", "chunk_index", "content"))
+    try:
+        return C.dispatch(V.texts(s, d).select("document_id", "text"), X.chunkers(), strategy="short").drop("strategy")
+    finally:
+        X.unregister("chunker", "short")
+
+
 @query()
 def x2_chunk_table_function(s, d):
     X.register_table_functions(s)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.chunk import fixed_size
+
 EPOCH = 1704067200  # 2024-01-01
 AS_OF = 1706659200  # 2024-01-31
 DEFAULT_TITLE = "新对话"
@@ -118,17 +120,21 @@ def tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of 400 characters with vectors: vector v is chunk v div n of document v mod n of n documents."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    n = docs.agg((F.max("doc_id") + 1).alias("n"))
-    v = table(spark, d, "embeddings").crossJoin(F.broadcast(n)).select(F.col("vec_id").alias("id"), (F.col("vec_id") % F.col("n")).alias("document_id"), F.floor(F.col("vec_id") / F.col("n")).cast("int").alias("chunk_index"), F.col("embedding").alias("vector"))
-    content = F.substring(F.col("text"), F.col("chunk_index") * 400 + 1, F.lit(400))
-    return v.join(docs, v.document_id == docs.doc_id, "left").select("id", "document_id", "chunk_index", F.coalesce(content, F.lit("")).alias("content"), "vector")
+    """The chunks (C1) of all documents' whole texts, each with one of the given vectors, dealt by document and chunk."""
+    chunks = fixed_size(texts(spark, d)).select("document_id", "chunk_index", "content")
+    n = table(spark, d, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    given = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    dealt = chunks.crossJoin(F.broadcast(n)).withColumn("vec_id", (F.col("document_id") * 31 + F.col("chunk_index")) % F.col("n"))
+    return dealt.join(given, "vec_id").select((F.col("document_id") * 100_000 + F.col("chunk_index")).alias("id"), "document_id", "chunk_index", "content", "vector")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector whose id is divisible by 20, with its chunk as the query's text."""
-    return items(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("content").alias("query_text"), F.col("content").alias("text"), "vector")
+    """Every given vector whose id is divisible by 20, with the first sentence of a document as the query's text."""
+    docs = table(spark, d, "documents")
+    n = docs.agg((F.max("doc_id") + 1).alias("n"))
+    asked = table(spark, d, "embeddings").where("vec_id % 20 = 0").crossJoin(F.broadcast(n)).select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % F.col("n")).alias("doc_id"), F.col("embedding").alias("vector"))
+    first = F.coalesce(F.regexp_extract("text", "^[^.!?\n]*", 0), F.lit(""))
+    return asked.join(docs.select("doc_id", first.alias("query_text")), "doc_id", "left").select("query_id", F.coalesce("query_text", F.lit("")).alias("query_text"), F.coalesce("query_text", F.lit("")).alias("text"), "vector")
 
 
 def _values(rows) -> str:
@@ -150,10 +156,10 @@ SQL = {
     "m_ur": "select id as user_id, 1 + id % 3 as role_id from m_users union all select id, 1 + (id + 1) % 3 from m_users where id % 10 = 0",
     "m_ev": "select event_id, ts, epoch(ts)::bigint as ts_s, 'f' || user_id as file_path, case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in EVENT_TYPES.items()) + " end as event_type, value as processing_time, event_id % 1000 as total_chars from events",
     "m_tasks": "select o_orderkey as id, o_orderpriority as type, o_orderstatus as status, o_orderkey % 1000 as seconds from orders",
-    "m_items": "select vec_id as id, vec_id % n as document_id, (vec_id // n)::int as chunk_index, coalesce(substring(d.text, ((vec_id // n) * 400 + 1)::int, 400), '') as content, embedding::double[] as vector from embeddings cross join (select max(doc_id) + 1 as n from documents) left join documents d on d.doc_id = vec_id % n",
-    "m_q": "select id as query_id, content as query_text, vector from m_items where id % 20 = 0",
+    "m_items": "select c.doc_id * 100000 + i as id, c.doc_id as document_id, i as chunk_index, substring(c.text, i * 900 + 1, 1000) as content, embedding::double[] as vector from (select doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 100) / 900.0))::int))::int as i from documents where length(text) > 0) c cross join (select max(vec_id) + 1 as n from embeddings) join embeddings e on e.vec_id = (c.doc_id * 31 + i) % n",
+    "m_q": r"select vec_id as query_id, coalesce(regexp_extract(text, '^[^.!?\n]*'), '') as query_text, embedding::double[] as vector from embeddings cross join (select max(doc_id) + 1 as n from documents) left join documents d on d.doc_id = vec_id % n where vec_id % 20 = 0",
 }
-_NEEDS = {"m_tot": ("m_msg",), "m_ur": ("m_users",), "m_q": ("m_items",)}
+_NEEDS = {"m_tot": ("m_msg",), "m_ur": ("m_users",)}
 
 
 def sql(body: str) -> str:
@@ -171,6 +177,7 @@ def sql(body: str) -> str:
             want(name)
     ctes = [f"{n} as ({SQL[n]})" for n in wanted]
     head = body.strip()
-    if head.lower().startswith("with "):
-        return "with " + ", ".join([*ctes, head[5:]])
+    for begin in ("with recursive ", "with "):
+        if head.lower().startswith(begin):
+            return begin + ", ".join([*ctes, head[len(begin) :]])
     return f"with {', '.join(ctes)} {head}" if ctes else head

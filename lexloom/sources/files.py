@@ -26,10 +26,20 @@ def extension(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, size, modified, extension), recursively, without reading contents. Spark plans no split for an empty file, so
-    such files aren't listed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), extension(F.col("path")).alias("extension"))
+    """(path, size, modified, extension), recursively, without reading contents. Spark plans no split for an empty file;
+    such files are added from the listing, whose names Spark holds on the driver in any case."""
+    files = read_files(spark, folder, pattern)
+    found = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    plain = lambda c: F.regexp_replace(F.try_url_decode(c), "^([a-z]+):/+", "$1:/")
+    names = spark.createDataFrame([(n,) for n in files.inputFiles()], "name string")
+    empty = names.join(found.select(plain(F.regexp_replace("path", "\\+", "%2B")).alias("listed")), plain(F.regexp_replace("name", "\\+", "%2B")) == F.col("listed"), "left_anti")
+    jvm, conf, rows = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for r in empty.collect():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["name"]))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        rows.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    more = spark.createDataFrame(rows, "path string, size long, ms long").select("path", "size", F.timestamp_millis("ms").alias("modified"))
+    return found.unionByName(more).withColumn("extension", extension(F.col("path")))
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -25,9 +25,12 @@ def load(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def load_jdbc(spark: SparkSession, url: str, name: str, partition_column: str, lower: str, upper: str, partitions: int) -> DataFrame:
-    """A table of a database, read in ranges of ``partition_column``."""
-    return (
+    """A table of a database by its schema, read in ranges of ``partition_column``. Arrays, which databases give in ways
+    of their own, keep the database's type."""
+    declared = ", ".join(c for c in SCHEMAS[name].split(", ") if "array<" not in c)
+    found = (
         spark.read.format("jdbc")
-        .options(url=url, dbtable=name, partitionColumn=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions)
+        .options(url=url, dbtable=name, partitionColumn=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions, customSchema=declared)
         .load()
     )
+    return found.select(*[c.split(" ")[0] for c in SCHEMAS[name].split(", ")])

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -85,23 +86,28 @@ def first_queries(queries: DataFrame, key: str, ttl: str = "30 minutes") -> Data
 def cache_hits(queries: DataFrame, key: str, ttl: int = 1800) -> DataFrame:
     """``queries`` (query_id, key, ts) with ``hit``: whether the last miss of the key is less than ``ttl`` seconds old.
 
-    A query that comes ``ttl`` seconds or more after the one before is a miss whatever came earlier, so the queries of a
-    key fall apart there. Each run between is folded by itself, in order, with the time of its last miss as state.
+    Each key's queries pass in order through one task, batch by batch, with the time of the last miss as the only state,
+    so a key of any length takes time in proportion and no memory. Queries without a time miss and leave no trace.
     """
-    seconds = queries.select(key, "query_id", F.unix_seconds("ts").alias("t"))
-    w = W.partitionBy(key).orderBy("t", "query_id")
-    apart = F.col("t") - F.lag("t").over(w) >= ttl
-    runs = seconds.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(w))
-    times = runs.groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct("t", "query_id"))).alias("q"))
-    kind = queries.schema["query_id"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("long").alias("miss"), F.array().cast(f"array<struct<query_id:{kind},hit:boolean>>").alias("out"))
-
-    def step(acc, x):
-        hit = acc["miss"].isNotNull() & (x["t"] - acc["miss"] < ttl)
-        row = F.struct(x["query_id"].alias("query_id"), hit.alias("hit"))
-        return F.struct(F.when(hit, acc["miss"]).otherwise(x["t"]).alias("miss"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return times.select(key, F.inline(F.aggregate("q", start, step, lambda acc: acc["out"])))
+    id_kind, key_kind = queries.schema["query_id"].dataType.simpleString(), queries.schema[key].dataType.simpleString()
+    seconds = queries.select(F.col(key).alias("key"), "query_id", F.unix_seconds("ts").alias("t"))
+
+    def fold(batches):
+        held, miss = object(), None
+        for batch in batches:
+            hit = []
+            for k, t in zip(batch["key"].to_pylist(), batch["t"].to_pylist()):
+                if k != held:
+                    held, miss = k, None
+                if t is not None and miss is not None and t - miss < ttl:
+                    hit.append(True)
+                else:
+                    miss = miss if t is None else t
+                    hit.append(False)
+            yield pa.record_batch([batch["key"], batch["query_id"], pa.array(hit, pa.bool_())], names=[key, "query_id", "hit"])
+
+    ordered = seconds.repartition("key").sortWithinPartitions("key", "t", "query_id")
+    return ordered.mapInArrow(fold, f"`{key}` {key_kind}, query_id {id_kind}, hit boolean")
 
 
 def ingest(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):

@@ -39,7 +39,9 @@ def test_several_matches_count_once(spark):
 def test_visible_rows(spark):
     viewers = frame(spark, "id long, can_view_all boolean", (1, False), (2, True), (3, False))
     rows = frame(spark, "id long, user_id long", (10, 1), (11, 2), (12, None))
-    assert {tuple(r) for r in rbac.visible_rows(viewers, rows).collect()} == {(1, 10), (2, 10), (2, 11), (2, 12)}
+    assert {tuple(r) for r in rbac.visible_rows(viewers, rows).collect()} == {(1, 10, False), (2, None, True)}
+    assert {tuple(r) for r in rbac.visible_counts(viewers, rows).collect()} == {(1, 1), (2, 3)}
+    assert rbac.visible_counts(viewers, rows.where("false")).count() == 0
 
 
 def test_upserts(spark):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.operators import dedup as D
 from lexloom.operators import retrieval as R
 from lexloom.operators import vectors as N
 
@@ -178,3 +179,59 @@ def test_retrieve(spark, small):
     assert grades.count() == q.count()
     high, _ = R.retrieve(q, i, titles, k=4, threshold=0.9)
     assert high.count() <= hits.count()
+
+
+def jaccard(a, b):
+    a, b = set((a or "").split()), set((b or "").split())
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("block", [D.BLOCK, 4])
+def test_near_duplicate_passages(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK", block)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(r.sample(words, 40))) for i in range(60)]
+    for k in range(3):  # groups of near copies, some of which are like each other through others only
+        text = r.sample(words, 40)
+        for i in range(40):
+            if r.random() < 0.3:
+                text = text[:]
+                text[r.randrange(40)] = r.choice(words)
+            rows.append((100 * (k + 1) + i, " ".join(r.sample(text, 40))))
+    rows += [(900, None), (901, ""), (902, " \n"), (7, rows[7][1]), (None, rows[8][1]), (None, "nothing else is like this")]
+    df = spark.createDataFrame(rows, "id long, content string").selectExpr("*", "1 as words", "2 as node")
+    found = {(x["id"], x["component_id"], x["kept"]) for x in D.near_duplicates(df).collect()}
+    named = {i: t for i, t in rows if i is not None}
+    root = {i: i for i in named}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for a in named:
+        for b in named:
+            if a < b and jaccard(named[a], named[b]) >= 0.85:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert found == {(i, top(i), top(i) == i) for i in named} | {(None, None, True)}
+    assert D.near_duplicates(df).count() == len(rows) and D.near_duplicates(df.where("false")).count() == 0
+
+
+def test_repeated_texts_in_results_go(spark):
+    hits = spark.createDataFrame([(1, 1, 1, 0.9, "a b c"), (1, 2, 2, 0.8, "a b c"), (1, 3, 3, 0.7, "x y z")], "query_id long, id long, rank int, score double, content string")
+    assert [r["id"] for r in R.dedup(hits).orderBy("rank").collect()] == [1, 3]
+
+
+def test_queries_with_too_many_hits_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_HITS", 2)
+    hits = spark.createDataFrame([(1, i, i, 0.9, f"t{i}") for i in range(3)], "query_id long, id long, rank int, score double, content string")
+    with pytest.raises(Exception, match="too many hits"):
+        R.dedup_greedy(hits).collect()
+
+
+def test_keyword_search_by_shuffle(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "query_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta", "beta gamma gamma", "", None, "delta"])], "document_id long, text string")
+    near = sorted(map(tuple, N.bm25(q, docs, 5).collect()))
+    monkeypatch.setattr(N, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, N.bm25(q, docs, 5).collect())) == near and len(near) == 3

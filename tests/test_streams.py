@@ -81,7 +81,8 @@ def test_files(spark, tmp_path):
         (tmp_path / "f" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "f" / name).write_bytes(data)
     listed = files.list_files(spark, str(tmp_path / "f")).collect()
-    assert sorted(r["extension"] for r in listed) == [".bin", ".md", ".txt", ".txt"]
+    assert sorted((r["extension"], r["size"] > 0) for r in listed) == [(".bin", True), (".md", True), (".txt", False), (".txt", True), (".txt", True)]
+    assert all(r["modified"] is not None for r in listed)
     read = files.read_files(spark, str(tmp_path / "f")).select("path", files.decode(F.col("content")).alias("d")).collect()
     got = {r["path"].rsplit("/", 1)[1]: tuple(r["d"]) for r in read}
     assert got == {"a.TXT": ("gbk", "文本"), "b.md": ("utf-8", "文本"), "c.bin": ("latin1", "ÿþ\x81"), "d.txt": ("utf-8", "plain")}

@@ -98,8 +98,8 @@ def test_phrases_and_entities(spark):
 def test_replies(spark):
     good = 'So: {"is_legal_related": true, "legal_category": "labor", "confidence": 1.7, "suggested_topics": ["1","2","3","4","5","6"]} end'
     got = one(spark, E.parse_intent, good, "{broken", None, '{"is_legal_related": "false", "confidence": 0.9}', '{"suggested_topics": "x"}')
-    assert tuple(got[0]) == (True, "劳动", 1.0, ["1", "2", "3", "4", "5"])
-    assert tuple(got[1]) == (True, "other", 0.5, []) and got[3]["is_legal_related"] is False and got[4]["suggested_topics"] == []
+    assert tuple(got[0]) == (True, "劳动", 1.0, ["1", "2", "3", "4", "5"], "")
+    assert tuple(got[1]) == (True, "other", 0.5, [], "") and got[3]["is_legal_related"] is False and got[4]["suggested_topics"] == []
     df = spark.createDataFrame([("{bad", "公司违约"), ('{"core_issue": "x"}', "q")], "r string, q string")
     a = [r[0] for r in df.select(E.parse_analysis(F.col("r"), F.col("q"))).collect()]
     assert a[0]["core_issue"] == "公司违约" and a[0]["legal_elements"] == ["公司", "违约", "主体", "行为"] and a[1]["query_for_retrieval"] == "q"
