@@ -14,6 +14,7 @@ from ..operators import dedup as D
 from ..operators import extension as X
 from ..operators import retrieval as R
 from ..operators import vectors as N
+from ..sources.scratch import materialise
 from . import views as V
 
 QUERIES: dict = {}
@@ -378,7 +379,7 @@ def v2_top_k(s, d):
 @query("""with h as (select query_id, i.id, round(list_cosine_similarity(q.vector, i.vector), 9) as score, title, row_number() over (partition by query_id order by round(list_cosine_similarity(q.vector, i.vector), 9) desc, i.id) as rank from m_q q, m_items i join m_docs d on d.id = i.document_id where d.user_id = 3)
 select query_id, id, round(score, 6) as score, title as document_title from h where rank <= 5 and score >= 0.1""")
 def v3_filtered_top_k(s, d):
-    out = N.filtered_top_k(V.queries(s, d), V.items(s, d), V.documents(s, d).select("id", "title", "user_id"), 5, user_id=3, min_similarity=0.1)
+    out = N.filtered_top_k(V.queries(s, d), _stored_items(s, d), V.documents(s, d).select("id", "title", "user_id"), 5, user_id=3, min_similarity=0.1)
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "document_title")
 
 
@@ -390,7 +391,8 @@ def v4_candidates(s, d):
 @query(f"""with {_TOP} select query_id, h.id, round(least(greatest(score, 0), 1), 6) as score, case when i.document_id % 3 = 0 then '未知文档' else source || '-' || doc_id end as document_title from h join m_items i on i.id = h.id left join documents on doc_id = i.document_id where rank <= 10 and score >= 0.35 and score <= 1.000001""")
 def v5_typed_hits(s, d):
     titles = V.documents(s, d).where("id % 3 <> 0").select("document_id", "document_title")
-    hits = N.candidates(V.queries(s, d), V.items(s, d), 5, 0.35).join(V.items(s, d).select("id", "document_id"), "id")
+    items = _stored_items(s, d)
+    hits = N.candidates(V.queries(s, d), items, 5, 0.35).join(items.select("id", "document_id"), "id")
     return N.typed_hits(hits, titles).select("query_id", "id", F.round("score", 6).alias("score"), "document_title")
 
 
@@ -403,7 +405,7 @@ def v6_batch_retrieve(s, d):
 @query()
 def v7_ivf_recall(s, d):
     """Recall of the approximate search against the exact one, all items indexed."""
-    q, i = V.queries(s, d), V.items(s, d)
+    q, i = V.queries(s, d), _stored_items(s, d)
     centres = N.ivf_fit(i)
     return N.recall(N.ivf_top_k(q, i, 10, centres), N.top_k(q, i, 10, "cosine"))
 
@@ -466,8 +468,13 @@ def v14_token_batches(s, d):
     return N.token_batches(V.messages(s, d), "conversation_id", "id", 300).select("id", "tokens", "batch")
 
 
+def _stored_items(s, d):
+    """The chunk table, written once for a job that reads it more than once."""
+    return materialise(V.items(s, d), "items")
+
+
 def _hits(s, d, n=10):
-    i = V.items(s, d)
+    i = _stored_items(s, d)
     hits = N.top_k(V.queries(s, d), i, n).join(i.select("id", "document_id", "content"), "id").join(V.queries(s, d).select("query_id", "query_text"), "query_id")
     return hits.join(V.documents(s, d).select("document_id", "document_title"), "document_id", "left")
 
@@ -590,7 +597,7 @@ def r16_near_duplicate_chunks(s, d):
 @query()
 def r17_retrieve(s, d):
     q = V.queries(s, d)
-    hits, _ = R.retrieve(q, V.items(s, d), V.documents(s, d).select("document_id", "document_title"))
+    hits, _ = R.retrieve(q, _stored_items(s, d), V.documents(s, d).select("document_id", "document_title"))
     return hits.select("query_id", "rank", "id", "document_id", "document_title", F.round("score", 6).alias("score"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
