@@ -6,6 +6,7 @@ Hits are rows (query_id, id, rank, score, content, ...); ranks start at 1 and ar
 from __future__ import annotations
 
 import difflib
+import math
 
 import numpy as np
 import pandas as pd
@@ -35,9 +36,12 @@ def similar_texts(a: str, b: str, threshold: float) -> bool:
     if (len(wa & wb) / len(wa | wb) if wa | wb else 1.0) >= threshold:
         return True
     m = difflib.SequenceMatcher(None, a, b)
-    run = m.find_longest_match(0, len(a), 0, len(b)).size
-    if run and run / min(len(a), len(b)) >= 0.8 * threshold:
-        return True
+    # a run that is long enough covers the middle of a text that isn't much longer, so most texts need no search
+    least = math.ceil(0.8 * threshold * min(len(a), len(b)) - 1e-9)
+    if a[len(a) - least : least] in b and b[len(b) - least : least] in a:
+        run = m.find_longest_match(0, len(a), 0, len(b)).size
+        if run and run / min(len(a), len(b)) >= 0.8 * threshold:
+            return True
     return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
@@ -50,7 +54,8 @@ def dedup_greedy(hits: DataFrame, threshold: float = 0.85, text: bool = True, se
     """
     schema = hits.schema
     n = F.count("*").over(W.partitionBy("query_id"))
-    hits = hits.withColumn("__n", n).where(F.when(F.col("__n") <= MOST_HITS, F.lit(True)).otherwise(F.raise_error(F.lit("dedup_greedy: too many hits of a query")).cast("boolean"))).drop("__n")
+    # few rows, much work in each: not to be gathered into one task
+    hits = hits.repartition(hits.sparkSession.sparkContext.defaultParallelism, "query_id").withColumn("__n", n).where(F.when(F.col("__n") <= MOST_HITS, F.lit(True)).otherwise(F.raise_error(F.lit("dedup_greedy: too many hits of a query")).cast("boolean"))).drop("__n")
 
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rank")

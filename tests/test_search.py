@@ -235,3 +235,16 @@ def test_keyword_search_by_shuffle(spark, monkeypatch):
     near = sorted(map(tuple, N.bm25(q, docs, 5).collect()))
     monkeypatch.setattr(N, "BROADCAST_TERMS", 0)
     assert sorted(map(tuple, N.bm25(q, docs, 5).collect())) == near and len(near) == 3
+
+
+def test_similar_texts_need_no_search_unless_the_middle_is_shared():
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcde") for _ in range(4))
+    for _ in range(300):
+        a = " ".join(word() for _ in range(r.randrange(1, 30)))
+        b = a[r.randrange(len(a)) :] + " ".join(word() for _ in range(r.randrange(0, 12)))
+        b = b if r.random() < 0.7 else word()
+        m = difflib.SequenceMatcher(None, a, b)
+        run = m.find_longest_match(0, len(a), 0, len(b)).size
+        want = jaccard(a, b) >= 0.85 or (min(len(a), len(b)) > 0 and run / min(len(a), len(b)) >= 0.68) or m.ratio() >= 0.85
+        assert R.similar_texts(a, b, 0.85) == want
