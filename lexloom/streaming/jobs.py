@@ -86,28 +86,31 @@ def first_queries(queries: DataFrame, key: str, ttl: str = "30 minutes") -> Data
 def cache_hits(queries: DataFrame, key: str, ttl: int = 1800) -> DataFrame:
     """``queries`` (query_id, key, ts) with ``hit``: whether the last miss of the key is less than ``ttl`` seconds old.
 
-    Each key's queries pass in order through one task, batch by batch, with the time of the last miss as the only state,
-    so a key of any length takes time in proportion and no memory. Queries without a time miss and leave no trace.
+    Of the queries of a key in one second only the first (smallest id) can miss, so the rows are reduced to seconds
+    before they are shuffled, wherever a hot key's rows lie. A key's seconds then pass in order through one task, batch
+    by batch, with the last miss as the only state: at most as many as the time it spans has, however many its queries.
+    Queries without a time miss and leave no trace. A null key is a key. Repeated rows have equal results.
     """
-    id_kind, key_kind = queries.schema["query_id"].dataType.simpleString(), queries.schema[key].dataType.simpleString()
-    seconds = queries.select(F.col(key).alias("key"), "query_id", F.unix_seconds("ts").alias("t"))
+    key_kind = queries.schema[key].dataType.simpleString()
+    rows = queries.select(F.col(key).alias("key"), "query_id", F.unix_seconds("ts").alias("t"))
+    seconds = rows.where("t is not null").groupBy("key", "t").agg(F.min("query_id").alias("first"))
 
     def fold(batches):
-        held, miss = object(), None
+        held, last = object(), 0
         for batch in batches:
-            hit = []
-            for k, t in zip(batch["key"].to_pylist(), batch["t"].to_pylist()):
-                if k != held:
-                    held, miss = k, None
-                if t is not None and miss is not None and t - miss < ttl:
-                    hit.append(True)
-                else:
-                    miss = miss if t is None else t
-                    hit.append(False)
-            yield pa.record_batch([batch["key"], batch["query_id"], pa.array(hit, pa.bool_())], names=[key, "query_id", "hit"])
-
-    ordered = seconds.repartition("key").sortWithinPartitions("key", "t", "query_id")
-    return ordered.mapInArrow(fold, f"`{key}` {key_kind}, query_id {id_kind}, hit boolean")
+            missed = []
+            for i, (k, t) in enumerate(zip(batch["key"].to_pylist(), batch["t"].to_pylist())):
+                if k != held or t - last >= ttl:
+                    held, last = k, t
+                    missed.append(i)
+            yield batch.take(pa.array(missed, pa.int64()))
+
+    id_kind = queries.schema["query_id"].dataType.simpleString()
+    ordered = seconds.repartition("key").sortWithinPartitions("key", "t")
+    misses = ordered.mapInArrow(fold, f"key {key_kind}, t long, first {id_kind}").alias("m")
+    same = F.col("r.key").eqNullSafe(F.col("m.key")) & (F.col("r.t") == F.col("m.t")) & F.col("r.query_id").eqNullSafe(F.col("m.first"))
+    hit = F.col("r.t").isNotNull() & F.col("m.t").isNull()
+    return rows.alias("r").join(misses, same, "left").select(F.col("r.key").alias(key), "r.query_id", hit.alias("hit"))
 
 
 def ingest(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexloom.operators import chunk as C
@@ -118,3 +119,16 @@ def test_schemas(spark, tmp_path):
     for name, schema in tables.SCHEMAS.items():
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
         assert tables.load(spark, str(tmp_path / name), name).count() == 0
+
+
+def test_cache_hits_against_a_loop(spark):
+    random = np.random.default_rng(3)
+    rows = [(i, None if k == 3 else f"k{k}", None if i % 17 == 0 else T0 + timedelta(seconds=int(s))) for i, (k, s) in enumerate(zip(random.integers(0, 4, 400), random.integers(0, 900, 400)))]
+    last, want = {}, {}
+    for i, k, t in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[0])):
+        want[i] = k in last and (t - last[k]).total_seconds() < 60
+        if not want[i]:
+            last[k] = t
+    got = jobs.cache_hits(spark.createDataFrame(rows, "query_id long, key string, ts timestamp"), "key", 60)
+    assert {r["query_id"]: r["hit"] for r in got.collect()} == {i: want.get(i, False) for i, _, _ in rows}
+    assert jobs.cache_hits(spark.createDataFrame([], "query_id long, key string, ts timestamp"), "key").count() == 0
