@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -245,25 +246,28 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
     finer = separators[separators.index(sep) + 1 :] if sep in separators else ()
     parts = list(text) if sep == "" else [p for p in re.split(f"(?={re.escape(sep)})", text) if p]
     out: list[str] = []
-    run: list[str] = []
+    run: deque[str] = deque()
+    held = 0  # characters in the run
 
     def flush(keep: bool):
-        nonlocal run
+        nonlocal held
         if run and (joined := "".join(run).strip()):
             out.append(joined)
         if not keep:
-            run = []
+            run.clear()
+            held = 0
 
     for part in parts:
         if len(part) > size and finer:
             flush(keep=False)
             out.extend(split_recursively(part, size, overlap, finer))
             continue
-        if run and sum(map(len, run)) + len(part) > size:
+        if run and held + len(part) > size:
             flush(keep=True)
-            while run and (sum(map(len, run)) > overlap or sum(map(len, run)) + len(part) > size):
-                run.pop(0)
+            while run and (held > overlap or held + len(part) > size):
+                held -= len(run.popleft())
         run.append(part)
+        held += len(part)
     flush(keep=False)
     return out
 

@@ -246,10 +246,10 @@ def c1_fixed_size(s, d):
 _TRIM = "trim(p, ' ' || chr(9) || chr(10) || chr(13))"
 
 
-def _packed(pieces: str, least: int = 0, keys: str = "doc_id") -> str:
-    """Sentences ``s`` (keys, i, p) of the unnested ``pieces`` packed up to 1000 characters: f (keys, i, now, chunk)."""
+def _packed(pieces: str, least: int = 0, keys: str = "doc_id", most: int = 1000) -> str:
+    """Sentences ``s`` (keys, i, p) of the unnested ``pieces`` packed up to ``most`` characters: f (keys, i, now, chunk)."""
     on = " and ".join(f"s.{k} = f.{k}" for k in keys.split(", "))
-    fits = f"f.now + length(s.p) + 1 <= 1000 or f.now < {least}"
+    fits = f"f.now + length(s.p) + 1 <= {most} or f.now < {least}"
     own = ", ".join(f"s.{k}" for k in keys.split(", "))
     return f"""with recursive u as ({pieces}), s as (select {keys}, {_TRIM} as p, row_number() over (partition by {keys} order by i) as i from u where {_TRIM} <> ''),
 f as (select {keys}, i, length(p) as now, 0 as chunk from s where i = 1 union all select {own}, s.i, case when {fits} then f.now + 1 + length(s.p) else length(s.p) end, case when {fits} then f.chunk else f.chunk + 1 end from f join s on {on} and s.i = f.i + 1)"""
@@ -272,7 +272,7 @@ def c3_plain_semantic(s, d):
 
 _CLAUSES = ("^[A-E]",)
 _CHAPTERS = ("^[F-H]",)
-_ISLANDS = f"""with {_LINES}, m as (select *, regexp_matches(line, '^[F-H]') as c from l), n as (select *, sum(c::int) over w as cn, coalesce(last_value(case when c then line end ignore nulls) over w, '') as chapter from m window w as (partition by doc_id order by line_no)),
+_ISLANDS = f"""with recursive {_LINES}, m as (select *, regexp_matches(line, '^[F-H]') as c from l), n as (select *, sum(c::int) over w as cn, coalesce(last_value(case when c then line end ignore nulls) over w, '') as chapter from m window w as (partition by doc_id order by line_no)),
 b as (select *, regexp_matches(line, '^[A-E]') or lag(cn, 1, -1) over (partition by doc_id order by line_no) <> cn as opens from n where not c), k as (select *, sum(opens::int) over (partition by doc_id order by line_no) as island from b)"""
 
 
@@ -282,7 +282,20 @@ def c4_legal_clauses(s, d):
     return C._indexed(islands, ["island"]).select("document_id", "chunk_index", "content", "section_title", "chapter")
 
 
-@query()
+# lines of clauses over 1200 characters: g numbers the groups of lines, o marks a line that is cut into sentences
+_LONG = f"""g0 as (select doc_id, island, max(chapter) as chapter, arg_min(line, line_no) as title, sum(length(line)) + count(*) - 1 as size from k group by 1, 2),
+q as (select k.doc_id, k.island, line, row_number() over (partition by k.doc_id, k.island order by line_no) as i from k join g0 using (doc_id, island) where size > 1200),
+g as (select doc_id, island, i, line, case when length(line) + 2 <= 1200 then length(line) else 0 end as now, 1 as seg, length(line) + 2 > 1200 as o from q where i = 1
+union all select q.doc_id, q.island, q.i, q.line, case when fits and g.now > 0 then g.now + 2 + length(q.line) when fits or g.now > 0 then length(q.line) else 0 end, case when fits and g.now > 0 then g.seg else g.seg + 1 end, not fits and g.now = 0
+from (select g.*, q.line as next, q.i as at, g.now + length(q.line) + 2 <= 1200 as fits from g join q on q.doc_id = g.doc_id and q.island = g.island and q.i = g.i + 1) g join q on q.doc_id = g.doc_id and q.island = g.island and q.i = g.at),
+t as ({_packed("select doc_id, island, seg, unnest(string_split_regex(line, '[。！？!?]')) as p, generate_subscripts(string_split_regex(line, '[。！？!?]'), 1) as i from g where o", keys="doc_id, island, seg", most=1200)}
+select doc_id, island, seg, f.chunk, string_agg(p, ' ' order by s.i) as content, '句子组' as kind from s join f using (doc_id, island, seg, i) group by 1, 2, 3, 4),
+z as (select * from t union all select doc_id, island, seg, 0, string_agg(line, chr(10) || chr(10) order by i), '分段' from g where not o group by 1, 2, 3),
+y as (select doc_id, island, 0 as seg, 0 as chunk, string_agg(line, chr(10) order by line_no) as content, arg_min(line, line_no) as section_title, max(k.chapter) as chapter from k join g0 using (doc_id, island) where size <= 1200 group by 1, 2
+union all select doc_id, island, seg, chunk, content, title || ' - ' || kind || row_number() over (partition by doc_id, island order by seg, chunk), chapter from z join g0 using (doc_id, island))"""
+
+
+@query(f"{_ISLANDS}, {_LONG} select doc_id as document_id, (row_number() over (partition by doc_id order by island, seg, chunk) - 1)::int as chunk_index, content, section_title, chapter from y")
 def c5_legal(s, d):
     return C.legal(V.texts(s, d), clauses=_CLAUSES, chapters=_CHAPTERS)
 
@@ -319,7 +332,31 @@ def c9_paragraphs(s, d):
     return C.paragraphs(V.texts(s, d))
 
 
-@query()
+def _recursive_sql(size: int = 1000, overlap: int = 200) -> str:
+    """Chunks w (document_id, chunk_index, content) of the recursive splitter.
+
+    n splits texts at the first separator that occurs, level by level; r holds the runs of small neighbours under one
+    parent with the prefix sums of their lengths; m walks from one chunk of a run to the next.
+    """
+    seps = ["chr(10)", "'。'", "'！'", "'？'", "' '"]
+    level = "case when lvl <= 1 and contains(text, chr(10) || chr(10)) then 1 " + " ".join(f"when lvl <= {k} and contains(text, {x}) then {k}" for k, x in enumerate(seps, 2)) + " else 7 end"
+    # a mark before each separator; before a line end only if another one follows, where two make the separator
+    double = r"regexp_replace(replace(text, chr(10), chr(1) || chr(10)), '\x01\n([^\x01]|$)', chr(10) || '\1', 'g')"
+    marked = f"case j when 1 then {double} " + " ".join(f"when {k} then replace(text, {x}, chr(1) || {x})" for k, x in enumerate(seps, 2)) + " end"
+    return f"""with recursive n as (select doc_id, []::int[] as path, text, 1 as lvl, false as leaf from documents where text <> ''
+union all select doc_id, list_append(path, i::int), part, j + 1, length(part) <= {size} or j = 7 from (select doc_id, path, j, unnest(parts) as part, generate_subscripts(parts, 1) as i from
+(select doc_id, path, j, list_filter(case when j = 7 then regexp_extract_all(text, '(?s).') else string_split({marked}, chr(1)) end, lambda x: x <> '') as parts from (select *, {level} as j from n where not leaf)))),
+k as (select doc_id, path, text, leaf, path[:-2] as parent, sum((not leaf)::int) over (partition by doc_id, path[:-2] order by path) as run from n where len(path) > 0),
+r as (select row_number() over () as rid, * from (select doc_id, min(path) as path, list(text order by path) as parts, list_prepend(0, list(c order by path)) as c from
+(select *, sum(length(text)) over (partition by doc_id, parent, run order by path)::bigint as c from k where leaf) group by doc_id, parent, run)),
+e as (select rid, 1 as chunk, 1 as s, len(list_filter(c, lambda x: x <= {size})) - 1 as e from r
+), m as (select * from e union all select rid, chunk + 1, s, len(list_filter(c, lambda x: x <= c[s] + {size})) - 1 from
+(select m.rid, chunk, c, len(list_filter(c, lambda x: x < greatest(c[m.e + 1] - {overlap}, c[m.e + 2] - {size}))) + 1 as s from m join r using (rid) where m.e < len(parts))),
+w as (select doc_id as document_id, (row_number() over (partition by doc_id order by path, chunk) - 1)::int as chunk_index, content from
+(select doc_id, path, chunk, trim(array_to_string(parts[s:e], ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as content from m join r using (rid)) where content <> '')"""
+
+
+@query(_recursive_sql() + " select document_id, chunk_index, content, null::varchar as section_title from w")
 def c10_recursive(s, d):
     return C.recursive(V.texts(s, d))
 
@@ -622,7 +659,7 @@ def x1_registered_chunker(s, d):
         X.unregister("chunker", "short")
 
 
-@query()
+@query(_recursive_sql() + " select document_id, chunk_index, content from w")
 def x2_chunk_table_function(s, d):
     X.register_table_functions(s)
     texts = V.texts(s, d)
