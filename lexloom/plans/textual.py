@@ -261,10 +261,13 @@ def c2_semantic(s, d):
     return C.semantic(V.texts(s, d), ends=".!?\n")
 
 
-_SENTENCES = r"regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+')"
+def _plain_sql(ends: str) -> str:
+    """Sentences s with their marks and their chunks f."""
+    found = f"regexp_extract_all(text, '[^{ends}]*[{ends}]|[^{ends}]+')"
+    return _packed(f"select doc_id, unnest({found}) as p, generate_subscripts({found}, 1) as i from documents")
 
 
-@query(_packed(f"select doc_id, unnest({_SENTENCES}) as p, generate_subscripts({_SENTENCES}, 1) as i from documents") + """
+@query(_plain_sql(r".!?\n") + """
 select s.doc_id as document_id, f.chunk::int as chunk_index, string_agg(p, ' ' order by s.i) as content, null::varchar as section_title from s join f using (doc_id, i) group by 1, 2""")
 def c3_plain_semantic(s, d):
     return C.plain_semantic(V.texts(s, d), ends=".!?\n")
@@ -272,8 +275,13 @@ def c3_plain_semantic(s, d):
 
 _CLAUSES = ("^[A-E]",)
 _CHAPTERS = ("^[F-H]",)
-_ISLANDS = f"""with recursive {_LINES}, m as (select *, regexp_matches(line, '^[F-H]') as c from l), n as (select *, sum(c::int) over w as cn, coalesce(last_value(case when c then line end ignore nulls) over w, '') as chapter from m window w as (partition by doc_id order by line_no)),
-b as (select *, regexp_matches(line, '^[A-E]') or lag(cn, 1, -1) over (partition by doc_id order by line_no) <> cn as opens from n where not c), k as (select *, sum(opens::int) over (partition by doc_id order by line_no) as island from b)"""
+def _islands_sql(clauses: str, chapters: str) -> str:
+    """Lines k with the island, the clause, that they are in."""
+    return f"""with recursive {_LINES}, m as (select *, regexp_matches(line, '{chapters}') as c from l), n as (select *, sum(c::int) over w as cn, coalesce(last_value(case when c then line end ignore nulls) over w, '') as chapter from m window w as (partition by doc_id order by line_no)),
+b as (select *, regexp_matches(line, '{clauses}') or lag(cn, 1, -1) over (partition by doc_id order by line_no) <> cn as opens from n where not c), k as (select *, sum(opens::int) over (partition by doc_id order by line_no) as island from b)"""
+
+
+_ISLANDS = _islands_sql("^[A-E]", "^[F-H]")
 
 
 @query(f"{_ISLANDS} select doc_id as document_id, (row_number() over (partition by doc_id order by island) - 1)::int as chunk_index, string_agg(line, chr(10) order by line_no) as content, arg_min(line, line_no) as section_title, max(chapter) as chapter from k group by doc_id, island")
@@ -324,10 +332,13 @@ def c8_pages(s, d):
     return C.pages(V.texts(s, d).withColumn("text", paged))
 
 
-@query(f"""with {_LINES}, h as (select *, length(line) < 50 and (regexp_matches(line, '^(第|章|节|条|款|项|一、|二、|三、|四、|五、|[1-5A-E]\\.|I\\.|II\\.|III\\.|IV\\.|V\\.)') or (upper(line) = line and lower(line) <> line and length(line) > 3)) as heading from l),
+_PARAGRAPHS = f"""with {_LINES}, h as (select *, length(line) < 50 and (regexp_matches(line, '^(第|章|节|条|款|项|一、|二、|三、|四、|五、|[1-5A-E]\\.|I\\.|II\\.|III\\.|IV\\.|V\\.)') or (upper(line) = line and lower(line) <> line and length(line) > 3)) as heading from l),
 k as (select *, last_value(case when heading then line end ignore nulls) over w as title, sum((heading or starts_with(line, '[表格]'))::int) over w as island from h window w as (partition by doc_id order by line_no)),
 g as (select doc_id, island, string_agg(line, chr(10) order by line_no) as t, max(title) as section_title from k group by 1, 2), n as (select *, greatest(1, ceil(length(t) / 1000.0))::int as n from g)
-select doc_id as document_id, (row_number() over (partition by doc_id order by island, i) - 1)::int as chunk_index, substring(t, i * 1000 + 1, 1000) as content, section_title, n > 1 as is_truncated from (select *, unnest(range(0, n))::int as i from n)""")
+select doc_id as document_id, (row_number() over (partition by doc_id order by island, i) - 1)::int as chunk_index, substring(t, i * 1000 + 1, 1000) as content, section_title, n > 1 as is_truncated from (select *, unnest(range(0, n))::int as i from n)"""
+
+
+@query(_PARAGRAPHS)
 def c9_paragraphs(s, d):
     return C.paragraphs(V.texts(s, d))
 
@@ -361,7 +372,25 @@ def c10_recursive(s, d):
     return C.recursive(V.texts(s, d))
 
 
-@query()
+def _dispatch_sql() -> str:
+    """Chunks of each document by the strategy of its name or its text."""
+    clauses, chapters = ("|".join(p).replace(r"(?U:\s)", r"\s").replace(r"(?U:\s+)", r"\s+") for p in (C.CLAUSE_STARTS, C.CHAPTERS))
+    legal = " or ".join(f"contains(substring(text, 1, 500), '{m}')" for m in T.LEGAL_MARKERS)
+    ends = "。！？!?."
+    pages = f"""with recursive {_LINES}, q as (select doc_id, line, row_number() over (partition by doc_id order by line_no) as i from l join documents using (doc_id) where length({_TRIM.replace("p,", "text,")}) > 1000),
+g as (select doc_id, i, line, case when length(line) <= 1000 then length(line) else 0 end as now, 1 as seg, length(line) > 1000 as o from q where i = 1
+union all select q.doc_id, q.i, q.line, case when g.now > 0 and g.now + length(q.line) + 1 <= 1000 then g.now + 1 + length(q.line) when length(q.line) <= 1000 then length(q.line) else 0 end, case when g.now > 0 and g.now + length(q.line) + 1 <= 1000 then g.seg else g.seg + 1 end, length(q.line) > 1000 from g join q on q.doc_id = g.doc_id and q.i = g.i + 1),
+t as ({_packed(f"select doc_id, seg, unnest(regexp_extract_all(line, '[^{ends}]*[{ends}]|[^{ends}]+')) as p, generate_subscripts(regexp_extract_all(line, '[^{ends}]*[{ends}]|[^{ends}]+'), 1) as i from g where o", keys="doc_id, seg")} select distinct doc_id, seg, chunk from f)
+select doc_id, count(*) as chunks from (select doc_id, seg, chunk from t union all select distinct doc_id, seg, 0 from g where not o union all select doc_id, 0, 0 from documents where length({_TRIM.replace("p,", "text,")}) between 1 and 1000) group by 1"""
+    sections = """with p as (select doc_id, unnest(string_split(text, chr(10) || '# ')) as sec, generate_subscripts(string_split(text, chr(10) || '# '), 1) as i from documents)
+select doc_id, count(*) as chunks from p where trim(case when i = 1 then sec when strpos(sec, chr(10)) = 0 then '' else substring(sec, strpos(sec, chr(10)) + 1) end, ' ' || chr(9) || chr(10) || chr(13)) <> '' group by 1"""
+    return f"""with st as (select id as doc_id, case when filename like '%.md' then 'markdown' when filename like '%.pdf' then 'pages' when filename like '%.docx' then 'paragraphs' when {legal} then 'legal' else 'semantic' end as strategy from m_docs),
+c as (select 'markdown' as strategy, * from ({sections}) union all select 'pages', * from ({pages}) union all select 'paragraphs', document_id, count(*) from ({_PARAGRAPHS}) group by 2
+union all select 'legal', doc_id, count(*) from ({_islands_sql(clauses, chapters)}, {_LONG} select * from y) group by 2 union all select 'semantic', doc_id, max(chunk) + 1 from ({_plain_sql("。!?" + chr(92) + "n")} select * from f) group by 2)
+select strategy, doc_id as document_id, chunks::bigint as chunks from st join c using (doc_id, strategy)"""
+
+
+@query(_dispatch_sql())
 def c11_dispatch(s, d):
     return C.dispatch(C.choose_strategy(V.documents(s, d).select("document_id", "filename", "text"))).groupBy("strategy", "document_id").agg(F.count("*").alias("chunks"))
 
