@@ -112,7 +112,8 @@ def test_recall_of_the_cells(spark, small, duck):
     reported = registry.queries()["v7_ivf_recall"](spark, small).first()
     best = duck.sql(V.sql("select query_id, id from (select query_id, i.id, row_number() over (partition by query_id order by round(list_cosine_similarity(q.vector, i.vector), 9) desc, i.id) as n from m_q q, m_items i) where n <= 10")).df()
     items = textual._stored_items(spark, small)
-    near = textual.N.ivf_top_k(V.queries(spark, small), items, 10, textual.N.ivf_fit(items)).toPandas()
+    q, centres = V.queries(spark, small), textual.N.ivf_fit(items)
+    near = textual.N.ivf_top_k(q, items, 10, centres, textual.N.ivf_probes(q, items, 10, centres)).toPandas()
     both = set(zip(best["query_id"], best["id"])) & set(zip(near["query_id"], near["id"]))
     assert reported["n"] == len(best) and reported["recall"] == pytest.approx(len(both) / len(best)) and reported["recall"] >= 0.9
 
