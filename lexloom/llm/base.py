@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from ..operators.graph import components, forest
 from ..sources.scratch import materialise, shared_dir
 
-__all__ = ["WORD", "components", "forest", "held_out", "materialise", "prefix_sum", "shared_dir", "table"]
+__all__ = ["WORD", "components", "forest", "held_out", "materialise", "prefix_sum", "rows_per_bucket", "shared_dir", "table"]
 
 #: A word of the contracts: a run of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +26,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
+def rows_per_bucket(rows: int, least: int = 2048) -> int:
+    """Size of the buckets of ``prefix_sum``: the root of the number of rows, so that a key has about
+    as many buckets as a bucket has rows and neither level outgrows a task."""
+    return max(least, math.isqrt(rows))
+
+
 def prefix_sum(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` within ``keys`` in the order (``bucket``, ``order``).
 

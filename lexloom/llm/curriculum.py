@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import WORD, materialise, prefix_sum
+from .base import WORD, materialise, prefix_sum, rows_per_bucket
 
 #: Knots (time, weight) of the default schedules, dealt to the sources in turn: rising, level and falling.
 SCHEDULES = (
@@ -82,7 +82,7 @@ def curriculum(
     share: float = 1.5,
     max_epochs: int = 2,
     schedules=SCHEDULES,
-    rows_per_bucket: int = 2048,
+    least_per_bucket: int = 2048,
     keep: bool = False,
 ) -> DataFrame:
     """doc_id, size, source_size, target, positions (one for each time the mix takes the document), and, if ``keep``,
@@ -103,7 +103,7 @@ def curriculum(
     sizes = materialise(slim.drop("document"), "sizes")
     slim = slim if keep else sizes
     n = sizes.count()
-    digits = max(2, math.ceil(math.log(max(n, 1) / rows_per_bucket + 1, 16)))
+    digits = max(2, math.ceil(math.log(max(n, 1) / rows_per_bucket(n, least_per_bucket) + 1, 16)))
     slim = slim.withColumn("__bucket", F.substring("__h", 1, digits))
     sources = materialise(source_targets(sizes, weights, share, max_epochs), "targets")
     placed = prefix_sum(slim, ["__null", "__source"], "__bucket", ["__h", "size"], "size", "__before")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import materialise, prefix_sum
+from .base import materialise, prefix_sum, rows_per_bucket
 
 
 def _plain_byte_pairs(path: str) -> bool:
@@ -275,7 +275,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = 2048, small: float =
     return rows
 
 
-def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, small: float = 1 / 3, groups: int = 256, rows_per_bucket: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, small: float = 1 / 3, groups: int = 256, least_per_bucket: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     cut = materialise(pieces(docs, capacity, path), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
@@ -292,7 +292,8 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, small:
             kept = [c for c in batch.schema.names if c != "rank"]
             yield pa.record_batch([*[batch[c] for c in kept], pa.array(sequence)], names=[*kept, "sequence_id"])
 
-    buckets = sum(histogram.values()) // rows_per_bucket + 1
+    rows = sum(histogram.values())
+    buckets = rows // rows_per_bucket(rows, least_per_bucket) + 1
     ranked = cut.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))).withColumn("__one", F.lit(1))
     ranked = prefix_sum(ranked, ["length"], "__bucket", ["doc_id", "piece", "ids_crc32"], "__one", "rank")
     ranked = ranked.select(*cut.columns, F.col("rank").cast("long").alias("rank"))

@@ -16,7 +16,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise, prefix_sum
+from .base import materialise, prefix_sum, rows_per_bucket
 
 
 def group_key(text: Column) -> Column:
@@ -34,7 +34,7 @@ def schedule(jobs: list[tuple[int, str]], shards: int) -> list[tuple[str, int]]:
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, fine: int = 512, rows_per_bucket: int = 2048) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 16, fine: int = 512, least_per_bucket: int = 2048) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (0, 1, ... within the shard) of every document."""
     text = F.col("text")
     slim = docs.select(
@@ -61,7 +61,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, fine: int = 512, rows_per_b
         .join(F.broadcast(light), "__job", "left")
         .withColumn("shard", F.coalesce("shard", "__light"))
     )
-    buckets = max(16, rows // (shards * rows_per_bucket) + 1)
+    buckets = max(16, rows // (shards * rows_per_bucket(rows // shards, least_per_bucket)) + 1)
     placed = placed.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))).withColumn("__one", F.lit(1))
     slotted = prefix_sum(placed, ["shard"], "__bucket", ["doc_id", "text_crc32", "size"], "__one", "slot")
     return slotted.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from lexloom.llm import base
 from lexloom.llm import curriculum as cu
 from lexloom.llm import license_scan as ls
 from lexloom.llm import packing as pk
@@ -300,3 +301,15 @@ def test_licences_in_flattened_and_long_texts(spark):
 
 def test_licence_anchors():
     assert all(any(a in s for a in ls.ANCHORS) for s, _ in ls.known_sentences())
+
+
+@pytest.mark.parametrize("least", [1, 2048])
+def test_sizes_of_buckets_change_nothing(spark, small, least):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    mixed = lambda n: {(r["doc_id"], tuple(r["positions"])) for r in cu.curriculum(docs, least_per_bucket=n).collect()}
+    assert mixed(least) == mixed(50)
+    slots = defaultdict(list)
+    for r in sh.assign_shards(docs, 4, least_per_bucket=least).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == docs.count()
+    assert base.rows_per_bucket(10**10) == 10**5 and base.rows_per_bucket(10**6) == 2048
