@@ -87,6 +87,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: (host, path, verdict) of the rules that op11 judges by.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the rules, the list blocks every page that a feed links to, under whatever address it was fetched."""
+    from .url_filter import exact_urls, judge_urls, prefix_rules
+
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(pages, prefix_rules(rules).unionByName(exact_urls(pages.where(F.col("url").contains("utm_source=feed")))))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitening
+
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -163,5 +194,67 @@ select doc_id, licence, sum(n)::bigint as matches from ({" union all ".join(coun
 """
 
 
+OP11_SQL = r"""
+with u as (
+  select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), p as (
+  select page_id, url, rest, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))) as kept
+  from u
+), c as (
+  select page_id, url, coalesce(host, '') as host, coalesce(path, '') as path,
+         case when host <> '' then regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+              || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as canonical
+  from p
+), listed as (
+  select distinct canonical from c where contains(url, 'utm_source=feed')
+), rules(h, p, v) as (
+  values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), judged as (
+  select page_id, host, path, canonical,
+         (select arg_max({'rule': h || p, 'v': v}, len(h || p)) from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as best
+  from c
+)
+select page_id, host, path, best.rule as rule,
+       coalesce(best.v, case when listed.canonical is null then 'allow' else 'block' end) as verdict
+from judged left join listed on judged.canonical = listed.canonical
+"""
+
+
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), p as (
+  select lang, unnest(list_transform(string_split_regex(text, '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) as w from d
+), total as (
+  select lang, sum(len(w))::hugeint as n from p group by lang
+), g as (
+  select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase
+  from p, (select unnest(range(1, 6)) as m) where len(w) >= m
+), f as (
+  select lang, m, phrase, count(*)::hugeint as a from g group by all having count(*) >= 100
+), cut as (
+  select lang, phrase, m, a, unnest(range(1, m)) as k, string_split(phrase, ' ') as w from f where m > 1
+), scored as (
+  select cut.lang, cut.phrase, cut.a, k, l.a as l, r.a as r, n, (1000 * cut.a * n) // (l.a * r.a) as score
+  from cut join f l on l.lang = cut.lang and l.phrase = array_to_string(w[1:k], ' ') join f r on r.lang = cut.lang and r.phrase = array_to_string(w[k + 1:], ' ')
+  join total on total.lang = cut.lang
+), low as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inside as (
+  select lang, a, unnest(list_transform(flatten(list_transform(range(2, m), lambda s: list_transform(range(1, m - s + 2), lambda i: [i, s]))), lambda x: array_to_string(string_split(phrase, ' ')[x[1]:x[1] + x[2] - 1], ' '))) as phrase
+  from f where m > 2
+), longest as (
+  select lang, phrase, max(a) as longer from inside group by all
+), kept as (
+  select low.* from low left join longest using (lang, phrase) where longer is null or longer < low.a
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op5_curriculum": OP5_SQL}
+    return {"op2_license_scan": _op2_sql(), "op5_curriculum": OP5_SQL, "op11_url_filter": OP11_SQL, "op12_collocations": OP12_SQL}
