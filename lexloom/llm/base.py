@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..operators.graph import components, forest
 from ..sources.scratch import materialise, shared_dir
 
-__all__ = ["WORD", "components", "forest", "held_out", "materialise", "prefix_sum", "rows_per_bucket", "shared_dir", "table"]
+__all__ = ["WORD", "components", "forest", "held_out", "materialise", "prefix_sum", "row_hashes", "rows_per_bucket", "shared_dir", "table"]
 
 #: A word of the contracts: a run of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a row's whole contents, 128 bits together, whatever its columns' names and types."""
+    every = []
+    for f in df.schema:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        # maps and variants can't be hashed; hashes pass over nulls, so what is null is hashed too
+        plain = not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+        every += [c.isNull(), c if plain else F.to_json(F.struct(c.alias("c")))]
+    return F.xxhash64(F.lit(1), *every), F.xxhash64(F.lit(2), *every)
+
+
 def rows_per_bucket(rows: int, least: int = 2048) -> int:
     """Size of the buckets of ``prefix_sum``: the root of the number of rows, so that a key has about
     as many buckets as a bucket has rows and neither level outgrows a task."""

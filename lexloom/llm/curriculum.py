@@ -5,8 +5,8 @@ the source's cumulative token demand; the inverse of that demand turns the place
 token order into a training position, and documents are range-sorted by position.
 
 Nulls: a null source is a source of its own and sorts last; a null text has size 0. Empty texts have size 0 and take
-nothing. Repeated rows are rows of their own. Ties in the token order (equal ids) are broken by size. Extra columns of
-the input are ignored. An empty table gives an empty result.
+nothing. Repeated rows are rows of their own. Ties in the token order (equal ids) are broken by size, then by a hash of
+the whole row; what is still equal is the same row twice. Extra columns of the input are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import WORD, materialise, prefix_sum, rows_per_bucket
+from .base import WORD, materialise, prefix_sum, row_hashes, rows_per_bucket
 
 #: Knots (time, weight) of the default schedules, dealt to the sources in turn: rising, level and falling.
 SCHEDULES = (
@@ -98,15 +98,16 @@ def curriculum(
         name.alias("__source"),
         word_count(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("__h"),
+        F.struct(F.col("doc_id").isNull(), *(row_hashes(docs) if keep else ())).alias("__tie"),
         *([F.struct("*").alias("document")] if keep else []),
     )
-    sizes = materialise(slim.drop("document"), "sizes")
+    sizes = materialise(slim.drop("document", *(["__tie"] if keep else [])), "sizes")
     slim = slim if keep else sizes
     n = sizes.count()
     digits = max(2, math.ceil(math.log(max(n, 1) / rows_per_bucket(n, least_per_bucket) + 1, 16)))
     slim = slim.withColumn("__bucket", F.substring("__h", 1, digits))
     sources = materialise(source_targets(sizes, weights, share, max_epochs), "targets")
-    placed = prefix_sum(slim, ["__null", "__source"], "__bucket", ["__h", "size"], "size", "__before")
+    placed = prefix_sum(slim, ["__null", "__source"], "__bucket", ["__h", "size", "__tie"], "size", "__before")
     placed = placed.join(sources, ["__null", "__source"])
     middle = F.col("__before") + F.col("size") / 2.0
     passes = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: middle + e * F.col("source_size"))

@@ -12,7 +12,7 @@ where the phrase before it really ended, until no place changes. A text whose pl
 on from there symbol by symbol.
 
 Sample: whole texts of ``docs_per_language`` labelled documents at most, one per hash bucket, in order of bucket while
-they come to ``chars_per_language`` characters. Documents of up to ``longest`` characters are preferred, then the
+they come to ``chars_per_language`` characters; passages of the first text if that alone is longer. Documents of up to ``longest`` characters are preferred, then the
 shortest. The model grows with the number of languages, which is that of the labels in use, not with the corpus.
 
 Whether the best language describes a text at all is told by its cost: a text is ``told`` unless the cost is above that
@@ -20,7 +20,7 @@ of writing its symbols one by one (log2 of the symbols in the language's sample)
 ``SPARE`` phrases, without which a text is too short to judge.
 
 Nulls: texts that are null, empty or without a letter are ``und`` with score 0. With no labelled text at all every text
-is ``und``. Repeated rows have equal results. Extra columns are ignored; rows with a null label teach nothing.
+is ``und``. Repeated rows have equal results. Extra columns are ignored; rows with a null label or id teach nothing.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ MARGIN = 1.0
 SPARE = 2
 DENSE = 8_000_000  # entries of an automaton laid out as a whole table
 _STRANGER, _BLANK = 0, 1
+#: Passages of a text that is too long to learn from whole.
+PASSAGES = 64
 UNDETERMINED = "und"
 
 
@@ -261,10 +263,11 @@ def decide(model: LanguageModel, texts: list[str | None], chunk_chars: int = 2_0
 
 
 def samples(docs: DataFrame, docs_per_language: int = 128, chars_per_language: int = 64_000, longest: int = 1_000) -> dict[str, tuple[str, int]]:
-    """Language to (sample, number of labelled documents), of those that aren't held out. The driver gets, for each
-    language, the ids of ``docs_per_language`` documents and ``chars_per_language`` characters of whole texts, or one
-    whole text where even the first exceeds that."""
-    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    """Language to (sample, number of labelled documents), of those that aren't held out; rows without an id are in neither
+    part and teach nothing. The driver gets, for each language, the ids of ``docs_per_language`` documents and
+    ``chars_per_language`` characters of whole texts. Where even the first text exceeds that, it is learned by
+    ``PASSAGES`` passages, as far apart as they can be."""
+    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     n = F.length("text")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(docs_per_language))
     place = F.struct((n > longest).alias("long"), F.when(n > longest, n).alias("n"), F.col("doc_id"))
@@ -274,12 +277,16 @@ def samples(docs: DataFrame, docs_per_language: int = 128, chars_per_language: i
         k = r["lang"]
         labelled[k] = labelled.get(k, 0) + r["n"]
         if k not in chars or chars[k] + r["chars"] <= chars_per_language:
-            chars[k] = chars.get(k, 0) + r["chars"]
+            chars[k] = chars.get(k, 0) + min(r["chars"], chars_per_language)
             taken.append((r["p"]["doc_id"], k))
     if not taken:
         return {}
     ids = docs.sparkSession.createDataFrame(taken, docs.select("doc_id", "lang").schema)
-    rows = learn.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.length("text"), F.col("text"))).alias("text")).collect()
+    long = max(1, chars_per_language // PASSAGES - 1)  # a line feed stands between passages
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda i: F.substring(F.col("text"), (F.lit(1) + i * F.floor((n - long) / (PASSAGES - 1))).cast("int"), F.lit(long)))
+    bounded = F.when(n <= chars_per_language, F.col("text")).otherwise(F.array_join(spread, "\n"))
+    chosen = learn.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", n.alias("n"), bounded.alias("text"))
+    rows = chosen.groupBy("doc_id", "lang").agg(F.min_by("text", F.struct("n", "text")).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         texts.setdefault(r["lang"], []).append(r["text"])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .base import components, forest, materialise
+from .base import components, forest, materialise, row_hashes
 
 #: Positions 0 to 7 in three parts; triples within a part, and of two from one part and one from the next part round,
 #: leave no set of four positions without a triple.
@@ -210,9 +210,8 @@ def near_duplicates(docs: DataFrame, hot: int = 4096) -> DataFrame:
 
 def survivors(docs: DataFrame, hot: int = 4096) -> DataFrame:
     """One row of each group: of the smallest id (null ids come last), then of the smallest hash of the whole row."""
-    # hashes pass over nulls, so what is null is hashed too; two seeds make 128 bits
-    every = [c for name in docs.columns for c in (F.col(name).isNull(), F.col(name))]
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(F.lit(1), *every).alias("h"), F.xxhash64(F.lit(2), *every).alias("g"))
+    h, g = row_hashes(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", h.alias("h"), g.alias("g"))
     printed = materialise(docs.select(key.alias("key"), fingerprint(F.col("text")).alias("fp")), "fingerprints")
     first = materialise(printed.groupBy("fp").agg(F.min("key").alias("key")), "classes")
     found = first.join(groups(first.select("fp"), hot), "fp").groupBy("component").agg(F.min("key").alias("key"))

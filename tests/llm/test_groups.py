@@ -316,6 +316,7 @@ def test_pipeline_odd_rows(spark, small):
     rows = [{**first, "doc_id": None}, {**first, "text": None, "doc_id": 10**6}, {**first, "text": "", "doc_id": 10**6}, {**first, "text": first["text"] + " and so it ends", "source": None}, {**first, "lang": None}]
     odd = docs.union(spark.createDataFrame([tuple(r.values()) for r in rows], docs.schema)).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
     odd = odd.withColumn("h", F.lit(1)).withColumn("size", F.lit(2)).withColumn("length", F.lit(3))
+    odd = odd.withColumn("a.b", F.lit("x")).withColumn("it`s", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("document", F.struct(F.lit(1).alias("a")))
 
     def through(docs):
         for name, stage in cp.STAGES[:-1]:

@@ -66,7 +66,20 @@ def test_samples_are_whole_texts(spark):
     rows = [(i, f"word{i} " * n, "x" if i % 2 else "y") for i, n in enumerate([3, 400, 5, 700, 20, 10, 9, 8])] + [(90, "solo " * 5000, "z"), (91, "solo " * 4000, "z")]
     found = li.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars_per_language=6000)
     texts = {t for _, t, _ in rows}
-    assert set("\n".join(t for t, _ in found.values()).split("\n")) <= texts and all(len(t) <= 6000 or t in texts for t, _ in found.values())
+    assert set("\n".join(found[k][0] for k in "xy").split("\n")) <= texts and all(len(t) <= 6000 for t, _ in found.values())
+    # no text of z is short enough: passages from all over the shortest
+    assert len(found["z"][0]) > 5000 and set(found["z"][0]) == set("solo \n")
+
+
+def test_one_very_long_text_teaches_a_bounded_sample(spark):
+    rows = spark.createDataFrame([(1, "x")], "doc_id long, lang string").select("doc_id", "lang", F.repeat(F.lit("lorem ipsum dolor "), 50_000_000 // 18).alias("text"))
+    text, labelled = li.samples(rows)["x"]
+    assert labelled == 1 and 60_000 < len(text) <= 64_000
+
+
+def test_rows_without_an_id_teach_nothing(spark):
+    rows = spark.createDataFrame([(None, "only here", "z"), (1, "the thing", "x"), (None, "a", "x")], "doc_id long, text string, lang string")
+    assert li.samples(rows) == {"x": ("the thing", 1)}
 
 
 def odd(spark, n=0):

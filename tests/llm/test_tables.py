@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import base
 from lexloom.llm import curriculum as cu
@@ -27,7 +28,7 @@ def odd(spark, rows=ODD):
 
 def same(found, sql, d):
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
+    for t in ("documents", "labels", "embeddings", "pages"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
     expected = con.sql(sql).df()
     c = sorted(expected.columns)
@@ -56,6 +57,17 @@ def test_curriculum_odd_rows(spark):
     assert sorted(map(str, cu.curriculum(odd(spark)).collect())) == sorted(map(str, rows))
 
 
+def test_mix_is_the_same_in_any_order(spark):
+    """Rows of one id and size with other texts."""
+    rows = [(7, f"{w} {w} {w}", "x") for w in ("ant", "bee", "cat", "dog")] + [(8, "one two", "x"), (None, "no id here", "x"), (None, "id no here", "x")]
+    mixes = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, SCHEMA).withColumn("a.b", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.col("text")))
+        mixed = cu.training_order(cu.curriculum(docs, keep=True)).select("document.text", "position").collect()
+        mixes.add(tuple(sorted(map(tuple, mixed))))
+    assert len(mixes) == 1 and len(next(iter(mixes))) > 5
+
+
 def test_schedule_inverse(spark):
     for place, knots in enumerate(cu.SCHEDULES):
         t = np.linspace(0, 1, 4001)
