@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,9 +35,11 @@ from .base import materialise
 
 LONGEST = 5
 #: Bytes of text that a task takes at a time, and words of a window.
-SLICE_BYTES, WINDOW_WORDS = 3 << 20, 1 << 19
+SLICE_BYTES, WINDOW_WORDS = 1 << 20, 1 << 18
+#: Words that are compared byte by byte at a time.
+COMPARED = 1 << 15
 #: Distinct fingerprints that a task sums up before it passes them on.
-HELD = 1 << 21
+HELD = 1 << 20
 BITS_PER_FINGERPRINT, MAX_BITS = 64, 1 << 26
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -150,12 +153,11 @@ def bitmap(fingerprints: DataFrame, count: int) -> np.ndarray:
 def _slices(batches) -> Iterator[tuple[Words, np.ndarray, pa.RecordBatch]]:
     """The texts of some rows (text, seed, ...) as words, the rows' seeds, and the rows."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary())
-        ends = np.cumsum(np.fromiter((len(t) if t is not None else 0 for t in texts.to_pylist()), np.int64, len(texts)))
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
         cuts = np.flatnonzero(np.diff(ends // SLICE_BYTES, append=-1)) + 1
         for lo, hi in zip(np.concatenate([[0], cuts[:-1]]).tolist(), cuts.tolist()):
             rows = batch.slice(lo, hi - lo)
-            held = [t or b"" for t in rows.column("text").cast(pa.large_binary()).to_pylist()]
+            held = rows.column("text").cast(pa.binary()).to_pylist()
             raw = np.frombuffer(b"\n".join([*held, b""]), np.uint8)
             size = np.fromiter(map(len, held), np.int64, len(held)) + 1
             words = Words(raw, np.cumsum(size) - size)
@@ -202,7 +204,6 @@ def _counter(found):
 def _identities(words: Words, lo: int, hi: int) -> np.ndarray:
     """Numbers of the words ``lo`` to ``hi``: equal if and only if their bytes are."""
     start, long = words.start[lo:hi], words.end[lo:hi] - words.start[lo:hi]
-    f = Fingerprints.power(1)
     origin = start[0]
     part = words.buffer[origin : words.end[hi - 1]]
     f = Fingerprints.power(len(part) + 1)
@@ -211,12 +212,13 @@ def _identities(words: Words, lo: int, hi: int) -> np.ndarray:
     h = (prefix[start - origin + long] - prefix[start - origin]) * f[1, start - origin]
     _, pointer, number = np.unique(h, return_index=True, return_inverse=True)
     same = long == long[pointer[number]]
-    # every byte of every word against the word that its pointer names
-    told = np.flatnonzero(same)
-    of = np.repeat(told, long[told])
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(long[told]) - long[told], long[told])
-    differs = words.buffer[start[of] + nth] != words.buffer[start[pointer[number[of]]] + nth]
-    same[of[differs]] = False
+    # every byte of every word against the word that its pointer names, some words at a time
+    every = np.flatnonzero(same)
+    for told in (every[i : i + COMPARED] for i in range(0, len(every), COMPARED)):
+        of = np.repeat(told, long[told])
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(long[told]) - long[told], long[told])
+        differs = words.buffer[start[of] + nth] != words.buffer[start[pointer[number[of]]] + nth]
+        same[of[differs]] = False
     other = np.flatnonzero(~same)
     if len(other):
         names: dict[bytes, int] = {}
