@@ -12,9 +12,10 @@ from ..operators import analytics as A
 from ..operators import chunk as C
 from ..operators import dedup as D
 from ..operators import extension as X
+from ..operators import ivf as I
 from ..operators import retrieval as R
 from ..operators import vectors as N
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, new_path
 from . import views as V
 
 QUERIES: dict = {}
@@ -468,12 +469,36 @@ def v6_batch_retrieve(s, d):
     return N.per_query(q, N.candidates(q, V.items(s, d), 5, 0.9999)).groupBy("query_id").agg(F.count("id").alias("hits"))
 
 
+def _index(s, d):
+    """Queries, the chunk table, and the index of it."""
+    q, i = V.queries(s, d), _stored_items(s, d)
+    return q, i, I.build(i, new_path(s, "index"))
+
+
 @query()
 def v7_ivf_recall(s, d):
-    """Recall of the approximate search against the exact one, all items indexed; probes as a sample of queries needs them."""
-    q, i = V.queries(s, d), _stored_items(s, d)
-    centres = N.ivf_fit(i)
-    return N.recall(N.ivf_top_k(q, i, 10, centres, N.ivf_probes(q, i, 10, centres)), N.top_k(q, i, 10, "cosine"))
+    """Recall of the index against exact search, all items indexed; probes as a sample of queries needs them; and how many
+    of all files and pairs the search reads and scores."""
+    q, i, index = _index(s, d)
+    probes = I.probes_for(index, q, i, 10)
+    told = I.cost(index, q, probes)
+    return N.recall(I.search(index, q, 10, probes), N.top_k(q, i, 10, "cosine")).select("*", *[F.lit(v).alias(k) for k, v in told.items()])
+
+
+@query()
+def v7_codes_recall(s, d):
+    """The same, scored by codes first, and the bytes of a code and a vector."""
+    q, i, index = _index(s, d)
+    found = N.recall(I.search_codes(index, q, 10, I.probes_for(index, q, i, 10)), N.top_k(q, i, 10, "cosine"))
+    stored = index.items().agg(F.max(F.length("code")).alias("code_bytes"), F.max(4 * F.size("vector")).alias("vector_bytes"))
+    return found.crossJoin(stored)  # a row each
+
+
+@query("with h as (select query_id, i.id, row_number() over (partition by query_id order by round(list_cosine_similarity(q.vector, i.vector), 9) desc, i.id) as rank, round(list_cosine_similarity(q.vector, i.vector), 6) as score from m_q q, m_items i) select query_id, id, score, rank::int as rank from h where rank <= 10")
+def v7_ivf_all_cells(s, d):
+    """With all cells probed the index finds what exact search does."""
+    q, _, index = _index(s, d)
+    return I.search(index, q, 10, len(index.sizes)).withColumn("score", F.round("score", 6))
 
 
 @query(f"{_NEXT} select id, round(1 / (1 + list_distance(vector, other)), 6) as euclidean, round(0.7 * list_cosine_similarity(vector, other) + 0.3 / (1 + list_distance(vector, other)), 6) as hybrid from i where other is not null")
@@ -507,12 +532,15 @@ def v10_bm25(s, d):
     return _bm25(s, d, 10).select("query_id", "document_id", "score")
 
 
-@query(f"""with {_TOP}, {_BM25}, kw as (select query_id, doc_id as id, 1 - (rank - 1) / count(*) over (partition by query_id) as keyword from k where rank <= 10), v as (select query_id, id, score from h where rank <= 10),
+@query(f"""with {_TOP}, {_BM25}, kw as (select query_id, doc_id as id, 1 - (rank - 1) / count(*) over (partition by query_id) as keyword from k where rank <= 10), v as (select query_id, document_id as id, max(score) as score from h join m_items i on i.id = h.id where rank <= 10 group by 1, 2),
 f as (select coalesce(v.query_id, kw.query_id) as query_id, coalesce(v.id, kw.id) as id, round(0.7 * coalesce(score, 0) + 0.3 * coalesce(keyword, 0), 6) as score from v full join kw on v.query_id = kw.query_id and v.id = kw.id)
 select query_id, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as r from f) where r <= 10""")
 def v11_fuse(s, d):
+    """Documents by their best chunk and by their words."""
     words = _bm25(s, d, 10).withColumnRenamed("document_id", "id")
-    return N.fuse(N.top_k(V.queries(s, d), V.items(s, d), 10), words, 10).select("query_id", "id", "score")
+    i = _stored_items(s, d)
+    hits = N.top_k(V.queries(s, d), i, 10).join(i.select("id", "document_id"), "id")
+    return N.fuse(N.best_of_document(hits), words, 10).select("query_id", "id", "score")
 
 
 @query("select doc_id, round(0.5 * 0.9 + 0.2 * (doc_id % 10) / 10.0::double + 0.15 * (doc_id % 7) / 7.0::double + 0.05 * least(case when contains(lower(text), 'tion') then 0.3 else 0 end + case when contains(lower(text), 'heit') then 0.2 else 0 end, 1), 6) as score from documents")
@@ -522,10 +550,17 @@ def v12_ranking(s, d):
     return _texts(s, d, score=F.round(N.ranking_score(factors), 6))
 
 
-@query("select id, 64 as width, true as ok from m_items")
+@query(r"""with w as (select id, unnest(list_filter(string_split_regex(content, '[\s\x0B\x1C-\x1F]+'), lambda w: w <> '')) as w from m_items),
+h as (select id, ('0x' || left(md5(w), 8))::bigint as h from w),
+v as (select id, h % 64 as place, sum(case when h // 2147483648 = 1 then 1 else -1 end) as x from h group by 1, 2),
+n as (select id, sqrt(sum(x * x)) as norm, sum(x * (place + 1)) as checksum from v group by 1)
+select i.id, 64 as width, true as ok, round(coalesce(checksum / greatest(norm, 1e-12), 0), 6) as checksum, round(coalesce(case when norm > 0 then 1.0 else 0.0 end, 0), 6)::double as norm from m_items i left join n using (id)""")
 def v13_embed(s, d):
+    """The vectors' values, told by their length and by a sum weighted by place."""
     out = N.embed(V.items(s, d).select("id", "content"), N.hashing_embedder())
-    return out.select("id", F.size("embedding").alias("width"), F.col("error").isNull().alias("ok"))
+    v = F.col("embedding")
+    place = F.transform(v, lambda x, i: x * (i + 1))
+    return out.select("id", F.size(v).alias("width"), F.col("error").isNull().alias("ok"), F.round(F.aggregate(place, F.lit(0.0), lambda a, x: a + x), 6).alias("checksum"), F.round(N.norm(v), 6).alias("norm"))
 
 
 @query("""with t as (select id, conversation_id, ceil(length(content) / 4.0)::bigint as tokens from m_msg), r as (select *, sum(tokens) over (partition by conversation_id order by id) as running from t)
@@ -650,16 +685,40 @@ def r15_safety(s, d):
     return V.messages(s, d).select("id", F.size(flags).cast("long").alias("warnings"))
 
 
-@query(r"""with recursive w as (select id, list_sort(list_distinct(list_filter(string_split_regex(content, '\s+'), lambda w: w <> ''))) as words from m_items),
+def _edges(words: str, threshold: float) -> str:
+    """Sets of words by their smallest id, and the pairs of them that are alike."""
+    return rf"""w as (select id, list_sort(list_distinct({words})) as words from m_items),
 g as (select words, min(id) as node, len(words) as n from w group by words),
 x as (select node, n, unnest(words) as word from g),
-e as (select a.node as a, b.node as b from x a join x b on a.word = b.word and a.node < b.node and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) - 1e-6 group by a.node, b.node, a.n, b.n having count(*) >= 0.85 * (a.n + b.n - count(*)) - 1e-6),
+e as (select a.node as a, b.node as b from x a join x b on a.word = b.word and a.node < b.node and least(a.n, b.n) >= {threshold} * greatest(a.n, b.n) - 1e-6 group by a.node, b.node, a.n, b.n having count(*) >= {threshold} * (a.n + b.n - count(*)) - 1e-6)"""
+
+
+_PLAIN = r"list_filter(string_split_regex(content, '\s+'), lambda w: w <> '')"
+_FIVES = r"list_transform(range(1, greatest(len({0}) - 4, least(len({0}), 1)) + 1), lambda i: array_to_string({0}[i:i + 4], ' '))".format(_PLAIN)
+# one row for each passage that is like another, in order: the kept ones so far
+_GREEDY = """, o as (select b as node, list(a) as earlier, row_number() over (order by b) as pos from e group by b),
+k as (select 0::bigint as pos, []::bigint[] as gone union all select o.pos, case when len(list_filter(o.earlier, lambda x: not list_contains(gone, x))) > 0 then list_append(gone, o.node) else gone end from k join o on o.pos = k.pos + 1)
+select w.id, w.id = g.node and not list_contains((select gone from k order by pos desc limit 1), g.node) as kept from w join g using (words)"""
+
+
+@query(f"""with recursive {_edges(_PLAIN, 0.85)},
 t as (select a, b from e union select b, a from e), r as (select node as a, node as b from g union select r.a, t.b from r join t on t.a = r.b), c as (select a as node, min(b) as component_id from r group by 1)
 select w.id, component_id, w.id = component_id as kept from w join g using (words) join c using (node)""")
 def r16_near_duplicate_chunks(s, d):
     return D.near_duplicates(V.items(s, d).select("id", "content"))
 
 
+@query(f"with recursive {_edges(_PLAIN, 0.85)}{_GREEDY}")
+def r16_greedy_chunks(s, d):
+    return D.greedy(V.items(s, d).select("id", "content"))
+
+
+@query(f"with recursive {_edges(_FIVES, 0.8)}{_GREEDY}")
+def r16_greedy_shingles(s, d):
+    """By runs of five words."""
+    return D.greedy(V.items(s, d).select("id", "content"), threshold=0.8, shingle=5)
+
+
 @query()
 def r17_retrieve(s, d):
     q = V.queries(s, d)

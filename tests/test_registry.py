@@ -107,15 +107,16 @@ def test_retrieval_of_all_queries(spark, small, hits):
     assert {(r["query_id"], r["rank"], r["id"], r["document_id"], r["score"], r["rerank_score"]) for r in got} == want
 
 
-def test_recall_of_the_cells(spark, small, duck):
+def test_recall_of_the_index(spark, small, duck):
     """The recall that the query reports is that of its hits against those of SQL, and it is high."""
     reported = registry.queries()["v7_ivf_recall"](spark, small).first()
     best = duck.sql(V.sql("select query_id, id from (select query_id, i.id, row_number() over (partition by query_id order by round(list_cosine_similarity(q.vector, i.vector), 9) desc, i.id) as n from m_q q, m_items i) where n <= 10")).df()
-    items = textual._stored_items(spark, small)
-    q, centres = V.queries(spark, small), textual.N.ivf_fit(items)
-    near = textual.N.ivf_top_k(q, items, 10, centres, textual.N.ivf_probes(q, items, 10, centres)).toPandas()
+    q, items, index = textual._index(spark, small)
+    near = textual.I.search(index, q, 10, textual.I.probes_for(index, q, items, 10)).toPandas()
     both = set(zip(best["query_id"], best["id"])) & set(zip(near["query_id"], near["id"]))
     assert reported["n"] == len(best) and reported["recall"] == pytest.approx(len(both) / len(best)) and reported["recall"] >= 0.9
+    assert reported["pairs"] < reported["all_pairs"] == len(set(best["query_id"])) * items.count()
+    assert registry.queries()["v7_codes_recall"](spark, small).first()["recall"] >= 0.9
 
 
 def test_files_of_the_folder(spark, small):

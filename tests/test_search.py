@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import dedup as D
+from lexloom.operators import ivf as I
 from lexloom.operators import retrieval as R
 from lexloom.operators import vectors as N
 
@@ -20,7 +21,7 @@ def vectors(spark, rows, key="id"):
 
 
 @pytest.mark.parametrize("metric", ["ip", "cosine"])
-@pytest.mark.parametrize("tile", [N.QUERY_TILE_VALUES, 10])
+@pytest.mark.parametrize("tile", [N.QUERY_TILE_VALUES, 25])
 def test_top_k(spark, metric, tile, monkeypatch):
     monkeypatch.setattr(N, "QUERY_TILE_VALUES", tile)
     r = np.random.default_rng(1)
@@ -77,14 +78,89 @@ def test_similarity_columns(spark):
     assert got[0][0] == pytest.approx(0.96) and got[1][0] == 0.0 and got[0][1] == pytest.approx(1 / (1 + math.sqrt(2)))
 
 
-def test_ivf(spark):
+def test_top_k_of_any_width_and_id(spark):
+    """Queries and items of two widths, ids of several types, and vectors that can't be scored."""
+    nan, inf = float("nan"), float("inf")
+    items = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0, 0.0]), ("d", [nan, 1.0]), ("e", [inf, 1.0]), ("f", []), ("g", None), ("h", [None, 1.0]), ("i", [1.0, 0.0])]
+    asked = [(1, [1.0, 0.1]), (2, [1.0, 0.1, 0.0]), (3, [nan, 0.0]), (4, []), (5, [1.0])]
+    frame = spark.createDataFrame(items, "id string, vector array<double>")
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    want = {(1, "a", 1), (1, "i", 2), (1, "b", 3), (2, "c", 1)}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in N.top_k(queries, frame, 5).collect()} == want
+    for kind in ("decimal(9,2)", "timestamp", "double", "smallint", "binary"):
+        cast = "cast(query_id as decimal(9,2))" if kind == "decimal(9,2)" else f"cast(cast(query_id as string) as {kind})" if kind == "binary" else f"cast(query_id as {kind})"
+        other = queries.selectExpr(f"{cast} as query_id", "vector")
+        assert N.top_k(other, other.withColumnRenamed("query_id", "id"), 1).count() == 3
+
+
+def index_of(spark, tmp_path, n=600, width=8, **how):
     r = np.random.default_rng(2)
-    m = r.normal(size=(400, 8))
-    items, q = vectors(spark, [(i, v.tolist()) for i, v in enumerate(m)]), vectors(spark, [(i, v.tolist()) for i, v in enumerate(m[:20])], "query_id")
-    centres = N.ivf_fit(items, lists=8)
+    m = r.normal(size=(n, width))
+    m[: n // 3] = m[0] + r.normal(size=(n // 3, width)) * 0.05  # a cell with a third of all items
+    items = vectors(spark, [(i, v.tolist()) for i, v in enumerate(m)] + [(5000, None), (5001, [1.0]), (5002, [float("nan")] * width)]).repartition(3)
+    q = vectors(spark, [(i, v.tolist()) for i, v in enumerate(m[:: n // 40])] + [(98, None), (99, [1.0])], "query_id")
+    return m, items, q, I.build(items, str(tmp_path / "index"), lists=8, **how)
+
+
+def test_index_scores_what_its_cells_hold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "QUERIES_PER_BLOCK", 7)
+    m, items, q, index = index_of(spark, tmp_path, per_part=40)
+    assert max(index.parts.values()) > 4 and sum(index.sizes.values()) == len(m)
+    stored = {r["id"]: (r["cell"], r["part"]) for r in index.items().collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cells = sorted(index.sizes)
+    centres = index.quantiser.cells[cells]
+    near = lambda x: -(x @ centres.T - 0.5 * (centres**2).sum(axis=1))
+    assert all(stored[i][0] == cells[int(near(u[i]).argmin())] for i in range(len(m)))
+    asked = {r["query_id"]: np.array(r["vector"], float) for r in q.collect() if r["vector"] and len(r["vector"]) == 8}
+    for probes in (1, 3):
+        got = {}
+        for r in I.search(index, q, 5, probes).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"], round(r["score"], 9)))
+        assert set(got) == set(asked)
+        pairs = 0
+        for i, v in asked.items():
+            v = v / np.linalg.norm(v)
+            probed = {cells[c] for c in np.argsort(near(v[None]), axis=1, kind="stable")[0, :probes]}
+            held = [j for j in range(len(m)) if stored[j][0] in probed]
+            pairs += len(held)
+            f32 = lambda j: m[j].astype(np.float32).astype(float) / np.linalg.norm(m[j].astype(np.float32).astype(float))
+            want = sorted((-round(float(f32(j) @ v), 9), j) for j in held)[:5]
+            assert [x[1:] for x in sorted(got[i])] == [(j, -s) for s, j in want]
+        told = I.cost(index, q, probes)
+        assert told["pairs"] == pairs and told["all_pairs"] == len(asked) * len(m) and told["files"] <= told["all_files"]
+    assert I.cost(index, q.where("query_id = 1"), 1)["files"] < told["all_files"] and I.cost(index, q, 1)["pairs"] < told["pairs"]
+
+
+def test_index_reads_probed_cells_only(spark, tmp_path):
+    m, items, q, index = index_of(spark, tmp_path)
+    found = I.search(index, q.where("query_id = 1"), 5, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    assert I.probes_for(index, q, items, 5, 1.0) <= len(index.sizes)
     exact = N.top_k(q, items, 5, "cosine")
-    assert N.recall(N.ivf_top_k(q, items, 5, centres, probes=6), exact).first()["recall"] >= 0.9
-    assert N.recall(N.ivf_top_k(q, items, 5, centres, probes=8), exact).first()["recall"] == 1.0
+    everything = N.recall(I.search(index, q, 5, len(index.sizes)), exact.join(index.items().select("id"), "id", "left_semi")).first()
+    assert everything["recall"] == 1.0
+
+
+def test_codes(spark, tmp_path):
+    m, items, q, index = index_of(spark, tmp_path, stretches=4)
+    exact = N.top_k(q.where("query_id < 98"), items, 5, "cosine")
+    assert N.recall(I.search_codes(index, q, 5, len(index.sizes), 20), exact).first()["recall"] >= 0.9
+    assert {len(r["code"]) for r in index.items().select("code").collect()} == {4}
+    # what is decoded is near what was encoded
+    rows = index.items().collect()
+    decoded = np.array([index.quantiser.cells[r["cell"]] + np.concatenate([index.quantiser.words[i, c] for i, c in enumerate(r["code"])]) for r in rows])
+    true = np.array([r["vector"] for r in rows])
+    true /= np.linalg.norm(true, axis=1, keepdims=True)
+    assert np.linalg.norm(decoded - true, axis=1).mean() < 0.25
+
+
+def test_index_of_nothing(spark, tmp_path):
+    none = vectors(spark, [(1, None)])
+    index = I.build(none, str(tmp_path / "none"))
+    assert I.search(index, vectors(spark, [(1, [1.0])], "query_id"), 3, 2).count() == 0
+    assert I.search_codes(index, vectors(spark, [(1, [1.0])], "query_id"), 3, 2).count() == 0
 
 
 def test_embedding_cache(spark):
@@ -248,3 +324,41 @@ def test_similar_texts_need_no_search_unless_the_middle_is_shared():
         run = m.find_longest_match(0, len(a), 0, len(b)).size
         want = jaccard(a, b) >= 0.85 or (min(len(a), len(b)) > 0 and run / min(len(a), len(b)) >= 0.68) or m.ratio() >= 0.85
         assert R.similar_texts(a, b, 0.85) == want
+
+
+@pytest.mark.parametrize("shingle", [1, 5])
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_greedy_passages(spark, shingle, ids):
+    """Against the sequential loop, with chains whose ends differ."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(r.sample(words, 40))) for i in range(20)]
+    for k in range(4):
+        text = r.sample(words, 40)
+        for i in range(25):
+            text = text[:]
+            for _ in range(r.randrange(4)):
+                text[r.randrange(40)] = r.choice(words)
+            rows.append((100 * (k + 1) + (i * 7) % 25, " ".join(text)))
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "one two"), (904, "one"), (7, rows[7][1])]
+    name = (lambda i: f"p{i:04d}") if ids == "string" else (lambda i: i)
+    df = spark.createDataFrame([(name(i), t) for i, t in rows] + [(None, rows[8][1]), (None, "alone")], f"id {ids}, content string")
+
+    def runs(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + shingle]) for i in range(max(len(w) - shingle + 1, min(len(w), 1)))}
+
+    kept: list = []
+    for i, t in sorted(dict(rows).items()):
+        a = runs(t)
+        if not any((len(a & b) / len(a | b) if a | b else 1.0) >= 0.8 for _, b in kept):
+            kept.append((i, a))
+    found = D.greedy(df, threshold=0.8, shingle=shingle, bands=48).collect()
+    assert len(found) == len(rows) + 2
+    stay = {name(i) for i, _ in kept}
+    assert {x["id"] for x in found if x["kept"]} == stay | {None} and {x["id"] for x in found if not x["kept"]} == {name(i) for i, _ in rows} - stay
+    assert sum(x["id"] is None and x["kept"] for x in found) == 2
+    assert D.greedy(df.where("false")).count() == 0
+    # some that reach a kept one only through others stay
+    heads = {x["id"] for x in D.near_duplicates(df, threshold=0.8, shingle=shingle, bands=48).collect() if x["kept"]} - {None}
+    assert heads < stay if shingle == 1 else heads <= stay
