@@ -12,6 +12,7 @@ from ..operators import analytics as A
 from ..operators import chunk as C
 from ..operators import dedup as D
 from ..operators import extension as X
+from ..operators import inverted as K
 from ..operators import ivf as I
 from ..operators import retrieval as R
 from ..operators import vectors as N
@@ -532,6 +533,25 @@ def v10_bm25(s, d):
     return _bm25(s, d, 10).select("query_id", "document_id", "score")
 
 
+def _word_index(s, d):
+    """The documents' index, written in two batches."""
+    index = K.Index(s, new_path(s, "words"), "[a-zà-ÿ0-9]+")
+    for batch in (0, 1):
+        index.add(V.texts(s, d).where(F.col("doc_id") % 2 == batch), str(batch))
+    return index
+
+
+@query(f"with {_BM25} select query_id, doc_id as document_id, score from k where rank <= 10")
+def v10_indexed(s, d):
+    return K.search(_word_index(s, d), V.queries(s, d), 10).select("query_id", "document_id", "score")
+
+
+@query()
+def v10_index_cost(s, d):
+    """Blocks and postings that the search opens, of all that its terms have."""
+    return K.cost(_word_index(s, d), V.queries(s, d), 10)
+
+
 @query(f"""with {_TOP}, {_BM25}, kw as (select query_id, doc_id as id, 1 - (rank - 1) / count(*) over (partition by query_id) as keyword from k where rank <= 10), v as (select query_id, document_id as id, max(score) as score from h join m_items i on i.id = h.id where rank <= 10 group by 1, 2),
 f as (select coalesce(v.query_id, kw.query_id) as query_id, coalesce(v.id, kw.id) as id, round(0.7 * coalesce(score, 0) + 0.3 * coalesce(keyword, 0), 6) as score from v full join kw on v.query_id = kw.query_id and v.id = kw.id)
 select query_id, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as r from f) where r <= 10""")
