@@ -163,34 +163,45 @@ from x
 
 def _op2_sql() -> str:
     """The licence scan with the same sentences and rules."""
-    from .license_scan import ANCHORS, GAP, UNMATCHED, known_sentences, rules, sentence_pattern
+    from .license_scan import ANCHORS, GAP, PLUS, TAG, UNMATCHED, cited, known_sentences, rules, sentence_pattern, slots
 
     def quoted(x):
         return "'" + x.replace("'", "''") + "'"
 
     known = ", ".join(f"({quoted(s)}, {quoted(c)})" for s, c in known_sentences())
     pattern = quoted(sentence_pattern(sorted(s for s, _ in known_sentences())))
-    chain, counts = [], []
-    for i, (licence, codes) in enumerate(rules()):
-        chain.append(f"s{i + 1} as (select *, replace(r{i}, {quoted(codes)}, '#') as r{i + 1} from s{i})")
-        counts.append(f"select doc_id, {quoted(licence)} as licence, ((length(r{i}) - length(r{i + 1})) / {len(codes) - 1})::bigint as n from s{len(rules())}")
-    last = len(rules())
-    counts.append(f"select doc_id, {quoted(UNMATCHED)} as licence, length(r{last}) - length(replace(r{last}, '<', '')) as n from s{last}")
+    words = f"trim(regexp_replace(lower(regexp_replace(regexp_replace(text, {quoted(TAG)}, ' ', 'g'), {quoted(PLUS)}, '\\1 or later', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+    for slot, usual in slots():
+        words = f"regexp_replace({words}, {quoted(slot)}, {quoted(usual)}, 'g')"
+    spelt = ", ".join(f"({quoted(k.lower())}, {quoted(k)})" for k in cited())
+    # each rule in turn: what it takes away, and how often
+    steps = ", ".join(f"({i}, {quoted(licence)}, {quoted(codes)})" for i, (licence, codes) in enumerate(rules()))
     return rf"""
-with known(sentence, code) as (values {known}),
+with recursive known(sentence, code) as (values {known}), spelt(low, id) as (values {spelt}), rules(i, licence, codes) as (values {steps}),
 plain as (
-  select distinct doc_id, text, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as words
+  select distinct doc_id, text, {words} as words, regexp_extract_all(text, {quoted(TAG)}, 1) as tags
   from documents where regexp_matches(lower(text), {quoted("|".join(ANCHORS))})
+), parts as (
+  select row_number() over () as tag, doc_id, string_split_regex(t, '[ \t]+') as p from (select doc_id, unnest(tags) as t from plain)
+), words as (
+  select tag, doc_id, unnest(p) as w, unnest(range(1, len(p) + 1)) as i from parts
+), tagged as (
+  select doc_id, string_agg(coalesce(id, w), ' ' order by i) as licence from words left join spelt on lower(w) = low group by tag, doc_id
 ), cut as (
   select doc_id, text, regexp_extract_all(words, {pattern}) as found, string_split_regex(words, {pattern}) as parts from plain where regexp_matches(words, {pattern})
 ), hits as (
   select doc_id, text, unnest(found) as sentence, unnest(range(1, len(found) + 1)) as i, parts from cut
 ), coded as (
   select doc_id, text, i, code, len(list_filter(string_split(parts[i], ' '), lambda w: w <> '')) as gap from hits join known using (sentence)
-), s0 as (
-  select doc_id, string_agg(case when i > 1 and gap > {GAP} then '_' else '' end || code, '' order by i) as r0 from coded group by doc_id, text
-), {", ".join(chain)}
-select doc_id, licence, sum(n)::bigint as matches from ({" union all ".join(counts)}) group by doc_id, licence having sum(n) > 0
+), s(i, doc_id, text, before, rest) as (
+  select -1, doc_id, text, '', string_agg(case when i > 1 and gap > {GAP} then '_' else '' end || code, '' order by i) from coded group by doc_id, text
+  union all select rules.i, doc_id, text, rest, replace(rest, codes, '#') from s join rules on rules.i = s.i + 1
+), counted as (
+  select doc_id, licence, ((length(before) - length(rest)) / (length(codes) - 1))::bigint as n from s join rules using (i)
+  union all select doc_id, {quoted(UNMATCHED)}, length(rest) - length(replace(rest, '<', '')) from s where i = {len(rules()) - 1}
+  union all select doc_id, licence, 1 from tagged
+)
+select doc_id, licence, sum(n)::bigint as matches from counted group by doc_id, licence having sum(n) > 0
 """
 
 
