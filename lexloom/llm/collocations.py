@@ -39,7 +39,7 @@ SLICE_BYTES, WINDOW_WORDS = 1 << 20, 1 << 18
 #: Words that are compared byte by byte at a time.
 COMPARED = 1 << 15
 #: Distinct fingerprints that a task sums up before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 19
 BITS_PER_FINGERPRINT, MAX_BITS = 64, 1 << 26
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
