@@ -5,8 +5,14 @@ Null and empty texts give empty arrays or no rows.
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
+from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +21,12 @@ from pyspark.sql import Window as W
 from .text import strip
 
 # Patterns, terms and codes.
-NUMERALS = "零一二三四五六七八九十百千万0-9"
-CITATIONS = (f"《([^》]+)》第([{NUMERALS}]+)条", "《([^》]+)》第([0-9]+)条", rf"([A-Za-z\s]+)法第([{NUMERALS}]+)条", r"([A-Za-z\s]+)法第([0-9]+)条")
+CITATIONS = (
+    "《([^》]+)》第([零一二三四五六七八九十百千万0-9]+)条",
+    "《([^》]+)》第([0-9]+)条",
+    r"([A-Za-z\s]+)法第([零一二三四五六七八九十百千万0-9]+)条",
+    r"([A-Za-z\s]+)法第([0-9]+)条",
+)
 LEGAL_TERMS = ("原告", "被告", "上诉人", "被上诉人", "诉讼", "仲裁", "合同", "侵权", "违约责任", "刑事责任", "行政处罚")
 CHAPTER_TITLES = (r"^第[一二三四五六七八九十]+章(?U:\s*)(.+)$", r"^第[0-9]+章(?U:\s*)(.+)$", r"^CHAPTER(?U:\s+)[IVXLCDM]+(?U:\s*)(.+)$", r"^Chapter(?U:\s+)[0-9]+(?U:\s*)(.+)$")
 ARTICLE_TITLES = (r"^第[一二三四五六七八九十]+条(?U:\s*)(.+)$", r"^第[0-9]+条(?U:\s*)(.+)$", r"^Article(?U:\s+)[0-9]+(?U:\s*)(.+)$")
@@ -51,6 +61,9 @@ QUESTION_TYPES = (
 INTENT_SCHEMA = "is_legal_related boolean, legal_category string, confidence double, reasoning string, suggested_topics array<string>"
 ANALYSIS_SCHEMA = "core_issue string, legal_elements array<string>, key_entities array<string>, query_for_retrieval string, missing_info array<string>"
 
+#: Terms of one automaton; a larger dictionary is searched part by part.
+TERMS_PER_AUTOMATON = 200_000
+
 
 def spans(text: Column, patterns, distinct: bool = True) -> Column:
     """Array of (text, group1, group2, begin, finish, pattern): matches of each pattern, one pattern after another.
@@ -81,22 +94,78 @@ def citations(text: Column, compat: bool = False) -> Column:
     return spans(text, CITATIONS, distinct=not compat)
 
 
+def _automaton(shared):
+    """The automaton of a broadcast list of terms, built once a process."""
+    if shared.id not in _built:
+        _built.clear()
+        found = ahocorasick.Automaton()
+        for t in shared.value:
+            found.add_word(t, t)
+        found.make_automaton()
+        _built[shared.id] = found
+    return _built[shared.id]
+
+
+_built: dict = {}
+
+
+class _Terms(NamedTuple):
+    id: str
+    broadcast: object
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
+def _shards(terms: DataFrame):
+    """The distinct terms, ``TERMS_PER_AUTOMATON`` at a time, each broadcast."""
+    listed = terms.select("term").where("term <> ''").distinct()
+    n = max(1, -(-listed.count() // TERMS_PER_AUTOMATON))
+    for i in range(n):
+        part = listed if n == 1 else listed.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i)
+        yield _Terms(uuid.uuid4().hex, terms.sparkSession.sparkContext.broadcast(sorted(r[0] for r in part.collect())))
+
+
+def _matches(text: str, automaton) -> Iterator[tuple[str, int, int]]:
+    """(term, begin, finish) in one pass; terms overlap each other but not themselves."""
+    free: dict[str, int] = {}
+    for last, term in automaton.iter(text):
+        begin = last + 1 - len(term)
+        if begin >= free.get(term, 0):
+            free[term] = last + 1
+            yield term, begin, last + 1
+
+
+def _with_terms(docs: DataFrame, terms: DataFrame, kind: str, of) -> DataFrame:
+    """(doc_id, s): what ``of`` makes of each text's matches, for each shard of the dictionary."""
+
+    def one(shared):
+        @F.pandas_udf(f"array<struct<{kind}>>")
+        def find(texts: pd.Series) -> pd.Series:
+            if not shared.value:
+                return pd.Series([[] for _ in texts])
+            automaton = _automaton(shared)
+            return pd.Series([of(_matches(t, automaton)) if t else [] for t in texts])
+
+        return docs.select("doc_id", F.explode(find("text")).alias("s"))
+
+    return functools.reduce(DataFrame.unionByName, [one(shared) for shared in _shards(terms)])
+
+
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, term, n): overlapping terms all count. ``terms`` (term, definition) is a dictionary, whose terms become
-    part of the plan; each text is read once."""
-    listed = F.array(*[F.lit(r["term"]) for r in terms.select("term").distinct().orderBy("term").collect()])
-    n = lambda t: F.floor((F.length("text") - F.length(F.replace(F.col("text"), t, F.lit("")))) / F.length(t)).cast("int")
-    counted = F.transform(listed, lambda t: F.struct(t.alias("term"), n(t).alias("n")))
-    return docs.select("doc_id", F.inline(counted)).where("n > 0")
+    """(doc_id, term, n): overlapping terms all count. ``terms`` (term, definition) is a dictionary; each text is read
+    once for ``TERMS_PER_AUTOMATON`` of its terms, however many there are. Null and empty terms and texts have none."""
+    counted = _with_terms(docs, terms, "term:string,n:int", lambda found: list(Counter(t for t, _, _ in found).items()))
+    return counted.select("doc_id", "s.term", "s.n")
 
 
 def term_occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term, definition, begin, finish) of every occurrence of a dictionary's terms (term, definition); terms
-    that overlap are all found."""
-    listed = {r["term"]: r["definition"] for r in terms.select("term", "definition").orderBy("term", "definition").collect()}
-    defined = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])
-    found = docs.select("doc_id", F.explode(spans(F.col("text"), [re.escape(t) for t in listed], distinct=False)).alias("s"))
-    return found.select("doc_id", F.col("s.text").alias("term"), F.element_at(defined, F.col("s.text")).alias("definition"), "s.begin", "s.finish")
+    that overlap are all found. Of several definitions of a term the last in order counts."""
+    found = _with_terms(docs, terms, "term:string,begin:int,finish:int", list).select("doc_id", "s.term", "s.begin", "s.finish")
+    defined = terms.groupBy("term").agg(F.max("definition").alias("definition"))
+    return found.join(defined, "term").select("doc_id", "term", "definition", "begin", "finish")
 
 
 def structure(docs: DataFrame, chapters=CHAPTER_TITLES, articles=ARTICLE_TITLES) -> DataFrame:

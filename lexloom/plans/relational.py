@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics as A
 from ..operators import chunk, rbac, upsert
 from ..sources import files, sinks, tables
-from ..sources.scratch import shared_dir
+from ..sources.scratch import new_path, shared_dir
 from ..streaming import jobs
 from . import views as V
 
@@ -488,17 +488,76 @@ def w2_sessions(s, d):
     return jobs.sessions(V.events(s, d), "user_id").select("user_id", S("session_start").alias("start_s"), "n")
 
 
+_ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _streamed(s, rows, job):
+    """What ``job`` makes of ``rows`` as a stream, with a row a year later behind them, so that the watermark passes all."""
+    home = new_path(s, "stream")
+    rows.write.parquet(f"{home}/in")
+    last = rows.agg((F.max("ts") + F.expr("interval 1 year")).alias("ts"))
+    rows.limit(0).unionByName(last, allowMissingColumns=True).write.mode("append").parquet(f"{home}/in")
+    before = s.conf.get(_ROCKSDB[0], None)
+    s.conf.set(*_ROCKSDB)
+    try:
+        out = job(s.readStream.schema(rows.schema).parquet(f"{home}/in"))
+        out.writeStream.format("parquet").outputMode("append").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.unset(_ROCKSDB[0]) if before is None else s.conf.set(_ROCKSDB[0], before)
+    return s.read.schema(out.schema).parquet(f"{home}/out")
+
+
+_LAST = """with m as (select conversation_id % 15 as user_id, created_s, content from m_msg), e as (select *, case when created_s - lag(created_s) over (partition by user_id order by created_s, content) <= 3600 then 0 else 1 end as opens from m),
+n as (select *, sum(opens) over (partition by user_id order by created_s, content rows unbounded preceding) as k from e)
+select user_id, min(created_s)::bigint as start_s, max(created_s)::bigint + 3600 as end_s, count(*) as n, array_to_string(list_reverse(list(content order by created_s desc, content desc)[1:10]), '|') as messages from n group by user_id, k"""
+
+
+def _told(sessions):
+    return sessions.select("user_id", S("session_start").alias("start_s"), S("session_end").alias("end_s"), "n", F.array_join("messages", "|").alias("messages"))
+
+
+def _said(s, d):
+    return V.messages(s, d).select((F.col("conversation_id") % 15).alias("user_id"), F.col("created_at").alias("ts"), "content")
+
+
+@query(_LAST)
+def w2_last_messages(s, d):
+    return _told(jobs.last_messages_batch(_said(s, d), "user_id"))
+
+
+@query(_LAST)
+def w2_last_messages_stream(s, d):
+    return _told(_streamed(s, _said(s, d), lambda rows: jobs.last_messages(rows, "user_id")))
+
+
+@query("""with p as (select distinct user_id, ts::date as day from events), w as (select user_id, unnest(list_transform(range(1, 31), lambda i: day + i::int)) as until from p)
+select strftime(until, '%Y-%m-%d') as until, count(distinct user_id) as users from w group by 1""")
+def w3_active_users(s, d):
+    return jobs.active_users(jobs.exact_panes(V.events(s, d))).select(F.date_format("until", "yyyy-MM-dd").alias("until"), "users")
+
+
 @query("select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1")
 def w3_daily_counts(s, d):
     return jobs.daily_counts(V.events(s, d)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
-@query("""with recursive q as (select event_id, event_type || (user_id % 10) as k, floor(epoch(ts))::bigint as t, row_number() over (partition by event_type || (user_id % 10) order by floor(epoch(ts))::bigint, event_id) as i from events),
+_HITS = """with recursive q as (select event_id, event_type || (user_id % 10) as k, floor(epoch(ts))::bigint as t, row_number() over (partition by event_type || (user_id % 10) order by floor(epoch(ts))::bigint, event_id) as i from events),
 f as (select event_id, k, i, t as miss, false as hit from q where i = 1 union all select q.event_id, q.k, q.i, case when q.t - f.miss < 1800 then f.miss else q.t end, q.t - f.miss < 1800 from f join q on q.k = f.k and q.i = f.i + 1)
-select k as query_key, event_id as query_id, hit from f""")
+select k as query_key, event_id as query_id, hit from f"""
+
+
+def _asked(s, d):
+    return V.events(s, d).select(F.col("event_id").alias("query_id"), F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("query_key"), "ts")
+
+
+@query(_HITS)
 def w4_cache_hits(s, d):
-    q = V.events(s, d).select(F.col("event_id").alias("query_id"), F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("query_key"), "ts")
-    return jobs.cache_hits(q, "query_key").select("query_key", "query_id", "hit")
+    return jobs.cache_hits(_asked(s, d), "query_key").select("query_key", "query_id", "hit")
+
+
+@query(_HITS)
+def w4_cache_hits_stream(s, d):
+    return _streamed(s, _asked(s, d), lambda rows: jobs.cache_hits_stream(rows, "query_key"))
 
 
 @query("select doc_id as document_id, greatest(1, ceil((length(text) - 100) / 900.0))::bigint as chunks from documents where length(text) > 0")

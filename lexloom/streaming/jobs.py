@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "file_path string, status string, progress double, started timestamp, updated timestamp"
@@ -66,16 +67,190 @@ def sessions(messages: DataFrame, key: str, gap: str = "1 hour", watermark: str
     return out.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
 
 
+class _InOrder(StatefulProcessor):
+    """Rows of a key in order of event time, whatever order they come in: rows are held back until the watermark has passed
+    them, which bounds what is held by the watermark's delay, and then given to ``fold`` once. ``fold`` gets
+    rows (seconds, *columns) and the watermark in seconds, and returns rows of the result and when it wants to be called at the latest."""
+
+    columns: tuple[str, ...] = ()
+    held_schema = ""
+    out: tuple[str, ...] = ()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", f"at long, {self.held_schema}")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def fold(self, key: tuple, rows: list[tuple], watermark: float) -> tuple[list[tuple], float | None]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(at.value // 1000), *rest) for frame in rows for at, *rest in frame[["ts", *self.columns]].itertuples(index=False)]
+        return self._step(key, new, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._step(key, [], timerValues)
+
+    def _step(self, key, new, timers) -> Iterator[pd.DataFrame]:
+        mark = timers.getCurrentWatermarkInMs() * 1000
+        held = [*(self.held.get() if self.held.exists() else ()), *new]
+        done = sorted((tuple(r) for r in held if r[0] <= mark), key=lambda r: tuple((x is not None, x) for x in r))
+        wait = [tuple(r) for r in held if r[0] > mark]
+        if wait:
+            self.held.put(wait)
+        else:
+            self.held.clear()
+        found, wake = self.fold(key, done, mark)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        due = [x for x in (min((r[0] for r in wait), default=None), wake) if x is not None]
+        if due:
+            self.handle.registerTimer(max(int(min(due)) // 1000, mark // 1000) + 1)
+        if found:
+            yield pd.DataFrame(found, columns=list(self.out))
+
+
+class _LastMessages(_InOrder):
+    columns, held_schema = ("content",), "content string"
+
+    def __init__(self, key: str, gap: int, keep: int):
+        self.gap, self.keep = gap * 1_000_000, keep
+        self.out = (key, "session_start", "session_end", "n", "messages")
+
+    def open(self, handle):
+        self.session = handle.getValueState("session", "first long, last long, n long")
+        self.tail = handle.getListState("tail", "at long, content string")
+
+    def fold(self, key, rows, watermark):
+        now = list(self.session.get()) if self.session.exists() else None
+        tail = [tuple(r) for r in self.tail.get()] if self.tail.exists() else []
+        found = []
+
+        def close():
+            # a session ends ``gap`` after its last message
+            found.append((key[0], pd.Timestamp(now[0], unit="us"), pd.Timestamp(now[1] + self.gap, unit="us"), now[2], [c for _, c in tail]))
+
+        for at, content in rows:
+            if now and at - now[1] > self.gap:
+                close()
+                now, tail = None, []
+            now = [now[0] if now else at, at, now[2] + 1 if now else 1]
+            tail = [*tail, (at, content)][-self.keep :]
+        if now and now[1] + self.gap < watermark:
+            close()
+            now = None
+        if now:
+            self.session.update(tuple(now))
+            self.tail.put(tail)
+        else:
+            self.session.clear()
+            self.tail.clear()
+        return found, now and now[1] + self.gap
+
+
+class _Hits(_InOrder):
+    columns = ("no_id", "query_id")
+
+    def __init__(self, key: str, ttl: int, id_kind: str):
+        self.ttl, self.held_schema = ttl, f"no_id boolean, query_id {id_kind}"
+        self.out = (key, "query_id", "hit")
+
+    def open(self, handle):
+        self.missed = handle.getValueState("missed", "at long")
+
+    def fold(self, key, rows, watermark):
+        last = self.missed.get()[0] if self.missed.exists() else None
+        found = []
+        for at, no_id, name in sorted((at // 1_000_000, no_id, name) for at, no_id, name in rows):
+            hit = last is not None and at - last < self.ttl
+            last = last if hit else at
+            found.append((key[0], None if no_id else str(name), hit))
+        # a miss that is older than any row to come is forgotten
+        if last is not None and (last + self.ttl) * 1_000_000 > watermark:
+            self.missed.update((last,))
+        elif self.missed.exists():
+            self.missed.clear()
+        return found, None if last is None else (last + self.ttl) * 1_000_000
+
+
+def last_messages(messages: DataFrame, key: str, gap: int = 3600, keep: int = 10, watermark: str = "10 minutes") -> DataFrame:
+    """(key, session_start, session_end, n, messages) of ``messages`` (key, ts, content): sessions as in ``sessions``, with the
+    contents of their last ``keep`` messages in order. A stream, whose state is the open session with ``keep`` messages
+    and what the watermark hasn't passed; needs the RocksDB state store."""
+    kind = messages.schema[key].dataType
+    # as text, since pandas makes whole numbers beside a null inexact
+    timed = messages.select(F.col(key).cast("string").alias(key), "ts", "content").withWatermark("ts", watermark)
+    schema = f"{key} string, session_start timestamp, session_end timestamp, n long, messages array<string>"
+    return timed.groupBy(key).transformWithStateInPandas(_LastMessages(key, gap, keep), schema, "append", "eventtime").withColumn(key, F.col(key).cast(kind))
+
+
+def last_messages_batch(messages: DataFrame, key: str, gap: int = 3600, keep: int = 10) -> DataFrame:
+    """The batch twin of ``last_messages``."""
+    order = W.partitionBy(key).orderBy("ts", "content")
+    starts = F.coalesce(F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order) > gap * 1_000_000, F.lit(True))
+    numbered = messages.select(key, "ts", "content").where("ts is not null").withColumn("session", starts).withColumn("session", F.count_if("session").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    inside = W.partitionBy(key, "session").orderBy(F.desc("ts"), F.desc("content"))
+    placed = numbered.withColumn("back", F.row_number().over(inside))
+    tail = F.transform(F.reverse(F.array_sort(F.collect_list(F.when(F.col("back") <= keep, F.struct("back", "content"))))), lambda x: x["content"])
+    end = F.timestamp_micros(F.unix_micros(F.max("ts")) + gap * 1_000_000)
+    return placed.groupBy(key, "session").agg(F.min("ts").alias("session_start"), end.alias("session_end"), F.count("*").alias("n"), tail.alias("messages")).drop("session")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries dropped because the watermark had passed them: ``count`` by name of the query, and
+    progress as it comes."""
+
+    def __init__(self):
+        self.count: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        self.count.setdefault(event.name, 0)
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.count[p.name] = self.count.get(p.name, 0) + sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
 def daily_counts(rows: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """(day, n) by tumbling days. Batch and stream."""
     source = rows.withWatermark("ts", watermark) if rows.isStreaming else rows
     return source.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "n")
 
 
-def active_users(rows: DataFrame, length: str = "30 days", slide: str = "1 day", watermark: str = "10 minutes") -> DataFrame:
-    """(until, users) by sliding windows, approximately."""
+def user_panes(rows: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """(day, sketch) of rows (user_id, ts): a mergeable sketch of the users of each day. Batch and stream."""
     source = rows.withWatermark("ts", watermark) if rows.isStreaming else rows
-    return source.groupBy(F.window("ts", length, slide).alias("w")).agg(F.approx_count_distinct("user_id").alias("users")).select(F.col("w.end").alias("until"), "users")
+    days = source.groupBy(F.window("ts", "1 day").alias("w")).agg(F.hll_sketch_agg("user_id").alias("sketch"))
+    return days.select(F.col("w.start").cast("date").alias("day"), "sketch")
+
+
+def exact_panes(rows: DataFrame) -> DataFrame:
+    """(day, bucket, bits) of rows (user_id, ts) with whole numbers as users: bitmaps of 32 768 users each, for each day."""
+    placed = rows.where("user_id is not null").select(F.col("ts").cast("date").alias("day"), F.bitmap_bucket_number("user_id").alias("bucket"), F.bitmap_bit_position("user_id").alias("place"))
+    return placed.groupBy("day", "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+
+
+def _windows(panes: DataFrame, days: int) -> DataFrame:
+    """Each pane once for each window of ``days`` days, named by the day after its last, that it is part of."""
+    return panes.withColumn("until", F.explode(F.transform(F.sequence(F.lit(1), F.lit(days)), lambda i: F.date_add("day", i))))
+
+
+def active_users(panes: DataFrame, days: int = 30) -> DataFrame:
+    """(until, users): users of the ``days`` days before each day. Of ``user_panes`` within two hundredths or so, of
+    ``exact_panes`` exactly. Rows are reduced to a pane a day before windows overlap."""
+    if "bits" in panes.columns:
+        merged = _windows(panes, days).groupBy("until", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+        return merged.groupBy("until").agg(F.sum("n").alias("users"))
+    return _windows(panes, days).groupBy("until").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
 
 
 def first_queries(queries: DataFrame, key: str, ttl: str = "30 minutes") -> DataFrame:
@@ -83,6 +258,17 @@ def first_queries(queries: DataFrame, key: str, ttl: str = "30 minutes") -> Data
     return queries.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
 
 
+def cache_hits_stream(queries: DataFrame, key: str, ttl: int = 1800, watermark: str = "10 minutes") -> DataFrame:
+    """``cache_hits`` of a stream: (key, query_id, hit) once the watermark has passed a query. The state of a key is its last
+    miss, for ``ttl`` seconds, and what the watermark hasn't passed; needs the RocksDB state store."""
+    kind = lambda c: queries.schema[c].dataType.simpleString()
+    # a key as text and an id beside a mark for null, since pandas makes whole numbers beside a null inexact
+    known = F.coalesce("query_id", F.lit(0).cast(kind("query_id")))
+    timed = queries.select(F.col(key).cast("string").alias(key), F.col("query_id").isNull().alias("no_id"), known.alias("query_id"), "ts").withWatermark("ts", watermark)
+    hits = timed.groupBy(key).transformWithStateInPandas(_Hits(key, ttl, kind("query_id")), f"{key} string, query_id string, hit boolean", "append", "eventtime")
+    return hits.withColumn(key, F.col(key).cast(kind(key))).withColumn("query_id", F.col("query_id").cast(kind("query_id")))
+
+
 def cache_hits(queries: DataFrame, key: str, ttl: int = 1800) -> DataFrame:
     """``queries`` (query_id, key, ts) with ``hit``: whether the last miss of the key is less than ``ttl`` seconds old.
 

@@ -34,13 +34,89 @@ def test_sessions(spark, tmp_path):
     assert got == want and len(want) == 3
 
 
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+def waves(spark, tmp_path, batches, schema):
+    """A stream that reads one file of rows after another, and all rows."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "w" / f"{i}"))
+        for f in (tmp_path / "w" / f"{i}").glob("*.parquet"):
+            f.rename(tmp_path / "w" / f"{i:03d}.parquet")
+    import time, os  # noqa: E401
+
+    for i in range(len(batches)):
+        os.utime(tmp_path / "w" / f"{i:03d}.parquet", (time.time() - 1000 + i, time.time() - 1000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "w" / "*.parquet")), spark.read.schema(schema).parquet(str(tmp_path / "w" / "*.parquet"))
+
+
+def test_last_messages(spark, tmp_path, rocksdb):
+    random = np.random.default_rng(4)
+    rows = [(int(k), T0 + timedelta(minutes=int(m)), f"m{i}") for i, (k, m) in enumerate(zip(random.integers(0, 3, 150), np.sort(random.integers(0, 3000, 150)) + random.integers(0, 9, 150)))]
+    batches = [rows[:50], rows[50:90], rows[90:], [(99, T0 + timedelta(days=9), "end")]]
+    batches[0] += [(None, T0 + timedelta(minutes=1), None), (None, T0 + timedelta(minutes=2), "b"), (2**60 + 1, T0, "large")]
+    schema = "k long, ts timestamp, content string"
+    stream, batch = waves(spark, tmp_path, batches, schema)
+    run(jobs.last_messages(stream, "k", keep=4), "lasting", "append")
+    got = {(r["k"], r["session_start"], r["session_end"], r["n"], tuple(r["messages"])) for r in spark.table("lasting").collect()}
+    twin = {(r["k"], r["session_start"], r["session_end"], r["n"], tuple(r["messages"])) for r in jobs.last_messages_batch(batch, "k", keep=4).where("not k <=> 99").collect()}
+    assert got == twin and len(twin) > 10 and max(x[3] for x in twin) > 4
+    windows = {tuple(r) for r in jobs.sessions(batch, "k").where("not k <=> 99").collect()}
+    assert {x[:4] for x in twin} == windows
+
+
+def test_cache_hits_of_a_stream(spark, tmp_path, rocksdb):
+    random = np.random.default_rng(6)
+    rows = [(i, f"k{k}", T0 + timedelta(seconds=int(s))) for i, (k, s) in enumerate(zip(random.integers(0, 4, 300), np.sort(random.integers(0, 9000, 300)) + random.integers(0, 500, 300)))]
+    schema = "query_id long, key string, ts timestamp"
+    stream, batch = waves(spark, tmp_path, [rows[:120] + [(None, "k0", T0), (2**60 + 1, None, T0)], rows[120:250], rows[250:], [(999, "z", T0 + timedelta(days=2))]], schema)
+    run(jobs.cache_hits_stream(stream, "key", 700), "hits", "append")
+    got = {tuple(r) for r in spark.table("hits").collect()}
+    want = {tuple(r) for r in jobs.cache_hits(batch, "key", 700).collect() if r["key"] != "z"}
+    assert got == want and len({x[2] for x in want}) == 2
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    rows = [(1, T0 + timedelta(days=5)), (1, T0 + timedelta(days=6))]
+    late = [(1, T0), (1, T0 + timedelta(days=1)), (1, T0 + timedelta(days=6))]
+    # a batch drops what the watermark of the batch before it had passed
+    stream, _ = waves(spark, tmp_path, [rows, rows, late], "user_id int, ts timestamp")
+    listener = jobs.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        q = run(jobs.daily_counts(stream), "late_days", "update")
+        assert sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"]) == 2
+        for _ in range(50):
+            if listener.count.get("late_days") == 2:
+                break
+            __import__("time").sleep(0.2)
+        assert listener.count["late_days"] == 2
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def test_daily_counts_and_users(spark, tmp_path):
     rows = [(i % 3, T0 + timedelta(hours=7 * i)) for i in range(20)]
     stream, batch = source(spark, tmp_path, rows, "user_id int, ts timestamp")
     run(jobs.daily_counts(stream), "daily", "update")
     assert {tuple(r) for r in spark.table("daily").collect()} == {tuple(r) for r in jobs.daily_counts(batch).collect()}
-    users = jobs.active_users(batch).agg(F.max("users")).first()[0]
-    assert users == 3
+    run(jobs.user_panes(stream), "panes", "complete")
+    panes = spark.table("panes")
+    assert panes.count() == 6 and {r["users"] for r in jobs.active_users(panes).where("until = date'2024-01-20'").collect()} == {3}
+
+
+def test_active_users(spark):
+    """Panes merged into windows against a count of distinct users for each window."""
+    rows = spark.range(60_000).select((F.col("id") * 7919 % 20_011 - 5000).alias("user_id"), F.timestamp_seconds(1704067200 + F.col("id") * 97 % (86400 * 50)).alias("ts")).union(spark.sql("select cast(null as bigint), timestamp'2024-01-03'"))
+    want = {r["until"]: r["n"] for r in jobs._windows(rows.select("user_id", F.col("ts").cast("date").alias("day")), 7).groupBy("until").agg(F.countDistinct("user_id").alias("n")).collect()}
+    assert {r["until"]: r["users"] for r in jobs.active_users(jobs.exact_panes(rows), 7).collect()} == want
+    near = {r["until"]: r["users"] for r in jobs.active_users(jobs.user_panes(rows), 7).collect()}
+    assert set(near) == set(want) and all(abs(near[k] - n) <= 0.05 * n + 1 for k, n in want.items())
 
 
 def test_task_counters(spark, tmp_path):

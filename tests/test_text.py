@@ -79,6 +79,22 @@ def test_terms_overlap(spark):
     assert {(r["term"], r["n"]) for r in E.term_counts(docs, terms).collect()} == {("被上诉人", 1), ("上诉人", 2), ("合同", 1)}
 
 
+def test_large_dictionaries(spark, monkeypatch):
+    """Ten thousand terms and odd ones, whole and in parts, against a search for each."""
+    words = [f"w{i:x}" for i in range(0, 30_000, 3)] + ["aa", "a", "", "a w", "字", "字字"]
+    texts = [" ".join(f"w{i:x}" for i in range(k, k + 40)) + " aaaa字字字" for k in range(0, 400, 40)] + [None, "", "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = spark.createDataFrame([(t, f"d{t}") for t in words] + [("aa", "later"), (None, "x")], "term string, definition string")
+    want = {(i, t, m.start(), m.end()) for i, text in enumerate(texts) if text for t in words if t and t in text for m in re.finditer(re.escape(t), text)}
+    for size in (E.TERMS_PER_AUTOMATON, 3000):
+        monkeypatch.setattr(E, "TERMS_PER_AUTOMATON", size)
+        rows = E.term_occurrences(docs, terms).collect()
+        assert len(rows) == len(want) and {(r["doc_id"], r["term"], r["begin"], r["finish"]) for r in rows} == want
+        assert all(r["definition"] == ("later" if r["term"] == "aa" else f"d{r['term']}") for r in rows)
+        counts = {(r["doc_id"], r["term"]): r["n"] for r in E.term_counts(docs, terms).collect()}
+        assert sum(counts.values()) == len(want)
+
+
 def test_structure(spark):
     text = "前言\n第一条 独立\n第一章 总则\n第二条 甲\n正文\n第三条 乙\n\n第2章 附则"
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
