@@ -329,8 +329,9 @@ def _exact(linked: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(linked: DataFrame, nodes: DataFrame, threshold: float, sample: int = 256, seed: int = 2) -> float:
-    """Share of the true links of a sample, the smallest hashes, that the result has. A vector in another component than
-    one that it links with counts as a link missed. The sample is sent to every task and compared with every vector."""
+    """Share of the true links of a sample, the smallest hashes, that the result has: of all their links, or on average of
+    a vector's own, whichever is less, so that a large group doesn't hide what small ones lose. A vector in another component
+    than one that it links with counts as a link missed. The sample is sent to every task and compared with every vector."""
     chosen = nodes.orderBy(F.xxhash64("node", F.lit(seed))).limit(sample).select("node", "label", "width", "vector").collect()
     if not chosen:
         return 1.0
@@ -357,8 +358,9 @@ def audit(linked: DataFrame, nodes: DataFrame, threshold: float, sample: int = 2
     own = linked.select("node", "component", (F.col("n_links") - F.col("copies") + 1).alias("n"))
     seen = true.join(other, "nbr").join(own.select("node", "component"), "node")
     seen = seen.groupBy("node").agg(F.sum("weight").alias("true"), F.count_if(F.col("other") != F.col("component")).alias("apart")).join(own.select("node", "n"), "node")
-    got, every = seen.agg(F.sum(F.least("n", "true") - F.least("apart", F.least("n", "true"))), F.sum("true")).first()
-    return got / every if every else 1.0
+    had = F.least("n", "true") - F.least("apart", F.least("n", "true"))
+    got, every, own_share = seen.agg(F.sum(had), F.sum("true"), F.avg(had / F.col("true"))).first()
+    return min(got / every, own_share) if every else 1.0
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, k: int = 12, recall: float = 0.995) -> DataFrame:

@@ -5,8 +5,8 @@ shares, distinct-trigram share and self-overlap at short lags, then by a learned
 passages, the weighted mean is the document's representation, and a logistic layer scores it. Encoder, attention and
 score are learned together from document labels.
 
-Learning takes ``max_documents`` labelled documents at most (smallest hashes first) and ``max_passages`` passages of
-each; scoring reads all passages of whole texts.
+Learning takes all passages of ``max_documents`` labelled documents at most (smallest hashes first), of which those of more
+than ``max_passages`` passages are left out; scoring reads all passages of whole texts.
 
 Nulls: a null text is an empty one; empty texts have one passage without features and get its score. Rows of ``labels``
 with a null id or label teach nothing; of repeated labels of an id the smallest counts. Without labels of both kinds
@@ -178,9 +178,9 @@ def score_texts(model: AttentionModel, texts: list[str | None], chunk: int = 2_0
     return np.concatenate(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 2500, max_passages: int = 48, label: str = "quality") -> AttentionModel:
-    """Learn from labelled documents that aren't held out. The driver gets ``max_documents * max_passages`` encoded
-    passages at most, no texts."""
+def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 2500, max_passages: int = 256, label: str = "quality") -> AttentionModel:
+    """Learn from all passages of labelled documents that aren't held out. The sample is of ``max_documents`` rows at most;
+    those of more than ``max_passages`` passages aren't in it. The driver gets encoded passages, no texts."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.min(label).alias("y"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
@@ -190,10 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 2500, max_passa
             rows = []
             for i, y, text in zip(frame["doc_id"], frame["y"], frame["text"]):
                 data, sizes, _ = passages([text])
-                ends = np.cumsum(sizes)
-                step = np.unique(np.linspace(0, len(sizes) - 1, min(max_passages, len(sizes))).astype(int))
-                kept = np.concatenate([data[ends[k] - sizes[k] : ends[k]] for k in step])
-                rows.append((i, y, passage_features(kept, sizes[step]).tobytes()))
+                if len(sizes) <= max_passages:
+                    rows.append((i, y, passage_features(data, sizes).tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "y", "bag"])
 
     # max_documents rows of two numbers are broadcast

@@ -6,10 +6,12 @@ model learns from the kind of probabilities that it will get. Rows with equal fe
 
 ``categories`` names the columns of ``labels`` in the order of the chain. Where there is one only, the chain is given
 earlier categories that the data suggest: toxic documents of the sample are parted into ``kinds`` clusters by their
-features (spherical k-means), and ``kind_1``, ``kind_2``, ... are membership of each. No list of words is used.
+features (spherical k-means), and ``kind_1``, ``kind_2``, ... are membership of each. For out-of-fold predictions the
+clusters are formed anew without the fold that is predicted. No list of words is used.
 
-Learning takes ``max_documents`` labelled documents at most (smallest hashes first) and keeps the ``max_features``
-features that speak most clearly for any category; features are counted by Spark. Scoring reads whole texts.
+Learning takes ``max_documents`` labelled documents at most (smallest hashes first). The models' width is ``max_features``,
+those features that speak most clearly for a category, of all that ``least`` of these documents have; features are
+counted by Spark. Scoring reads whole texts.
 
 Nulls: a null text is an empty one and gets the score of a text without features. Rows of ``labels`` with a null id
 teach nothing, a null label counts as 0 unless all labels of the row are null; of repeated labels of an id the largest
@@ -19,8 +21,10 @@ Extra columns are ignored. Ids may be of any type.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,19 +95,44 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 3
     return w
 
 
-def train_chain(x: np.ndarray, labels: dict[str, np.ndarray], place: dict[bytes, int], folds: int = 5) -> Chain:
-    """Fit the categories in order; a row's fold is told by its features, so equal rows never teach about each other."""
+def train_chain(x: np.ndarray, labels: dict[str, np.ndarray] | Callable[[np.ndarray], dict[str, np.ndarray]], place: dict[bytes, int], folds: int = 5) -> Chain:
+    """Fit the categories in order; a row's fold is told by its features, so equal rows never teach about each other.
+    ``labels``: of all rows, or a function that gives those of some rows from these rows alone."""
+    of = labels if callable(labels) else lambda rows: {c: y[rows] for c, y in labels.items()}
     fold = np.array([zlib.crc32(row.tobytes()) % folds for row in x], dtype=np.int64)
+    every = of(np.arange(len(x)))
+    learned = [(np.flatnonzero(fold != k), np.flatnonzero(fold == k)) for k in range(folds)]
+    within = [of(rest) for rest, _ in learned]
     earlier, weights = np.empty((len(x), 0)), []
-    for y in labels.values():
+    for c, y in every.items():
         wide = np.hstack([x, earlier])
         weights.append(logistic(wide, y))
         out = np.zeros(len(x))
-        for k in range(folds):
-            w = logistic(wide[fold != k], y[fold != k])
-            out[fold == k] = _sigmoid(wide[fold == k] @ w[:-1] + w[-1])
+        for (rest, own), known in zip(learned, within):
+            w = logistic(wide[rest], known[c])
+            out[own] = _sigmoid(wide[own] @ w[:-1] + w[-1])
         earlier = np.hstack([earlier, out[:, None]])
-    return Chain(list(labels), place, weights)
+    return Chain(list(every), place, weights)
+
+
+def kinds_from(x: np.ndarray, toxic: np.ndarray, kinds: int, name: str) -> Callable[[np.ndarray], dict[str, np.ndarray]]:
+    """A function that gives, of some rows, ``kind_1``, ``kind_2``, ... and ``name``: the clusters of these rows' toxic ones,
+    numbered like those of all toxic rows that they share most with."""
+    positive = np.flatnonzero(toxic)
+    whole = np.full(len(x), -1)
+    whole[positive] = kinds_of(x[positive], kinds)
+
+    def of(rows: np.ndarray) -> dict[str, np.ndarray]:
+        own = rows[toxic[rows] > 0]
+        near = kinds_of(x[own], kinds)
+        shared = np.zeros((kinds, kinds), int)
+        np.add.at(shared, (near, whole[own]), 1)
+        number = max(itertools.permutations(range(kinds)), key=lambda p: sum(shared[i, p[i]] for i in range(kinds)))
+        kind = np.full(len(x), -1)
+        kind[own] = np.array(number)[near]
+        return {**{f"kind_{k + 1}": (kind[rows] == k).astype(float) for k in range(kinds)}, name: toxic[rows]}
+
+    return of
 
 
 def vectors(counts: list[Counter], place: dict[bytes, int]) -> np.ndarray:
@@ -167,12 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("toxi
     x = vectors([Counter({bytes(f["feature"]): f["n"] for f in r["f"]}) for r in rows], place)
     y = {c: np.array([float(r["marks"][i] > 0) for r in rows]) for i, c in enumerate(categories)}
     if len(categories) == 1:
-        positive = np.flatnonzero(y[categories[0]])
-        near = kinds_of(x[positive], kinds)
-        derived = {f"kind_{k + 1}": np.zeros(len(rows)) for k in range(kinds)}
-        for k, marks_of in enumerate(derived.values()):
-            marks_of[positive[near == k]] = 1.0
-        y = {**derived, **y}
+        return train_chain(x, kinds_from(x, y[categories[0]], kinds, categories[0]), place)
     return train_chain(x, y, place)
 
 

@@ -231,6 +231,30 @@ def test_kinds_are_clusters():
     assert (tx.kinds_of(x, 2) == near).all() and tx.kinds_of(x[:1], 2).tolist() == [0] and len(tx.kinds_of(x[:0], 2)) == 0
 
 
+def test_kinds_are_formed_without_the_fold_they_are_predicted_for():
+    r = np.random.default_rng(8)
+    x = np.vstack([np.abs(r.normal(size=(60, 3))) @ np.eye(3, 6), np.abs(r.normal(size=(60, 3))) @ np.eye(3, 6, 3), np.abs(r.normal(size=(200, 6))) * 0.1])
+    toxic = np.append(np.ones(120), np.zeros(200))
+    of = tx.kinds_from(x, toxic, 2, "toxic")
+    every, asked = of(np.arange(320)), []
+    assert list(every) == ["kind_1", "kind_2", "toxic"] and (every["kind_1"] + every["kind_2"] == toxic).all()
+    # some rows' kinds are those of all, though their clusters are their own
+    for rows in (np.arange(10, 300), np.arange(319, -1, -3)):
+        assert all((of(rows)[c] == every[c][rows]).mean() > 0.97 for c in every)
+    chain = tx.train_chain(x, lambda rows: asked.append(set(rows.tolist())) or of(rows), {bytes([i]): i for i in range(6)})
+    assert len(asked) == 6 and max(map(len, asked)) == 320 and set.intersection(*asked) == set() and [len(w) for w in chain.weights] == [7, 8, 9]
+    assert of(np.arange(130, 140))["kind_1"].sum() == 0
+
+
+def test_long_documents_are_not_in_the_quality_sample(spark):
+    rows = [(i, ("good words here " if i % 2 else "zq zq zq zq ") * 20) for i in range(40)] + [(i, "zq " * 60_000) for i in range(41, 61, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = labels(spark, [(i, i % 2, 0) for i, _ in rows])
+    model = qu.fit(docs, marks)
+    short = qu.fit(docs.where("doc_id < 41"), marks)
+    assert model.prior == short.prior and qu.score_texts(model, ["good words"]) == pytest.approx(qu.score_texts(short, ["good words"]))
+
+
 def test_toxicity_against_plain_loops(spark, small):
     """Scores by the model's weights, feature by feature; given categories stand in the chain in order."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
