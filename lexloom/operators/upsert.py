@@ -10,14 +10,18 @@ from pyspark.sql import Window as W
 
 from ..sources.scratch import materialise
 
+SALTS = 64
+
 
 def accept_unique(new: DataFrame, existing: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``new`` with a column ``reason``: null if accepted, else ``exists: key`` or ``repeated: key``. A null key is free."""
+    """``new`` with a column ``reason``: null if accepted, else ``exists: key`` or ``repeated: key``. A null key is free; rows
+    with one are dealt to ``SALTS`` groups, since they may be most of all."""
     out, reason = new, F.lit(None).cast("string")
     for k in keys:
-        held = existing.select(F.col(k).alias(f"__{k}")).where(F.col(f"__{k}").isNotNull()).distinct()
-        out = out.join(held, F.col(k) == F.col(f"__{k}"), "left")
-        rank = F.row_number().over(W.partitionBy(k).orderBy(order))
+        held = existing.select(F.col(k).alias(f"__{k}"), F.lit(0).alias(f"__s_{k}")).where(F.col(f"__{k}").isNotNull()).distinct()
+        out = out.withColumn("__salt", F.when(F.col(k).isNull(), F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")).otherwise(0))
+        out = out.join(held, (F.col(k) == F.col(f"__{k}")) & (F.col("__salt") == F.col(f"__s_{k}")), "left")
+        rank = F.row_number().over(W.partitionBy(k, "__salt").orderBy(order))
         out = out.withColumn(f"__r_{k}", rank)
         why = F.when(F.col(f"__{k}").isNotNull(), F.lit(f"exists: {k}")).when(F.col(k).isNotNull() & (F.col(f"__r_{k}") > 1), F.lit(f"repeated: {k}"))
         reason = F.coalesce(reason, why)

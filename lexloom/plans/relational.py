@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics as A
 from ..operators import chunk, rbac, upsert
 from ..sources import files, sinks, tables
-from ..sources.scratch import new_path, shared_dir
+from ..sources.scratch import materialise, new_path, shared_dir
 from ..streaming import jobs
 from . import views as V
 
@@ -451,6 +451,18 @@ def s8_vector_rows(s, d):
     return rows.select("id", "document_id", "chunk_index", F.length("content").cast("long").alias("n"))
 
 
+@query("select document_id || '_' || chunk_index as id, document_id, chunk_index, length(content) as n from m_items where document_id % 7 <> 3 and (document_id % 10 <> 0 or chunk_index = 0)")
+def s8_replaced_vectors(s, d):
+    """All documents stored, a tenth of them stored again with their first chunk only, and some deleted."""
+    i = materialise(V.items(s, d), "items")
+    rows = sinks.vector_rows(i.select("document_id", "chunk_index", "content"), i.select("document_id", "chunk_index", F.col("vector").alias("embedding")))
+    stored = sinks.VectorTable(s, new_path(s, "vectors"))
+    for change in (rows, rows.where("document_id % 10 = 0 and chunk_index = 0"), rows.where("document_id % 10 = 0 and chunk_index = 0")):
+        stored.upsert(change)
+    stored.delete(V.texts(s, d).select("document_id").where("document_id % 7 = 3"))
+    return stored.rows().select("id", "document_id", "chunk_index", F.length("content").cast("long").alias("n"))
+
+
 @query("""select 'parents' as name, count(*) as deleted from m_conv where user_id = 3 union all select 'messages', count(*) from m_msg where conversation_id in (select id from m_conv where user_id = 3)""")
 def s9_cascade_delete(s, d):
     c = V.conversations(s, d)

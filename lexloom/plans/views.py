@@ -77,8 +77,15 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to all cores where its files have fewer splits than there are; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("document_id"), "text")
+    t = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("document_id"), "text")
+    return spread(t, "doc_id")
 
 
 def categories(spark: SparkSession, d: str) -> DataFrame:
