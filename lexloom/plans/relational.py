@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
-from ..operators import chunk, rbac, upsert
+from ..operators import chunk, rbac, segment, upsert
 from ..sources import files, sinks, tables
 from ..sources.scratch import materialise, new_path, shared_dir
 from ..streaming import jobs
@@ -110,6 +110,16 @@ def a12_text_keywords(s, d):
     return A.text_keywords(_words(s, d), "id").select("id", "word", "n", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def a12_dictionary_keywords(s, d):
+    """Keywords of messages cut by a word table: the endings and beginnings, of two to four letters, of the documents' words."""
+    w = F.explode(A.tokens(F.lower("text"), "[a-z]+"))
+    parts = V.texts(s, d).select(w.alias("w")).where("length(w) > 4").select(F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.lit(4)), lambda n: F.array(F.substring(F.col("w"), F.lit(1), n), F.substring(F.col("w"), -n, n))))).alias("word"))
+    table = parts.groupBy("word").agg(F.count("*").alias("frequency"))
+    texts = V.messages(s, d).select("id", segment.segmenter(table, "[a-z]+")(F.lower("content")).alias("w"))
+    return A.text_keywords(A.topic_words(texts, "id", F.col("w"), _stop(s)), "id").select("id", "word", "n", F.col("rank").cast("long").alias("rank"))
+
+
 @query("""select c.id, c.title, coalesce(nullif(u.full_name, ''), u.username) as user_name, coalesce(message_count, 0) as message_count,
 case when message_count >= 2 then (last_s - first_s) // 60 else 0 end::bigint as minutes, strftime(make_timestamp(updated_s * 1000000), '%Y-%m-%d %H:%M') as updated
 from (select * from m_conv where not is_archived order by updated_s desc, id limit 10) c left join m_users u on u.id = c.user_id left join m_tot t on t.conversation_id = c.id""")

@@ -112,3 +112,46 @@ def test_search(spark):
     assert {r["id"] for r in A.search_documents(d, status="completed", category="laws").collect()} == {1, 2}
     c = frame(spark, "id long, title string, description string", (1, None, "Abc"), (2, "abc", None), (3, None, None))
     assert {r["id"] for r in A.search_conversations(c, "aBC").collect()} == {1, 2}
+
+
+def every_segmentation(run):
+    if not run:
+        yield []
+    for n in range(1, len(run) + 1):
+        for rest in every_segmentation(run[n:]):
+            yield [run[:n], *rest]
+
+
+def test_segmentation_against_all_paths(spark):
+    """The best of all segmentations of short texts; ties to the longer last word."""
+    import math
+    import random
+
+    from lexloom.operators import segment as S
+
+    r = random.Random(2)
+    table = {"".join(r.choice("甲乙丙") for _ in range(r.randint(1, 4))): r.choice([1, 1, 2, 5, 9]) for _ in range(14)}
+    rows = [*table.items(), ("甲", 0), (None, 3), ("", 4), ("丁戊", None)]
+    total = sum(table.values())
+    runs = ["".join(r.choice("甲乙丙丁") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    words = spark.createDataFrame(rows, "word string, frequency int")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*runs, None, "", "abc", "甲乙x乙丙 丁"])], "id long, text string")
+    got = {x["id"]: x["w"] for x in docs.select("id", S.segmenter(words)(F.col("text")).alias("w")).collect()}
+    worth = lambda w: math.log(table[w] / total) if w in table else -math.log(total) if len(w) == 1 else -math.inf
+    for i, run in enumerate(runs):
+        best = max(every_segmentation(run), key=lambda p: (round(sum(map(worth, p)), 8), [len(w) for w in p[::-1]]))
+        assert got[i] == best, run
+    assert got[len(runs)] == got[len(runs) + 1] == got[len(runs) + 2] == [] and "".join(got[len(runs) + 3]) == "甲乙乙丙丁"
+    none = docs.select("id", S.segmenter(words.limit(0))(F.col("text")).alias("w")).where("id = 0").first()["w"]
+    assert none == list(runs[0])
+
+
+def test_topics_with_a_dictionary(spark):
+    from lexloom.operators import segment as S
+
+    words = spark.createDataFrame([("劳动合同", 50), ("合同", 30), ("违约金", 20), ("劳动", 30)], "word string, frequency int")
+    texts = spark.createDataFrame([(1, "劳动合同违约金"), (2, "合同的违约金, 劳动合同"), (3, None)], "id long, content string")
+    tokens = texts.select("id", S.segmenter(words)(F.col("content")).alias("w"))
+    stop = spark.createDataFrame([("的",)], "word string")
+    found = A.hot_topics(A.topic_words(tokens, "id", F.col("w"), stop)).collect()
+    assert [(r["word"], r["n"]) for r in found] == [("劳动合同", 2), ("违约金", 2), ("合同", 1)]
