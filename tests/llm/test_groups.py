@@ -1,5 +1,6 @@
 """Near-duplicates of texts and vectors, connected components, Ogg, and the pipeline."""
 
+import hashlib
 import itertools
 import random
 import struct
@@ -221,6 +222,56 @@ def test_vectors_query(spark, small):
     assert found == sorted(str((i, int(linked[n].sum()), smallest[groups[n]], smallest[groups[n]] == i)) for n, i in enumerate(ids))
 
 
+def test_vectors_query_over_its_table(spark):
+    """The registered query, over a whole table that has links or none."""
+    from lexloom.llm import queries as q
+
+    d = "/root/testdata/sf0.1"
+    frame = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
+    m = np.array([[float(x) for x in v] for v in frame["embedding"]])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    label = frame["label"].to_numpy()
+    linked = (m @ m.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    ids = [int(i) for i in frame["vec_id"]]
+    groups = classes(range(len(ids)), list(zip(*np.nonzero(linked))))
+    smallest: dict = {}
+    for n, g in groups.items():
+        smallest[g] = min(ids[n], smallest.get(g, ids[n]))
+    want = {(i, int(linked[n].sum()), smallest[groups[n]], smallest[groups[n]] == i) for n, i in enumerate(ids)}
+    assert {tuple(r)[:4] for r in q.op7_nn_descent(spark, d).select("vec_id", "n_links", "component_id", "kept").collect()} == want
+
+
+def test_ogg_query(spark, small):
+    """Every document: hashes and features from the payload alone, and from the stored bytes by a plain walk over pages."""
+    from lexloom.llm import queries as q
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = q.op8_ogg(spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
+        media = ogg.media_of(texts[r["doc_id"]])
+        wave = [x - 128 for x in payload]
+        pages, at, packets, serials, last = 0, 0, 0, set(), 0
+        while at < len(media):
+            assert media[at : at + 4] == b"OggS"
+            granule, serial = struct.unpack("<qI", media[at + 6 : at + 18])
+            lacing = media[at + 27 : at + 27 + media[at + 26]]
+            body = at + 27 + len(lacing) + sum(lacing)
+            assert struct.unpack("<I", media[at + 22 : at + 26])[0] == bitwise(media[at : at + 22] + bytes(4) + media[at + 26 : body])
+            pages, packets, last = pages + 1, packets + sum(x < 255 for x in lacing), max(last, granule)
+            serials.add(serial)
+            at = body
+        feature = (
+            f"streams={len(serials)};pages={pages};packets={packets};broken=0;samples={len(payload)};ms={last * 1000 // 8000};peak={max(map(abs, wave))};"
+            f"sum={sum(wave)};energy={sum(x * x for x in wave)};crossings={sum((a < 0) != (b < 0) for a, b in zip(wave, wave[1:]))}"
+        )
+        want = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+        assert tuple(r)[1:] == want
+
+
 def bitwise(data):
     c = 0
     for x in data:

@@ -1,6 +1,7 @@
 """Learned operators: language, quality, toxicity."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -101,6 +102,28 @@ def test_language_odd_rows(spark):
     assert empty(spark).select(li.identify(F.col("text"), None, spark)).count() == 0
 
 
+def test_language_query(spark, small):
+    """Every document of the table: phrases counted symbol by symbol, costs and scores from them."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = li.samples(docs)
+    texts = {k: "".join(c if c.isalpha() else " " for c in t.lower()) for k, (t, _) in found.items()}
+    bits = {k: np.log2(len(t)) for k, t in texts.items()}
+    assert len(texts) == 4
+    got = {r["doc_id"]: r for r in q.op3_language_id(spark, small).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        text = r["text"] or ""
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if not any(c.isalpha() for c in text):
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        if len(text) > 6000:  # slow by loops
+            continue
+        cost = sorted((naive_phrases(texts[k], symbols_of(texts[k], text)) * bits[k], k) for k in texts)
+        if cost[1][0] - cost[0][0] > 1e-9:
+            assert got[r["doc_id"]]["lang_pred"] == cost[0][1], r["doc_id"]
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 - 0.5 * 2 ** (-(cost[1][0] - cost[0][0]) / 8), abs=1e-6)
+
+
 def test_language_accuracy(spark):
     found = q.op3_language_id(spark, LARGER).join(spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     held = found[found.held_out]
