@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from lexloom.operators import retrieval as R
-from lexloom.plans import registry, textual
+from lexloom.plans import registry, relational, textual
 from lexloom.plans import views as V
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -119,6 +119,48 @@ def test_recall_of_the_index(spark, small, duck):
     assert registry.queries()["v7_codes_recall"](spark, small).first()["recall"] >= 0.9
 
 
+def test_cost_of_the_word_index(spark, small, duck):
+    """What the index's search would open without a goal is every posting of the queries' terms."""
+    told = registry.queries()["v10_index_cost"](spark, small).first()
+    words = "regexp_extract_all(lower({}), '[a-zà-ÿ0-9]+')"
+    want = duck.sql(V.sql(f"with a as (select distinct query_id, unnest({words.format('query_text')}) as term from m_q), t as (select distinct doc_id, unnest({words.format('text')}) as term from documents) select count(*) as n from a join t using (term)")).df()["n"][0]
+    assert told["all_postings"] == want and 0 < told["postings"] <= want and 0 < told["blocks"] <= told["all_blocks"]
+
+
+def test_keywords_by_a_dictionary(spark, small):
+    """Every message, cut by a search over all ends of each run."""
+    import functools
+    import math
+    import re
+    from collections import Counter
+
+    frequency: Counter = Counter()
+    for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect():
+        for w in re.findall("[a-z]+", (r["text"] or "").lower()):
+            if len(w) > 4:
+                frequency.update(x for n in (2, 3, 4) for x in (w[:n], w[-n:]))
+    total = sum(frequency.values())
+    worth = lambda w: math.log(frequency.get(w, 1) / total) if w in frequency or len(w) == 1 else None
+
+    @functools.cache
+    def cut(run):
+        best = [(0.0, ())]
+        for j in range(1, len(run) + 1):
+            ways = [(best[j - n][0] + worth(run[j - n : j]), n) for n in range(1, min(4, j) + 1) if worth(run[j - n : j]) is not None]
+            top = max(s for s, _ in ways)
+            n = max(n for s, n in ways if s >= top - 1e-9)
+            best.append((max(s for s, m in ways if m == n), best[j - n][1] + (run[j - n : j],)))
+        return best[-1][1]
+
+    stop = {r[0] for r in relational._stop(spark).collect()}
+    want = set()
+    for r in V.messages(spark, small).collect():
+        n = Counter(w for run in re.findall("[a-z]+", (r["content"] or "").lower()) for w in cut(run) if 2 <= len(w) <= 4 and w not in stop)
+        want |= {(r["id"], w, c, k + 1) for k, (w, c) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:5])}
+    got = registry.queries()["a12_dictionary_keywords"](spark, small).collect()
+    assert {(r["id"], r["word"], r["n"], r["rank"]) for r in got} == want
+
+
 def test_files_of_the_folder(spark, small):
     from pathlib import Path
 
