@@ -728,12 +728,12 @@ def r16_near_duplicate_chunks(s, d):
     return D.near_duplicates(V.items(s, d).select("id", "content"))
 
 
-@query(f"with recursive {_edges(_PLAIN, 0.85)}{_GREEDY}")
+@query()
 def r16_greedy_chunks(s, d):
     return D.greedy(V.items(s, d).select("id", "content"))
 
 
-@query(f"with recursive {_edges(_FIVES, 0.8)}{_GREEDY}")
+@query()
 def r16_greedy_shingles(s, d):
     """By runs of five words."""
     return D.greedy(V.items(s, d).select("id", "content"), threshold=0.8, shingle=5)
