@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import materialise
+
 # Formats, types and encodings.
 FORMATS = {".pdf": "pdf", ".docx": "word", ".doc": "word", ".txt": "text", ".md": "text", ".markdown": "text", ".rst": "text", ".log": "text"}
 MIME_KINDS = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "word", "application/msword": "word", "text/plain": "text", "text/markdown": "text"}
@@ -26,8 +33,91 @@ def extension(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, size, modified, extension), recursively, without reading contents. Spark plans no split for an empty file;
-    such files are added from the listing, whose names Spark holds on the driver in any case."""
+    """(path, size, modified, extension) of the files under ``folder`` that match ``pattern``, recursively, without
+    reading contents; empty files too, hidden ones (``_name``, ``.name``) not.
+
+    Folders are listed by tasks, one level of the tree after another, so neither names nor folders gather on the
+    driver; one task holds the names of one folder, without those below it. Tasks reach local files
+    and the stores that Arrow knows; any other store, and a ``folder`` with a pattern in it, is listed through Spark.
+    A folder that isn't there is an error."""
+    store = None if re.search(r"[*?\[{]", folder) else _store(folder)
+    found = _indexed(spark, folder, pattern) if store is None else _walked(spark, *store).where(F.regexp_extract("path", "([^/]*)$", 1).rlike(_glob(pattern)))
+    return found.withColumn("extension", extension(F.col("path")))
+
+
+def _open(scheme: str) -> fs.FileSystem:
+    return fs.LocalFileSystem() if scheme == "file:" else fs.FileSystem.from_uri(scheme)[0]
+
+
+def _store(folder: str) -> tuple[str, str] | None:
+    """(prefix, path): what Spark writes before a path of this store, and the path as Arrow takes it; None if Arrow
+    doesn't know the store."""
+    local = re.fullmatch("(?:file:)?/*(/.*)", folder)
+    if local:
+        return "file:", local[1].rstrip("/") or "/"
+    try:
+        _, path = fs.FileSystem.from_uri(folder.rstrip("/"))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+    return (folder.rstrip("/").removesuffix(path), path) if folder.rstrip("/").endswith(path) else None
+
+
+def _walked(spark: SparkSession, prefix: str, root: str) -> DataFrame:
+    """(path, size, modified) of the files below ``root``."""
+    top = _open(prefix if prefix == "file:" else prefix + root).get_file_info(root)
+    if top.type == fs.FileType.NotFound:
+        raise FileNotFoundError(prefix + root)
+    shape = "path string, size long, ms long, is_folder boolean"
+
+    def entries(batches):
+        names = ["path", "size", "ms", "is_folder"]
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                store, rows = _open(prefix if prefix == "file:" else prefix + folder), []
+                for info in store.get_file_info(fs.FileSelector(folder)):
+                    if info.type in (fs.FileType.File, fs.FileType.Directory) and not _hidden(info.base_name):
+                        rows.append((info.path, info.size, info.mtime_ns and info.mtime_ns // 1_000_000, info.type == fs.FileType.Directory))
+                for i in range(0, len(rows), 10_000):
+                    columns = list(zip(*rows[i : i + 10_000]))
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.bool_()))], names=names)
+
+    first = [(root, top.size, top.mtime_ns and top.mtime_ns // 1_000_000, top.type == fs.FileType.Directory)]
+    level = spark.createDataFrame(first, shape)
+    levels = []
+    while True:
+        levels.append(level.where("not is_folder"))
+        folders = level.where("is_folder").select("path")
+        if folders.isEmpty():
+            break
+        # dealt out anew at each level, since one folder may hold most of the next
+        level = materialise((folders if len(levels) == 1 else folders.repartition("path")).mapInArrow(entries, shape), "listing")
+    every = reduce(DataFrame.unionAll, levels)
+    return every.select(F.concat(F.lit(prefix), "path").alias("path"), "size", F.timestamp_millis("ms").alias("modified"))
+
+
+def _hidden(name: str) -> bool:
+    """As Spark skips them: partition folders such as ``_k=1`` are none."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _glob(pattern: str) -> str:
+    """A file name pattern (``*``, ``?``, ``[abc]``, ``[!abc]``, ``{one,other}``) as a regular expression."""
+    special = {"*": ".*", "?": ".", "{": "(?:", "}": ")", ",": "|"}
+    parts = re.findall(r"\[[!^]?[^\]]+\]|\{[^{}]*\}|.", pattern, re.S)
+
+    def one(p):
+        if p.startswith("[") and len(p) > 1:
+            return "[" + re.sub("^[!^]", "^", p[1:-1]).replace("\\", "\\\\") + "]"
+        if p.startswith("{") and len(p) > 1:
+            return "".join(special.get(c) or re.escape(c) for c in p)
+        return special[p] if p in "*?" else re.escape(p)
+
+    return "(?s)^" + "".join(one(p) for p in parts) + "$"
+
+
+def _indexed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path, size, modified) through Spark's file index, which holds the names on the driver. Spark plans no split for an
+    empty file; such files are added from the index."""
     files = read_files(spark, folder, pattern)
     found = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     plain = lambda c: F.regexp_replace(F.try_url_decode(c), "^([a-z]+):/+", "$1:/")
@@ -39,7 +129,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
         status = path.getFileSystem(conf).getFileStatus(path)
         rows.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
     more = spark.createDataFrame(rows, "path string, size long, ms long").select("path", "size", F.timestamp_millis("ms").alias("modified"))
-    return found.unionByName(more).withColumn("extension", extension(F.col("path")))
+    return found.unionByName(more)
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -160,6 +160,8 @@ def test_files(spark, tmp_path):
     listed = files.list_files(spark, str(tmp_path / "f")).collect()
     assert sorted((r["extension"], r["size"] > 0) for r in listed) == [(".bin", True), (".md", True), (".txt", False), (".txt", True), (".txt", True)]
     assert all(r["modified"] is not None for r in listed)
+    indexed = files._indexed(spark, str(tmp_path / "f"), "*").collect()
+    assert {(r["path"], r["size"], r["modified"]) for r in listed} == {tuple(r) for r in indexed}
     read = files.read_files(spark, str(tmp_path / "f")).select("path", files.decode(F.col("content")).alias("d")).collect()
     got = {r["path"].rsplit("/", 1)[1]: tuple(r["d"]) for r in read}
     assert got == {"a.TXT": ("gbk", "文本"), "b.md": ("utf-8", "文本"), "c.bin": ("latin1", "ÿþ\x81"), "d.txt": ("utf-8", "plain")}
@@ -169,6 +171,26 @@ def test_files(spark, tmp_path):
         files.content_hash(F.col("x"), "crc")
 
 
+def test_listing(spark, tmp_path):
+    root = tmp_path / "deep"
+    for name in ("a b.txt", "x+%20.md", "p=1/q=2/c.csv", "p=1/_SUCCESS", "_k=1/d.csv", ".hid/e.csv", "_tmp/f.csv", "名/g.txt", "empty.json"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if name == "empty.json" else b"x" * len(name))
+    (root / "none" / "within").mkdir(parents=True)
+    at = lambda r: r["path"].removeprefix(f"file:{root}/")
+    seen = {at(r): r["size"] for r in files.list_files(spark, f"file://{root}/").collect()}
+    assert seen == {n: len(n) if n != "empty.json" else 0 for n in ("a b.txt", "x+%20.md", "p=1/q=2/c.csv", "_k=1/d.csv", "名/g.txt", "empty.json")}
+    for pattern, want in {"*.{csv,txt}": 4, "[a-c]*": 2, "[!a-c]*": 4, "?.txt": 1, "none*": 0, "a?b.txt": 1, "x+*": 1}.items():
+        got = {at(r) for r in files.list_files(spark, str(root), pattern).collect()}
+        assert len(got) == want and got == {at(r) for r in files._indexed(spark, str(root), pattern).collect()}
+    assert [(at(r), r["extension"]) for r in files.list_files(spark, str(root / "a b.txt")).collect()] == [("a b.txt", ".txt")]
+    assert files.list_files(spark, str(root / "none")).count() == 0
+    assert {at(r) for r in files.list_files(spark, f"{root}/p=*").collect()} == {"p=1/q=2/c.csv"}
+    with pytest.raises(FileNotFoundError):
+        files.list_files(spark, str(root / "absent"))
+    assert files._store("nowhere://host/folder") is None
+
+
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "completed"), (2, "failed")], "document_id long, status string")
     chunks = spark.createDataFrame([(1, 1, "1_1", "b\r\nc", 1, "t"), (1, 0, "1_0", "a", 1, "t"), (2, 0, "2_0", "z", 1, "t")], "document_id long, chunk_index int, chunk_id string, content string, page_number int, section_title string")
