@@ -772,3 +772,21 @@ def x2_chunk_table_function(s, d):
     X.register_table_functions(s)
     texts = V.texts(s, d)
     return s.sql("select document_id, chunk_index, content from {t}, lateral recursive_chunks(text, 1000, 200)", t=texts)
+
+
+@query(_recursive_sql() + " select document_id, chunk_index, content from w")
+def x2_chunk_whole_table(s, d):
+    X.register_table_functions(s)
+    return s.sql("select * from recursive_chunk_table(table(select document_id, text from {t}), 1000, 200)", t=V.texts(s, d))
+
+
+@query("""select id, processor, md5(case when processor in ('application/x-brief', '.xyz') then 'Brief: ' || text else text end) as hash from
+(select id, text, case when id % 7 = 0 then 'application/x-brief' when id % 5 = 4 then '.xyz' when id % 5 = 0 then '.txt' when id % 5 = 1 then '.md' end as processor from m_docs) where processor is not null""")
+def x1_process_files(s, d):
+    X.register_processor(".XYZ", lambda content: F.concat(F.lit("Brief: "), content.cast("string")), "application/x-brief")
+    try:
+        docs = V.documents(s, d).withColumn("content", F.col("text").cast("binary")).drop("text")
+        docs = docs.withColumn("mime", F.when(F.col("id") % 7 == 0, "Application/X-Brief").when(F.col("id") % 3 == 0, "application/unknown"))
+        return X.process(docs).where("processor is not null").select("id", "processor", F.md5("text").alias("hash"))
+    finally:
+        X.unregister_processor(".xyz", "application/x-brief")

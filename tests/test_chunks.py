@@ -141,3 +141,43 @@ def test_extension(spark):
     docs(spark, "甲。乙。", None).createOrReplaceTempView("d")
     rows = spark.sql("select document_id, c.* from d, lateral semantic_chunks(text, 3) c").collect()
     assert [tuple(r) for r in rows] == [(0, 0, "甲。"), (0, 1, "乙。")]
+
+
+def test_table_functions(spark):
+    texts = ["", None, "一二三。" * 40 + "\n\n" + "x" * 30, "a b " * 300]
+    for ids, kind in ((["p", None, "q", "q"], "string"), ([1, 2, 3, 4], "long")):
+        df = spark.createDataFrame(list(zip(ids, texts)), f"document_id {kind}, text string")
+        X.register_table_functions(spark, kind)
+        df.repartition(3).createOrReplaceTempView("d")
+        got = spark.sql("select * from recursive_chunk_table(table(d), 60, 10)")
+        assert got.schema.simpleString() == f"struct<document_id:{'bigint' if kind == 'long' else kind},chunk_index:int,content:string>"
+        want = spark.sql("select document_id, c.* from d, lateral recursive_chunks(text, 60, 10) c")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 10
+        assert "Exchange" not in spark.sql("select * from recursive_chunk_table(table(select document_id, text from d where text <> ''), 60, 10)")._jdf.queryExecution().optimizedPlan().toString()
+        got = spark.sql("select * from semantic_chunk_table(table(d), 50)")
+        want = spark.sql("select document_id, c.* from d, lateral semantic_chunks(text, 50) c")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 3
+    spark.createDataFrame([], "document_id long, text string").createOrReplaceTempView("d")
+    assert spark.sql("select * from recursive_chunk_table(table(d), 60, 10)").count() == 0
+
+
+def test_processors(spark):
+    rows = [("a.TXT", b"t", None), ("b.md", "文".encode("gbk"), "application/unknown"), ("c.xyz", b"x", None), ("d.xyz", b"x", "TEXT/plain"), ("e", b"n", None), ("f.txt", None, None), (None, b"n", None), ("g.bin", b"y", "x/y")]
+    df = spark.createDataFrame(rows, "filename string, content binary, mime string")
+    X.register_processor(".XYZ", lambda c: F.concat(F.lit("!"), c.cast("string")), "X/Y")
+    assert ".xyz" in X.supported_formats()["extensions"] and "x/y" in X.supported_formats()["mime_types"]
+    got = [(r["filename"], r["processor"], r["text"]) for r in X.process(df).collect()]
+    assert got == [
+        ("a.TXT", ".txt", "t"), ("b.md", ".md", "文"), ("c.xyz", ".xyz", "!x"), ("d.xyz", "text/plain", "x"), ("e", None, None), ("f.txt", ".txt", None), (None, None, None), ("g.bin", "x/y", "!y"),
+    ]
+    assert {r["processor"] for r in X.process(df.drop("mime")).collect()} == {".txt", ".md", ".xyz", None}
+    X.unregister_processor(".xyz", "x/y")
+    assert X.process(df).where("processor in ('.xyz', 'x/y')").count() == 0
+    X.register_processor(".bad", lambda c: "text")
+    try:
+        with pytest.raises(TypeError):
+            X.process(df)
+    finally:
+        X.unregister_processor(".bad")
+    with pytest.raises(ValueError):
+        X.register_processor("xyz", F.upper)
