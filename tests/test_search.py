@@ -362,3 +362,27 @@ def test_greedy_passages(spark, shingle, ids):
     # some that reach a kept one only through others stay
     heads = {x["id"] for x in D.near_duplicates(df, threshold=0.8, shingle=shingle, bands=48).collect() if x["kept"]} - {None}
     assert heads < stay if shingle == 1 else heads <= stay
+
+
+@pytest.mark.parametrize("held", [1024, 5])
+def test_greedy_versions(spark, monkeypatch, held):
+    """A text of many versions, each like the next: far more passages stay than there may be rounds. Components go to
+    a task whole, or only once they are small."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    text, texts = r.sample(words, 30), []
+    for _ in range(160 if held > 100 else 12):
+        for _ in range(2):
+            text[r.randrange(30)] = r.choice(words)
+        texts.append(" ".join(text))
+    texts += [texts[3], "", None, " ".join(r.sample(words, 30))]
+    kept: list[tuple[int, set]] = []
+    for i, t in enumerate(texts):
+        own = set((t or "").split())
+        if not any(own == k or (own | k and len(own & k) >= 0.85 * len(own | k) - 1e-9) for _, k in kept):
+            kept.append((i, own))
+    monkeypatch.setattr(D, "TASK_PASSAGES", held)
+    rounds = 2 if held > 100 else 200
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    assert {x["id"] for x in D.greedy(df, bands=48, max_rounds=rounds).where("kept").collect()} == {i for i, _ in kept}
+    assert len(kept) > (20 if held > 100 else 4)
