@@ -177,3 +177,22 @@ def test_plans(spark, small):
     assert "CartesianProduct" not in plan("a20_has_all_permissions")
     assert "Python" not in plan("a10_hot_topics") and "Python" not in plan("c4_legal_clauses")
     assert V.messages(spark, small).select("id")._jdf.queryExecution().toString().count("ReadSchema: struct<conv_id:bigint,turn:bigint>") >= 1
+
+
+@pytest.mark.parametrize("name, shingle, threshold", [("r16_greedy_chunks", 1, 0.85), ("r16_greedy_shingles", 5, 0.8)])
+def test_greedy_queries(spark, small, name, shingle, threshold):
+    """The registered queries against the sequential loop over the whole table."""
+    import re
+
+    def runs(text):
+        w = [x for x in re.split(r"[\s\x1c-\x1f]+", text or "") if x]
+        return frozenset(tuple(w[i : i + shingle]) for i in range(max(len(w) - shingle + 1, min(len(w), 1))))
+
+    kept: dict = {}
+    for i, text in sorted((r["id"], r["content"]) for r in V.items(spark, small).collect()):
+        own = runs(text)
+        if not any(own == k or (own | k and len(own & k) >= threshold * len(own | k) - 1e-6) for k in kept.values()):
+            kept[i] = own
+    got = registry.queries()[name](spark, small).collect()
+    assert len(got) == V.items(spark, small).count() and {r["id"] for r in got if r["kept"]} == set(kept)
+    assert 0 < len(kept) < len(got)
