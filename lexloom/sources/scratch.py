@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,15 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/lexloom/" in folder:
             remove(df.sparkSession, folder)
+
+
+def sweep(spark: SparkSession, hours: float = 24.0) -> int:
+    """Delete the intermediate tables of this library, whichever session wrote them, that were last changed more than
+    ``hours`` ago, and tell how many. Results that are still read from such a table must be stored elsewhere first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lexloom")
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return 0
+    oldest = time.time() * 1000 - hours * 3_600_000
+    old = [s.getPath() for s in store.listStatus(root) if s.getModificationTime() < oldest]
+    return sum(store.delete(path, True) for path in old)

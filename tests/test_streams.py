@@ -1,5 +1,6 @@
 """Streaming jobs against their batch twins; files and sinks."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -263,3 +264,19 @@ def test_cache_hits_against_a_loop(spark):
     got = jobs.cache_hits(spark.createDataFrame(rows, "query_id long, key string, ts timestamp"), "key", 60)
     assert {r["query_id"]: r["hit"] for r in got.collect()} == {i: want.get(i, False) for i, _, _ in rows}
     assert jobs.cache_hits(spark.createDataFrame([], "query_id long, key string, ts timestamp"), "key").count() == 0
+
+
+def test_sweep(spark, tmp_path, monkeypatch):
+    from lexloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(tmp_path))
+    assert scratch.sweep(spark) == 0
+    scratch.materialise(spark.range(3), "old")
+    new = scratch.materialise(spark.range(4), "new")
+    at = next(p for p in (tmp_path / "lexloom").iterdir() if p.name.startswith("old-"))
+    (tmp_path / "other").mkdir()
+    for path in (at, tmp_path / "other"):
+        os.utime(path, (0, 0))
+    assert scratch.sweep(spark, 1.0) == 1 and not at.exists() and (tmp_path / "other").exists()
+    assert new.count() == 4
+    assert scratch.sweep(spark, -1.0) == 1
