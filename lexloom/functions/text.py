@@ -133,7 +133,8 @@ def safe_filename(c: Column, longest: int = 255) -> Column:
 def file_size_label(c: Column) -> Column:
     label, unit = F.lit(None), 1
     for i, name in enumerate(("B", "KB", "MB", "GB", "TB")):
-        value = F.format_string("%.2f " + name, c / F.lit(float(1024**i)))
+        # halves go to the even digit, as C and Python print them; Java's format would round them up
+        value = F.format_string("%.2f " + name, F.bround(c / F.lit(float(1024**i)), 2))
         top = 1024 ** (i + 1)
         label = F.when((c >= unit if i else F.lit(True)) & ((c < top) if i < 4 else F.lit(True)), value).otherwise(label)
         unit = top

@@ -56,6 +56,14 @@ def test_names_and_labels(spark):
     assert one(spark, T.duration_label, 59.9, 60.0, 1440.0, kind="double") == ["59分钟", "1小时", "1天"]
 
 
+def test_size_labels_round_half_to_even(spark):
+    """As ``f"{x:.2f}"`` does; Java's formatter rounds halves up."""
+    sizes = [1152, 1408, 1664, 1920, 1536, 60113, 1024 * 1152, 1024**3 * 9 // 8, 1024**5 * 3 // 1024 // 8 * 3, 127, 1]
+    units = ("B", "KB", "MB", "GB", "TB")
+    want = [f"{n / 1024**i:.2f} {units[i]}" for n in sizes for i in [min(4, (n.bit_length() - 1) // 10)]]
+    assert one(spark, T.file_size_label, *sizes, kind="long") == want and want[0] == "1.12 KB"
+
+
 def test_citations(spark):
     text = "依《劳动法》第四十条和《民法典》第5条。"
     got = one(spark, E.citations, text, None, "无")
