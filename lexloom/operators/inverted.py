@@ -4,12 +4,12 @@ Postings are written once for each batch of documents, by term and shard of docu
 that can score most first. A block tells its largest frequency and its shortest document, which bound what any of its
 postings can score whatever the collection has grown to. A search
 
-1. scores each query's rarest terms alone; its ``k``-th best so far is the goal that a document has to reach;
-2. sorts the query's terms by the most that they can add: those that don't reach the goal together are left for later;
-3. opens the blocks of the other terms, but for those whose bound, with the most of all other terms, is below the goal;
-4. looks the documents found, as far as they can reach the goal, up in the terms that were left, in blocks of
-   their shards only.
+1. scores all queries in one shard of documents; a query's ``k``-th best there is the goal that a document has to reach;
+2. opens the blocks of the queries' terms shard by shard, each once for all queries. A query passes over a shard in which its terms
+   can't reach its goal together, or the ``k``-th best that the task has found for it so far;
+3. hands on each task's best ``k`` of each query, so that no pair of a query and a document is stored.
 
+A task holds the postings of one shard's documents in the queries' terms; ``shards`` is chosen with the size of the collection.
 The result is that of ``vectors.bm25`` over all documents of all batches. A null text has no term; a document without
 terms has length 0 and counts. Ties go to the smaller id. Document ids are of any type that can be sorted and stand in
 one batch only; a batch that is written again replaces itself.
@@ -17,29 +17,25 @@ one batch only; a batch that is written again replaces itself.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from ..sources.scratch import materialise
-from .vectors import BROADCAST_TERMS, ranked
+from . import vectors as V
 
 #: Postings of a block, folders that terms are dealt to, and shards of documents.
 BLOCK, BUCKETS, SHARDS = 512, 64, 256
-#: Postings that a query opens at most to set its goal, but for those of its rarest term.
-PROBE = 20_000
 K1, B = 1.2, 0.75
 #: Scores are rounded to six digits; a block that may come that near is opened.
 SLACK = 2e-6
 
 
-def terms_of(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
-
-
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -53,13 +49,14 @@ class Index:
 
     def add(self, documents: DataFrame, batch: str) -> None:
         """Index ``documents`` (document_id, text) as ``batch``. The count of its documents is written last."""
-        docs = documents.select("document_id", terms_of(F.col("text"), self.pattern).alias("terms"))
-        docs = materialise(docs.select("document_id", F.size("terms").alias("length"), "terms"), "terms")
-        rows = docs.select("document_id", "length", F.explode("terms").alias("term")).groupBy("document_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+        kind = documents.schema["document_id"].dataType.simpleString()
+        # a document's words are counted where they are read; the empty term stands once in each and brings its length
+        docs = documents.select("document_id", V.terms_of(F.col("text"), self.pattern).alias("terms"))
+        counted = materialise(docs.mapInArrow(_counted, f"document_id {kind}, length int, term string, tf int"), "terms")
+        rows, docs = counted.where("term <> ''"), counted.where("term = ''")
         # ranges and not hashes of terms: one that stands in every document is dealt to many tasks
         order = (F.col("bucket"), F.col("term"), F.col("shard"), F.desc("tf"), F.col("length"), F.col("document_id"))
         ordered = rows.withColumn("bucket", _bucket(F.col("term"))).withColumn("shard", F.pmod(F.xxhash64("document_id"), F.lit(self.shards)).cast("int")).repartitionByRange(*order).sortWithinPartitions(*order)
-        kind = documents.schema["document_id"].dataType.simpleString()
         schema = f"bucket int, term string, shard int, documents array<{kind}>, tfs array<int>, lengths array<int>, n int, max_tf int, min_length int"
         blocks = ordered.select("bucket", "term", "shard", "document_id", "tf", "length").mapInArrow(_blocks, schema)
         blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
@@ -89,14 +86,22 @@ def _blocks(batches):
         yield from _cut(held, True)
 
 
+def _counted(batches):
+    for batch in batches:
+        lists = batch["terms"]
+        length = lists.value_lengths().to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        n = max(len(coded.dictionary), 1)
+        pairs, tf = np.unique(np.repeat(np.arange(len(length)), length) * n + coded.indices.to_numpy(), return_counts=True)
+        for at, term, count in ((pairs // n, coded.dictionary.take(pa.array(pairs % n)), tf), (np.arange(len(length)), pa.array([""] * len(length), pa.string()), np.zeros(len(length)))):
+            yield pa.record_batch([batch["document_id"].take(pa.array(at)), pa.array(length[at], pa.int32()), term, pa.array(count.astype(np.int32))], names=["document_id", "length", "term", "tf"])
+
+
 def _edges(table: pa.Table) -> list[int]:
-    terms, shards = table["term"].to_pylist(), table["shard"].to_pylist()
-    starts, edges = 0, [0]
-    for i in range(1, len(terms)):
-        if shards[i] != shards[i - 1] or terms[i] != terms[i - 1] or i - starts == BLOCK:
-            edges.append(i)
-            starts = i
-    return edges
+    terms, shards = table["term"].combine_chunks().dictionary_encode().indices.to_numpy(), table["shard"].to_numpy()
+    at = np.arange(len(shards))
+    begins = np.concatenate([[True], (shards[1:] != shards[:-1]) | (terms[1:] != terms[:-1])])
+    return np.flatnonzero((at - np.maximum.accumulate(np.where(begins, at, 0))) % BLOCK == 0).tolist()
 
 
 def _open_from(table: pa.Table) -> int:
@@ -114,92 +119,130 @@ def _cut(table: pa.Table, last: bool):
     lists = [pa.ListArray.from_arrays(offsets, column(c)) for c in ("document_id", "tf", "length")]
     firsts = pa.array([0, *ends[:-1]])
     tfs, lengths = column("tf").to_numpy(), column("length").to_numpy()
-    spans = list(zip([0, *ends[:-1]], ends))
     yield pa.record_batch(
-        [column("bucket").take(firsts), column("term").take(firsts), column("shard").take(firsts), *lists, pa.array([b - a for a, b in spans], pa.int32()), pa.array([int(tfs[a:b].max()) for a, b in spans], pa.int32()), pa.array([int(lengths[a:b].min()) for a, b in spans], pa.int32())],
+        [column("bucket").take(firsts), column("term").take(firsts), column("shard").take(firsts), *lists, pa.array(np.diff(offsets), pa.int32()), pa.array(np.maximum.reduceat(tfs, firsts), pa.int32()), pa.array(np.minimum.reduceat(lengths, firsts), pa.int32())],
         names=["bucket", "term", "shard", "documents", "tfs", "lengths", "n", "max_tf", "min_length"],
     )
 
 
-def _gain(idf: Column, tf: Column, length: Column, average: float) -> Column:
-    share = length / F.lit(average) if average else F.lit(0.0)
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * share))
-
-
-@dataclass
-class _Plan:
-    """What a search does. terms: (query_id, term, idf, most, goal, later, rest), with ``later`` if the term is left for later, and
-    ``rest`` the most that all terms left for later add."""
-
-    blocks: DataFrame  # of the terms asked for, with idf and bound
-    terms: DataFrame
-    average: float
+def _gains(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (average or 1.0)))
 
 
 def _small(df: DataFrame) -> DataFrame:
     """Terms of queries are broadcast while they are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    return F.broadcast(df) if df.count() <= V.BROADCAST_TERMS else df
+
 
+def _asked(index: Index, queries: DataFrame) -> DataFrame:
+    return materialise(queries.select("query_id", F.explode(F.array_distinct(V.terms_of(F.col("text"), index.pattern))).alias("term")), "asked")
 
-def _postings(blocks: DataFrame, average: float, *keep: str) -> DataFrame:
-    opened = blocks.select("query_id", "idf", *keep, F.explode(F.arrays_zip("documents", "tfs", "lengths")).alias("p"))
-    return opened.select("query_id", *keep, F.col("p.documents").alias("id"), _gain(F.col("idf"), F.col("p.tfs"), F.col("p.lengths"), average).alias("gain"))
 
+def _stored(index: Index, terms: DataFrame) -> DataFrame:
+    """Blocks of ``terms`` (term)."""
+    buckets = [r[0] for r in terms.select(_bucket(F.col("term"))).distinct().collect()]  # BUCKETS at most
+    return index.postings().where(F.col("bucket").isin(buckets)).join(_small(terms), "term", "left_semi")
 
-def _plan(index: Index, queries: DataFrame, top: int) -> _Plan:
-    n, average = index.size()
-    asked = materialise(queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text"), index.pattern))).alias("term")), "asked")
-    wanted = materialise(asked.select("term").distinct(), "wanted")
-    buckets = [r[0] for r in wanted.select(_bucket(F.col("term"))).distinct().collect()]  # BUCKETS at most
-    stored = index.postings().where(F.col("bucket").isin(buckets)).join(_small(wanted), "term", "left_semi")
+
+def _scored(index: Index, asked: V.Asked, top: int, goals: DataFrame | None, count: bool) -> DataFrame:
+    """(query_id, id, score) of the best documents in the first shard, if there are no ``goals``, or in the others; or the (blocks, postings)
+    opened there by each query, all added up."""
+    spark, (n, average) = index.spark, index.size()
+    words = spark.createDataFrame(pa.table({"term": asked.words, "place": pa.array(np.arange(len(asked.words)))}))
     # bounds only: the lists aren't read here
-    bounds = materialise(stored.groupBy("term", "max_tf", "min_length").agg(F.sum("n").alias("n")), "bounds")
-    df = bounds.groupBy("term").agg(F.sum("n").alias("df"))
-    weight = df.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    bound = _gain(F.col("idf"), F.col("max_tf"), F.col("min_length"), average)
-    most = bounds.join(weight, "term").groupBy("term").agg(F.max("df").alias("df"), F.max("idf").alias("idf"), F.max(bound).alias("most"))
-    terms = materialise(asked.join(most, "term"), "weighed")
-    blocks = stored.join(_small(terms.select("term", "idf").distinct()), "term").withColumn("bound", bound)
-    # terms of a query are few, so are the rows of these windows
-    by_df = W.partitionBy("query_id").orderBy("df", "term")
-    rare = terms.withColumn("so_far", F.sum("df").over(by_df.rowsBetween(W.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(by_df))
-    rare = materialise(rare.where((F.col("nth") == 1) | (F.col("so_far") <= PROBE)).select("query_id", "term"), "rare")
-    tried = _postings(blocks.join(_small(rare), "term"), average).groupBy("query_id", "id").agg(F.sum("gain").alias("score"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    goal = tried.withColumn("place", place).where(F.col("place") <= top).where(F.col("place") == top).select("query_id", F.col("score").alias("goal"))
-    by_most = W.partitionBy("query_id").orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0)
-    aimed = terms.join(goal, "query_id", "left").withColumn("goal", F.coalesce("goal", F.lit(0.0)) - SLACK)
-    aimed = aimed.withColumn("later", F.sum("most").over(by_most) < F.col("goal"))
-    whole = W.partitionBy("query_id")
-    aimed = aimed.withColumn("rest", F.sum(F.when(F.col("later"), F.col("most")).otherwise(0.0)).over(whole)).withColumn("others", F.sum("most").over(whole) - F.col("most"))
-    return _Plan(blocks, materialise(aimed.select("query_id", "term", "goal", "later", "rest", "others"), "aimed"), average)
-
-
-def _found(plan: _Plan) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The blocks opened first; the documents in them that can reach the goal; the blocks opened for these."""
-    first = plan.blocks.join(_small(plan.terms.where("not later")), "term").where(F.col("bound") + F.col("others") >= F.col("goal"))
-    sums = _postings(first, plan.average, "shard", "goal", "rest").groupBy("query_id", "id", "shard").agg(F.sum("gain").alias("gain"), F.first("goal").alias("goal"), F.first("rest").alias("rest"))
-    docs = materialise(sums.where(F.col("gain") + F.col("rest") >= F.col("goal")).select("query_id", "id", "shard", "gain"), "candidates")
-    where = plan.terms.where("later").select("query_id", "term").join(docs.select("query_id", "shard").distinct(), "query_id")
-    later = plan.blocks.join(where, ["term", "shard"])
-    return first, docs, later
+    df = _stored(index, words.select("term")).groupBy("term").agg(F.sum("n").alias("df")).join(words, "term").select("place", "df").toArrow()  # a row for each term of ``asked``
+    idf = np.zeros(len(asked.words))
+    idf[df["place"].to_numpy()] = np.log(1 + (n - df["df"].to_numpy() + 0.5) / (df["df"].to_numpy() + 0.5))
+    floor = np.full(len(asked.names), -np.inf)
+    if goals is not None:
+        place = {q: i for i, q in enumerate(asked.names.to_pylist())}
+        aims = goals.toArrow()  # a row for each query of ``asked``
+        floor[[place[q] for q in aims["query_id"].to_pylist()]] = aims["goal"].to_numpy()
+    shared = spark.sparkContext.broadcast((asked, idf, floor))
+    blocks = _stored(index, words.select("term")).where(F.col("shard") == 0 if goals is None else F.col("shard") != 0).join(F.broadcast(words), "term")
+    kind = blocks.schema["documents"].dataType.elementType
+    id_type = to_arrow_type(kind)
+
+    def visited(place, most, n_blocks, n_postings, best):
+        """Which queries' terms can reach what is aimed at in a shard, and the blocks and postings that these open."""
+        asked, _, floor = shared.value
+        table = np.zeros((3, len(asked.words)))
+        np.maximum.at(table[0], place, most)
+        np.add.at(table[1], place, n_blocks)
+        np.add.at(table[2], place, n_postings)
+        bound, own_blocks, own_postings = np.add.reduceat(table[:, asked.terms], asked.starts[:-1], axis=1) if len(asked.terms) else np.zeros((3, 0))
+        aim = floor if best is None else np.maximum(floor, np.pad(best.floor, (0, len(floor) - len(best.floor)), constant_values=-np.inf))
+        open_ = (bound > 0) & (bound + SLACK >= aim)
+        return open_, int(own_blocks[open_].sum()), int(own_postings[open_].sum())
+
+    def score(batches):
+        asked, idf, floor = shared.value
+        best, rows, tallied = V.Best(top, id_type, 6), np.full(len(asked.words), -1), np.zeros(2, np.int64)
+        for table in _shards(batches):
+            place, n = table["place"].to_numpy(), table["n"].to_numpy()
+            most = _gains(idf[place], table["max_tf"].to_numpy(), table["min_length"].to_numpy(), average)
+            open_, b, p = visited(place, most, 1, n, None if count else best)
+            tallied += (b, p)
+            if count or not open_.any():
+                continue
+            flat = lambda c: pa.concat_arrays(table[c].chunks).flatten()
+            ids, terms = flat("documents"), np.repeat(place, n)
+            gains = _gains(idf[terms], flat("tfs").to_numpy(), flat("lengths").to_numpy(), average)
+            coded = ids.dictionary_encode()
+            docs = coded.indices.to_numpy()
+            order = np.argsort(docs, kind="stable")
+            V.add_keyword_hits(best, asked, coded.dictionary, docs[order], terms[order], gains[order], rows, open_)
+        yield pa.record_batch([pa.array([x], pa.int64()) for x in tallied], names=["blocks", "postings"]) if count else pa.record_batch(best.rows(asked.names))
+
+    held = [] if count else ["documents", "tfs", "lengths"]
+    dealt = blocks.select("shard", "place", "n", "max_tf", "min_length", *held).repartition("shard").sortWithinPartitions("shard")
+    schema = "blocks long, postings long" if count else f"query_id {from_arrow_type(asked.names.type).simpleString()}, id {kind.simpleString()}, score double"
+    return dealt.mapInArrow(score, schema)
+
+
+def _shards(batches):
+    """Sorted rows, a table for each shard."""
+    held = []
+    for batch in batches:
+        shard = batch["shard"].to_numpy()
+        cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and held[0]["shard"][0].as_py() != shard[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _goals(hits: DataFrame, top: int) -> DataFrame:
+    """(query_id, goal) of the queries that have ``top`` hits."""
+    return V.ranked(hits, top).where(F.col("rank") == top).select("query_id", F.col("score").alias("goal"))
 
 
 def search(index: Index, queries: DataFrame, top: int) -> DataFrame:
     """(query_id, document_id, score, rank) of queries (query_id, text)."""
-    plan = _plan(index, queries, top)
-    _, docs, later = _found(plan)
-    more = _postings(later, plan.average).join(docs.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    every = docs.select("query_id", "id", "gain").unionByName(more)
-    scored = every.groupBy("query_id", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
-    return ranked(scored, top).withColumnRenamed("id", "document_id")
+    found = []
+    for asked in V.asked_terms(_asked(index, queries)):
+        first = materialise(_scored(index, asked, top, None, False), "first")
+        found += [first, _scored(index, asked, top, _goals(first, top), False)]
+    kind = index.spark.read.parquet(f"{index.path}/postings").schema["documents"].dataType.elementType.simpleString()
+    none = index.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, score double")
+    return V.ranked(functools.reduce(DataFrame.unionByName, found, none), top).withColumnRenamed("id", "document_id")
 
 
 def cost(index: Index, queries: DataFrame, top: int) -> DataFrame:
-    """(blocks, all_blocks, postings, all_postings): what a search opens for its queries, and what it would without the
-    goal."""
-    plan = _plan(index, queries, top)
-    first, _, later = _found(plan)
-    told = lambda df, b, p: df.agg(F.count("*").alias(b), F.coalesce(F.sum("n"), F.lit(0)).alias(p))
-    opened = told(first.select("n").unionAll(later.select("n")), "blocks", "postings")
-    return opened.crossJoin(told(plan.blocks.join(_small(plan.terms.select("query_id", "term")), "term"), "all_blocks", "all_postings"))  # a row each
+    """(blocks, all_blocks, postings, all_postings): what a search opens for each of its queries, added up, and what it would
+    without the goal. Blocks are counted by their bounds, and their lists aren't read beyond the first shard."""
+    asked = _asked(index, queries)
+    opened = [index.spark.createDataFrame([(0, 0)], "blocks long, postings long")]
+    for part in V.asked_terms(asked):
+        first = _scored(index, part, top, None, False)
+        opened += [_scored(index, part, top, None, True), _scored(index, part, top, _goals(first, top), True)]
+    told = functools.reduce(DataFrame.unionByName, opened).agg(F.sum("blocks").alias("blocks"), F.sum("postings").alias("postings"))
+    terms = asked.groupBy("term").agg(F.count("*").alias("queries"))
+    held = _stored(index, terms.select("term")).groupBy("term").agg(F.count("*").alias("b"), F.sum("n").alias("p")).join(terms, "term")
+    total = lambda c: F.coalesce(F.sum(F.col(c) * F.col("queries")), F.lit(0))
+    return told.crossJoin(held.agg(total("b").alias("all_blocks"), total("p").alias("all_postings"))).select("blocks", "all_blocks", "postings", "all_postings")  # a row each

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import dedup as D
+from lexloom.operators import inverted as K
 from lexloom.operators import ivf as I
 from lexloom.operators import retrieval as R
 from lexloom.operators import vectors as N
@@ -436,3 +437,23 @@ def test_queries_are_routed_in_small_batches(spark, tmp_path, monkeypatch):
     sizes = [x["n"] for x in asked.mapInArrow(lambda batches: (b.select(["cell"]).from_arrays([b["cell"].slice(0, 1), __import__("pyarrow").array([b.num_rows])], names=["cell", "n"]) for b in batches), "cell int, n long").collect()]
     assert sum(sizes) == few.count() * len(index.sizes)
     assert {tuple(x) for x in I.search(index, few, 5, len(index.sizes)).collect()} == want
+
+
+def test_word_index_stores_no_pairs(spark, tmp_path, monkeypatch):
+    """The index finds what the search over texts does, in whatever shards, and nothing that it stores has a row for each query and document."""
+    r, held = random.Random(6), []
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randrange(1, 30)))) for i in range(300)] + [(900, ""), (901, None)], "document_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(r.sample(words, r.randrange(1, 5)))) for i in range(30)] + [(90, ""), (91, "unknown")], "query_id long, text string")
+    want = sorted((x["query_id"], x["rank"], x["document_id"], round(x["score"], 5)) for x in N.bm25(q, docs, 4).collect())
+    monkeypatch.setattr(K, "materialise", lambda df, name, of=K.materialise: held.append(of(df, name)) or held[-1])
+    for shards in (1, 8):
+        index = K.Index(spark, str(tmp_path / f"words{shards}"), shards=shards)
+        for batch in (0, 1):
+            index.add(docs.where(F.col("document_id") % 2 == batch), str(batch))
+        held.clear()
+        got = sorted((x["query_id"], x["rank"], x["document_id"], round(x["score"], 5)) for x in K.search(index, q, 4).collect())
+        assert got == want
+        assert max(x.count() for x in held) <= 5 * 32
+        told = K.cost(index, q, 4).first()
+        assert 0 < told["postings"] <= told["all_postings"] and 0 < told["blocks"] <= told["all_blocks"]
