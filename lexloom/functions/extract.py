@@ -13,11 +13,15 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .slices import slices
 from .text import strip
 
 # Patterns, terms and codes.
@@ -140,15 +144,23 @@ def _matches(text: str, automaton) -> Iterator[tuple[str, int, int]]:
 def _with_terms(docs: DataFrame, terms: DataFrame, kind: str, of) -> DataFrame:
     """(doc_id, s): what ``of`` makes of each text's matches, for each shard of the dictionary."""
 
+    fields = [f.split(":") for f in kind.split(",")]
+    id_field = docs.schema["doc_id"]
+    schema = pa.schema([("doc_id", to_arrow_type(id_field.dataType)), *((name, {"string": pa.string(), "int": pa.int32()}[t]) for name, t in fields)])
+
     def one(shared):
-        @F.pandas_udf(f"array<struct<{kind}>>")
-        def find(texts: pd.Series) -> pd.Series:
-            if not shared.value:
-                return pd.Series([[] for _ in texts])
-            automaton = _automaton(shared)
-            return pd.Series([of(_matches(t, automaton)) if t else [] for t in texts])
-
-        return docs.select("doc_id", F.explode(find("text")).alias("s"))
+        def find(batches):
+            automaton = _automaton(shared) if shared.value else None
+            for batch in batches if automaton else ():
+                texts = batch.select(["text"]).append_column("at", pa.array(np.arange(batch.num_rows)))
+                for frame in slices(texts, "text"):
+                    rows = [(at, *m) for at, t in zip(frame["at"], frame["text"]) if t for m in of(_matches(t, automaton))]
+                    at, *rest = zip(*rows) if rows else ((),) * len(schema)
+                    ids = batch["doc_id"].take(pa.array(at, pa.int64())).cast(schema.field(0).type)
+                    yield pa.record_batch([ids, *(pa.array(x, f.type) for x, f in zip(rest, list(schema)[1:]))], schema=schema)
+
+        found = docs.select("doc_id", "text").mapInArrow(find, f"doc_id {id_field.dataType.simpleString()}, {', '.join(f'{n} {t}' for n, t in fields)}")
+        return found.select("doc_id", F.struct(*[n for n, _ in fields]).alias("s"))
 
     return functools.reduce(DataFrame.unionByName, [one(shared) for shared in _shards(terms)])
 

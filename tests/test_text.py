@@ -134,3 +134,16 @@ def test_replies(spark):
 def test_no_python_in_cleaning(spark, f):
     plan = spark.createDataFrame([("a",)], "t string").select(f(F.col("t")))._jdf.queryExecution().toString()
     assert "Python" not in plan
+
+
+def test_slices_are_bounded_by_text(monkeypatch):
+    """A batch of many rows is worked on a few texts at a time; an oversize text stands alone, nulls and empty ones cost nothing."""
+    import pyarrow as pa
+
+    from lexloom.functions import slices as S
+
+    monkeypatch.setattr(S, "SLICE_BYTES", 10)
+    texts = ["x" * 4, "é" * 3, None, "y" * 50, "", "z" * 10, "w"] * 3
+    parts = list(S.slices(pa.record_batch({"text": pa.array(texts, pa.string()), "at": pa.array(range(21))}), "text"))
+    assert [i for p in parts for i in p["at"]] == list(range(21))
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p["text"]) <= 10 for p in parts) and len(parts) >= 9
