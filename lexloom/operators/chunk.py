@@ -31,12 +31,22 @@ SEPARATORS = ("\n\n", "\n", "。", "！", "？", " ", "")
 STRATEGIES = {".md": "markdown", ".markdown": "markdown", ".pdf": "pages", ".docx": "paragraphs", ".doc": "paragraphs"}
 
 
+def _windows(size: int, overlap: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / F.lit(size - overlap))).cast("int")
+
+
+def fixed_size_places(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
+    """(document_id, chunk_index) of ``fixed_size``, for which no text is cut."""
+    held = docs.where(F.length("text") > 0)
+    return held.select("document_id", F.explode(F.sequence(F.lit(0), _windows(size, overlap) - 1)).alias("chunk_index"))
+
+
 def fixed_size(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
     """Windows of ``size`` characters, each ``overlap`` into the one before; stops at the end of the text."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
     step, n = size - overlap, F.length("text")
-    count = F.greatest(F.lit(1), F.ceil((n - overlap) / F.lit(step))).cast("int")
+    count = _windows(size, overlap)
     starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)
     cut = F.transform(starts, lambda s: F.struct(F.substring(F.col("text"), s + 1, F.lit(size)).alias("content"), s.alias("start"), F.least(s + size, n).alias("finish")))
     rows = docs.where(n > 0).select("document_id", F.posexplode(cut).alias("chunk_index", "c"))

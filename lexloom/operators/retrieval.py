@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import difflib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import materialise
 from .vectors import candidates, typed_hits
 
 # Texts and phrases of answers.
@@ -201,13 +203,17 @@ def key_information(conversations: DataFrame, messages: DataFrame, entity_values
     return conversations.join(joined, conversations.id == joined.conversation_id, "left").select(conversations.id, F.coalesce("k", F.lit("无")).alias("key_information"))
 
 
-def retrieve(queries: DataFrame, items: DataFrame, titles: DataFrame, k: int = 5, threshold: float = 0.3, semantic: bool = False) -> tuple[DataFrame, DataFrame]:
+def retrieve(queries: DataFrame, items: DataFrame, titles: DataFrame, k: int = 5, threshold: float = 0.3, semantic: bool = False, contents: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, quality): candidates, typed rows, deduplication, reranking, the first ``k``, and a grade for each query.
 
     ``queries`` (query_id, query_text, vector), ``items`` (id, document_id, content, vector), ``titles`` (document_id,
-    document_title).
+    document_title). ``contents`` gives (id, content) of hits (id, document_id) where ``items`` have no content.
     """
-    found = candidates(queries, items, k, threshold).join(items.select("id", "document_id", "content", *(["vector"] if semantic else [])), "id")
+    own = ["id", "document_id", *([] if contents else ["content"]), *(["vector"] if semantic else [])]
+    found = candidates(queries, items, k, threshold).join(items.select(*own), "id")
+    if contents:
+        found = materialise(found, "hits")
+        found = found.join(contents(found), "id")
     typed = typed_hits(found, titles).join(queries.select("query_id", "query_text"), "query_id")
     hits = final_top(rerank(dedup(typed, semantic=semantic)), k)
     return hits, quality(queries, hits)

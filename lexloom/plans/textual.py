@@ -441,25 +441,25 @@ _TOP = "h as (select query_id, id, score, row_number() over (partition by query_
 
 @query(f"with {_TOP} select query_id, id, round(score, 6) as score, rank::int as rank from h where rank <= 5")
 def v2_top_k(s, d):
-    return N.top_k(V.queries(s, d), V.items(s, d), 5).withColumn("score", F.round("score", 6))
+    return N.top_k(V.queries(s, d), V.item_vectors(s, d), 5).withColumn("score", F.round("score", 6))
 
 
 @query("""with h as (select query_id, i.id, round(list_cosine_similarity(q.vector, i.vector), 9) as score, title, row_number() over (partition by query_id order by round(list_cosine_similarity(q.vector, i.vector), 9) desc, i.id) as rank from m_q q, m_items i join m_docs d on d.id = i.document_id where d.user_id = 3)
 select query_id, id, round(score, 6) as score, title as document_title from h where rank <= 5 and score >= 0.1""")
 def v3_filtered_top_k(s, d):
-    out = N.filtered_top_k(V.queries(s, d), _stored_items(s, d), V.documents(s, d).select("id", "title", "user_id"), 5, user_id=3, min_similarity=0.1)
+    out = N.filtered_top_k(V.queries(s, d), _stored_vectors(s, d), V.documents(s, d).select("id", "title", "user_id"), 5, user_id=3, min_similarity=0.1)
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "document_title")
 
 
 @query(f"with {_TOP} select query_id, id, round(score, 6) as score from h where rank <= 10 and score >= 0.35")
 def v4_candidates(s, d):
-    return N.candidates(V.queries(s, d), V.items(s, d), 5, 0.35).select("query_id", "id", F.round("score", 6).alias("score"))
+    return N.candidates(V.queries(s, d), V.item_vectors(s, d), 5, 0.35).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"""with {_TOP} select query_id, h.id, round(least(greatest(score, 0), 1), 6) as score, case when i.document_id % 3 = 0 then '未知文档' else source || '-' || doc_id end as document_title from h join m_items i on i.id = h.id left join documents on doc_id = i.document_id where rank <= 10 and score >= 0.35 and score <= 1.000001""")
 def v5_typed_hits(s, d):
     titles = V.documents(s, d).where("id % 3 <> 0").select("document_id", "document_title")
-    items = _stored_items(s, d)
+    items = _stored_vectors(s, d)
     hits = N.candidates(V.queries(s, d), items, 5, 0.35).join(items.select("id", "document_id"), "id")
     return N.typed_hits(hits, titles).select("query_id", "id", F.round("score", 6).alias("score"), "document_title")
 
@@ -467,12 +467,12 @@ def v5_typed_hits(s, d):
 @query(f"with {_TOP} select q.query_id, count(h.id) as hits from m_q q left join (select * from h where rank <= 10 and score >= 0.9999) h on h.query_id = q.query_id group by 1")
 def v6_batch_retrieve(s, d):
     q = V.queries(s, d)
-    return N.per_query(q, N.candidates(q, V.items(s, d), 5, 0.9999)).groupBy("query_id").agg(F.count("id").alias("hits"))
+    return N.per_query(q, N.candidates(q, V.item_vectors(s, d), 5, 0.9999)).groupBy("query_id").agg(F.count("id").alias("hits"))
 
 
 def _index(s, d):
     """Queries, the chunk table, and the index of it."""
-    q, i = V.queries(s, d), _stored_items(s, d)
+    q, i = V.queries(s, d), _stored_vectors(s, d)
     return q, i, I.build(i, new_path(s, "index"))
 
 
@@ -558,7 +558,7 @@ select query_id, id, score from (select *, row_number() over (partition by query
 def v11_fuse(s, d):
     """Documents by their best chunk and by their words."""
     words = _bm25(s, d, 10).withColumnRenamed("document_id", "id")
-    i = _stored_items(s, d)
+    i = _stored_vectors(s, d)
     hits = N.top_k(V.queries(s, d), i, 10).join(i.select("id", "document_id"), "id")
     return N.fuse(N.best_of_document(hits), words, 10).select("query_id", "id", "score")
 
@@ -589,15 +589,18 @@ def v14_token_batches(s, d):
     return N.token_batches(V.messages(s, d), "conversation_id", "id", 300).select("id", "tokens", "batch")
 
 
-def _stored_items(s, d):
-    """The chunk table, written once for a job that reads it more than once."""
-    return materialise(V.items(s, d), "items")
+def _stored_vectors(s, d):
+    """The chunk table without content, written once for a job that reads it more than once."""
+    return materialise(V.item_vectors(s, d), "items")
 
 
-def _hits(s, d, n=10):
-    i = _stored_items(s, d)
-    hits = N.top_k(V.queries(s, d), i, n).join(i.select("id", "document_id", "content"), "id").join(V.queries(s, d).select("query_id", "query_text"), "query_id")
-    return hits.join(V.documents(s, d).select("document_id", "document_title"), "document_id", "left")
+def _hits(s, d, n=10, *more):
+    """Hits with what the documents and queries tell of them; ``more``: further columns of items. Only documents that have a hit are cut."""
+    i = _stored_vectors(s, d)
+    hits = materialise(N.top_k(V.queries(s, d), i, n).join(i.select("id", "document_id", *more), "id"), "hits")
+    contents = V.contents(s, d, hits)
+    named = hits.join(contents, "id").join(V.queries(s, d).select("query_id", "query_text"), "query_id")
+    return named.join(V.documents(s, d).select("document_id", "document_title"), "document_id", "left")
 
 
 _HITS = f"{_TOP}, hits as (select h.*, i.document_id, i.content, q.query_text, coalesce(source || '-' || doc_id, '') as document_title from h join m_items i on i.id = h.id join m_q q on q.query_id = h.query_id left join documents on doc_id = i.document_id where rank <= 10)"
@@ -617,13 +620,13 @@ def r2_dedup_text(s, d):
 f as (select query_id, id, rank, true as keep, [vector] as kept from x where rank = 1 union all select x.query_id, x.id, x.rank, not list_bool_or(list_transform(kept, lambda k: list_cosine_similarity(k, x.vector) >= 0.9)), case when list_bool_or(list_transform(kept, lambda k: list_cosine_similarity(k, x.vector) >= 0.9)) then kept else list_append(kept, x.vector) end from f join x on x.query_id = f.query_id and x.rank = f.rank + 1)
 select query_id, id, rank::int as rank from f where keep""")
 def r3_dedup_semantic(s, d):
-    hits = _hits(s, d).join(V.items(s, d).select("id", "vector"), "id")
+    hits = _hits(s, d, 10, "vector")
     return R.dedup_greedy(hits, 0.9, text=False, semantic=True).select("query_id", "id", "rank")
 
 
 @query()
 def r4_dedup(s, d):
-    hits = _hits(s, d).join(V.items(s, d).select("id", "vector"), "id")
+    hits = _hits(s, d, 10, "vector")
     return R.dedup(hits, semantic=True).select("query_id", "id", "rank")
 
 
@@ -641,7 +644,7 @@ select q.query_id, coalesce(n, 0) as n, coalesce(round(a, 3), 0) as avg_score, c
 @query(f"with {_TOP}, c as (select * from h where rank <= 10 and score >= 0.4), {_GRADES}")
 def r6_quality(s, d):
     q = V.queries(s, d)
-    return R.quality(q, N.candidates(q, V.items(s, d), 5, 0.4))
+    return R.quality(q, N.candidates(q, V.item_vectors(s, d), 5, 0.4))
 
 
 @query(f"with {_HITS} select query_id, id from hits where rank <= 3 and trim(query_text) <> ''")
@@ -651,7 +654,7 @@ def r7_final_top(s, d):
 
 @query(f"with {_TOP}, t as (select unnest([0.0, 0.2, 0.3, 0.5, 0.7])::double as threshold) select threshold, (select count(*) from h where rank <= 10 and score >= threshold) as n from t")
 def r8_threshold_sweep(s, d):
-    return R.threshold_sweep(N.top_k(V.queries(s, d), V.items(s, d), 10), [0.0, 0.2, 0.3, 0.5, 0.7])
+    return R.threshold_sweep(N.top_k(V.queries(s, d), V.item_vectors(s, d), 10), [0.0, 0.2, 0.3, 0.5, 0.7])
 
 
 @query("select id as query_id, min(id) over (partition by lower(trim(content))) as first_id from m_msg")
@@ -742,7 +745,7 @@ def r16_greedy_shingles(s, d):
 @query()
 def r17_retrieve(s, d):
     q = V.queries(s, d)
-    hits, _ = R.retrieve(q, _stored_items(s, d), V.documents(s, d).select("document_id", "document_title"))
+    hits, _ = R.retrieve(q, _stored_vectors(s, d), V.documents(s, d).select("document_id", "document_title"), contents=lambda found: V.contents(s, d, found))
     return hits.select("query_id", "rank", "id", "document_id", "document_title", F.round("score", 6).alias("score"), F.round("rerank_score", 6).alias("rerank_score"))
 
 

@@ -196,3 +196,11 @@ def test_greedy_queries(spark, small, name, shingle, threshold):
     got = registry.queries()[name](spark, small).collect()
     assert len(got) == V.items(spark, small).count() and {r["id"] for r in got if r["kept"]} == set(kept)
     assert 0 < len(kept) < len(got)
+
+
+def test_hits_need_no_text_of_other_chunks(spark, small):
+    """Queries by vectors alone cut no text, and chunks without content are those with it."""
+    plan = registry.queries()["v2_top_k"](spark, small)._jdf.queryExecution().analyzed().toString()
+    assert "substring" not in plan.split("documents.parquet")[-1] and "content" not in plan
+    whole, lean = V.items(spark, small), V.item_vectors(spark, small)
+    assert whole.drop("content").exceptAll(lean.select("id", "document_id", "chunk_index", "vector")).isEmpty() and whole.count() == lean.count()
