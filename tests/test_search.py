@@ -493,3 +493,16 @@ def test_products_in_single_precision_lose_nothing():
             assert sorted(zip(got["query_id"].to_pylist(), got["id"].to_pylist())) == sorted((i, j) for i in range(30) for j in np.argsort(-(q[i] @ m.T))[:5].tolist())
         else:
             assert sorted(zip(got["query_id"].to_pylist(), got["id"].to_pylist())) == sorted((i, int(j)) for i in range(30) for j in sorted(range(400), key=lambda j: (-scores[i, j], j))[:5])
+
+
+@pytest.mark.parametrize("find", [D.near_duplicates, D.greedy])
+def test_words_of_unlike_passages_are_stored_once(spark, monkeypatch, find):
+    """Only passages that meet others in a bucket have their words written again."""
+    r, held = random.Random(11), []
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    texts += [texts[0] + " more", texts[1] + " more", texts[2]]
+    passages = spark.createDataFrame(list(enumerate(texts)), "id long, content string").repartition(3)
+    monkeypatch.setattr(D, "materialise", lambda df, name, of=D.materialise: held.append((name, of(df, name))) or held[-1][1])
+    assert sorted(x["id"] for x in find(passages).collect() if not x["kept"]) == [60, 61, 62]
+    again = [t.count() for name, t in held if "words" in t.columns and name != "passages"]
+    assert again and max(again) <= 8
