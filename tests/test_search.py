@@ -461,7 +461,7 @@ def test_word_index_stores_no_pairs(spark, tmp_path, monkeypatch):
 
 def test_index_search_shuffles_no_vectors(spark, tmp_path, monkeypatch):
     """With all cells probed no query stands once for each cell: nothing but hits is shuffled, and tasks hold few distances."""
-    items, _, q, index = index_of(spark, tmp_path)
+    _, items, q, index = index_of(spark, tmp_path)
     plan = I.search(index, q, 5, len(index.sizes))._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and "Exchange" in plan
     assert all("vector" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
