@@ -506,3 +506,74 @@ def test_words_of_unlike_passages_are_stored_once(spark, monkeypatch, find):
     assert sorted(x["id"] for x in find(passages).collect() if not x["kept"]) == [60, 61, 62]
     again = [t.count() for name, t in held if "words" in t.columns and name != "passages"]
     assert again and max(again) <= 8
+
+
+@pytest.mark.parametrize("find", [D.near_duplicates, D.greedy])
+def test_words_of_bucket_mates_that_are_unlike_stay_where_they_are(spark, monkeypatch, find):
+    """Unlike passages that share buckets are told apart by sketches: their words are neither stored nor shuffled."""
+    r, held = random.Random(12), []
+    common = [f"c{i}" for i in range(12)]
+    texts = [" ".join(common + [f"w{r.randrange(10**6)}" for _ in range(40)]) for _ in range(80)]
+    texts += [texts[0] + " more", texts[1]]
+    passages = spark.createDataFrame(list(enumerate(texts)), "id long, content string").repartition(3)
+    monkeypatch.setattr(D, "materialise", lambda df, name, of=D.materialise: held.append((name, of(df, name))) or held[-1][1])
+    assert sorted(x["id"] for x in find(passages, rows=1).collect() if not x["kept"]) == [80, 81]
+    assert sum(t.count() for name, t in held if "words" in t.columns) == 2
+
+
+@pytest.mark.parametrize("tasks", [1024, 30])
+def test_large_buckets_and_small_batches(spark, monkeypatch, tasks):
+    """Buckets over the size that one task compares whole, members that come in many batches, links thinned now and then."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(r.sample(words, 30))) for i in range(40)]
+    for k in range(2):
+        text = r.sample(words, 30)
+        for i in range(60):
+            if r.random() < 0.2:
+                text = text[:]
+                text[r.randrange(30)] = r.choice(words)
+            rows.append((100 * (k + 1) + (i * 7) % 60, " ".join(text + [f"x{r.randrange(3)}"])))
+    df = spark.createDataFrame(rows, "id long, content string").repartition(4)
+    whole = [sorted(map(tuple, find(df, rows=1).collect()), key=str) for find in (D.near_duplicates, D.greedy)]
+    for name, value in (("BLOCK", 1), ("TASK_PASSAGES", tasks), ("LINKS", 20), ("COLUMNS", 7), ("SIGNED", 3)):
+        monkeypatch.setattr(D, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        parts = [sorted(map(tuple, find(df, rows=1).collect()), key=str) for find in (D.near_duplicates, D.greedy)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    named = {i: set(t.split()) for i, t in rows}
+    kept: list[set] = []
+    stay = {i for i, own in sorted(named.items()) if not any(len(own & k) / len(own | k) >= 0.85 for k in kept) and not kept.append(own)}
+    assert parts == whole and {i for i, k in parts[1] if k} == stay and 40 < len(stay) < 150
+
+
+@pytest.mark.parametrize("shingle", [1, 5])
+def test_sketches_lose_no_similar_pair(shingle):
+    """Words are those of Python's split(); sets that are alike may be so by their sketches too, and most others may not."""
+    import pyarrow as pa
+
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    texts = ["", None, " \n", "a", "a b", "\x1ca\x85b c d　e​f\x1f", "é 😀 é"]
+    for _ in range(60):
+        text = r.sample(words, r.randrange(1, 60))
+        for _ in range(4):
+            texts.append(" ".join(text))
+            text = [w if r.random() > 0.04 else r.choice(words) for w in text]
+    sets = D.Sets(pa.array(texts, pa.string()), shingle)
+
+    def runs(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + shingle]) for i in range(max(len(w) - shingle + 1, min(len(w), 1)))}
+
+    own, lists = [runs(t) for t in texts], [set(x) for x in sets.lists().to_pylist()]
+    assert sets.sizes.tolist() == [len(x) for x in own]
+    assert all(len(lists[i] & lists[j]) == len(own[i] & own[j]) for i in range(len(texts)) for j in range(i))
+    sketches = [sets.sizes, *(x.to_numpy().view(np.uint64) for x in sets.sketch())]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if own[i] and own[j]]
+    i, j = np.array(pairs).T
+    near = D._near(0.8, sketches, i, j)
+    true = np.array([len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]) - 1e-6 for a, b in pairs])
+    assert near[true].all() and true.sum() > 50 and near[~true].sum() < 0.05 * len(pairs)
