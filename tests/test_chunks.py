@@ -181,3 +181,20 @@ def test_processors(spark):
         X.unregister_processor(".bad")
     with pytest.raises(ValueError):
         X.register_processor("xyz", F.upper)
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    """One text of many windows takes about as long as the same characters in many texts."""
+    import time
+
+    def took(texts, size):
+        df = docs(spark, "x").select("document_id", F.explode(F.array_repeat(F.repeat(F.lit("abé "), size // 4), texts)).alias("text"))
+        best = []
+        for _ in range(3):
+            began = time.time()
+            assert C.fixed_size(df).agg(F.sum(F.length("content"))).first()[0] > size * texts
+            best.append(time.time() - began)
+        return min(best)
+
+    took(1, 4000)
+    assert took(1, 4_000_000) < 5 * took(100, 40_000) + 1
