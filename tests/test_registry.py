@@ -204,3 +204,18 @@ def test_hits_need_no_text_of_other_chunks(spark, small):
     assert "substring" not in plan.split("documents.parquet")[-1] and "content" not in plan
     whole, lean = V.items(spark, small), V.item_vectors(spark, small)
     assert whole.drop("content").exceptAll(lean.select("id", "document_id", "chunk_index", "vector")).isEmpty() and whole.count() == lean.count()
+
+
+def test_texts_of_passages_meet_no_vectors(spark, small, monkeypatch):
+    """Chunks of the duplicate search are those of the chunk table, but for that no text is joined, unless some chunks have no vector or two."""
+    from lexloom.operators import dedup
+
+    given, table = [], V.table
+    monkeypatch.setattr(dedup, "near_duplicates", given.append)
+    registry.queries()["r16_near_duplicate_chunks"](spark, small)
+    assert "Join" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.select("id", "content").collect()))
+    assert rows(given[0]) == rows(V.items(spark, small))
+    for odd in (lambda e: e.where("vec_id <> 3"), lambda e: e.union(e.where("vec_id = 3")), lambda e: e.where("vec_id <> 3").union(e.where("vec_id = 4")), lambda e: e.where("false")):
+        monkeypatch.setattr(V, "table", lambda s, d, name, odd=odd: odd(table(s, d, name)) if name == "embeddings" else table(s, d, name))
+        assert rows(V.passages(spark, small)) == rows(V.items(spark, small)) != rows(given[0])
